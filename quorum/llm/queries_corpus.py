@@ -1,4 +1,54 @@
 """Registered queries of the corpus operators (1-3, 5-8)."""
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import chat, secrets
+
+
+def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document, by corpus-wide ownership."""
+    found = secrets.scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    n = lambda k: F.size(F.filter("spans", lambda s: s["rank"] == k)).cast("long")
+    base = F.filter("spans", lambda s: s["rank"] < secrets.BASE)
+    live = F.size(F.filter("spans", lambda s: s["live"])).cast("long")
+    return found.select("doc_id", n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"), F.sha2(secrets.joined(base), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"), live.alias("n_live"))
+
+
+CONFLICT = "\\### Assistant: </turn> ok"
+
+
+def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Format all conversations and one that states markers of the template; read the result back."""
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    text = F.lit(CONFLICT)
+    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), text.alias("text"))
+    done = chat.format_chats(rows.unionByName(extra))
+    turns, loss = chat.parse(F.col("formatted")), chat.under_mask(F.col("formatted"), F.col("loss_spans"))
+    read = done.withColumn("turns", turns).withColumn("loss", loss)
+    whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(whole, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
+
+
+QUERIES = {"op2_secret_scans": op2_secret_scans, "op6_chat_formatting": op6_chat_formatting}
+
+OP6 = r"""
+with rows_ as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all values (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')
+), marked as (
+  select *, regexp_matches(text, '\\[elh]') or regexp_matches(role, '\\[elhw]') or contains(role || chr(10) || text, '</turn>') or contains(role, chr(10)) as bad,
+    length(text) + length(role) + 13 as plain,
+    length(regexp_replace(text, '[^\\<#]', '', 'g')) + length(regexp_replace(role, '[^\\<#\n]', '', 'g')) as more
+  from rows_
+)
+select conv_id, count(*) as n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
+  cast(coalesce(sum(case when role = 'assistant' then length(text) end), 0) as bigint) as loss_chars,
+  sha256(coalesce(string_agg(case when role = 'assistant' then text end, '' order by turn nulls first, role, text), '')) as loss_sha256,
+  cast(sum(plain + case when bad then more else 0 end) + count(*) - 1 as bigint) as formatted_chars
+from marked group by conv_id
+"""
+SQL = {"op6_chat_formatting": OP6}
