@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes that separate words: the complement of ``[^\x20\x09-\x0D]``. ``bytes.split()`` splits at exactly these.
@@ -39,7 +40,7 @@ def staged(frame: DataFrame, name: str) -> DataFrame:
 def slices(batches: Iterator[pa.RecordBatch], column: str, rows: int = 256, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches by rows and bytes of a text column, so that what a slice expands to stays bounded."""
     for batch in batches:
-        lengths = pa.compute.binary_length(batch.column(column)).fill_null(0).to_pylist()
+        lengths = pc.binary_length(batch.column(column)).fill_null(0).to_pylist()
         begin = held = 0
         for k, n in enumerate(lengths):
             if k > begin and (k - begin >= rows or held + n > size):
