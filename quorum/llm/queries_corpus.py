@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, secrets
+from . import chat, quality, secrets, toxicity
 
 
 def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,7 +32,24 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(whole, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
 
 
-QUERIES = {"op2_secret_scans": op2_secret_scans, "op6_chat_formatting": op6_chat_formatting}
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base statistics and the verdict of the base rule and the trees for every document."""
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality.assess(docs, quality.train(docs, labels))
+
+
+def held_out(doc_id: Column) -> Column:
+    return F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of every document; rows that are held out are never learnt from."""
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    machine = toxicity.train(docs, labels, where=~held_out(F.col("doc_id")))
+    return toxicity.assess(docs, machine).select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+QUERIES = {"op7_quality_rules": op7_quality_rules, "op8_toxicity": op8_toxicity, "op2_secret_scans": op2_secret_scans, "op6_chat_formatting": op6_chat_formatting}
 
 OP6 = r"""
 with rows_ as (
