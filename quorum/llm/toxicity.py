@@ -21,6 +21,7 @@ with repeated or null ids are each returned; an empty table gives no rows; other
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -272,8 +273,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 6000, longest: int =
 _MEMORY: dict = {}
 
 
-def _decisions(machine: Machine, mark: int, texts: list[list[str]], most: int = 600_000) -> list[np.ndarray]:
+def _decisions(machine: Machine, mark: str, texts: list[list[str]], most: int = 600_000) -> list[np.ndarray]:
     """The decisions of all units of some texts. Those already met by this worker are remembered, up to a bound."""
+    if mark not in _MEMORY:
+        _MEMORY.clear()
     memory = _MEMORY.setdefault(mark, {})
     if len(memory) > most:
         memory.clear()
@@ -286,7 +289,7 @@ def _decisions(machine: Machine, mark: int, texts: list[list[str]], most: int =
 def assess(docs: DataFrame, machine: Machine | None, threshold: float = 0.7, keep: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score, predicted of every row. With ``keep``, the named columns of ``docs`` come first instead of doc_id."""
     model = broadcast_bounded(docs.sparkSession, machine, "the machine")
-    mark = id(model)
+    mark = uuid.uuid4().hex
     carried = [F.col(c) for c in keep] if keep is not None else [F.col(id_col).cast("long").alias("doc_id")]
     rows = docs.select(*carried, F.col(text_col).alias("__text"))
     front = rows.columns[:-1]
@@ -295,7 +298,7 @@ def assess(docs: DataFrame, machine: Machine | None, threshold: float = 0.7, kee
         own = model.value
         for some in slices(batches, "__text", rows=512, size=4 << 20):
             read = [units(t or "") for t in some.column("__text").to_pylist()]
-            scores = np.array([own.score(d) for d in _decisions(own, (mark, model.id if hasattr(model, "id") else 0), read)]) if own is not None else np.zeros(len(read))
+            scores = np.array([own.score(d) for d in _decisions(own, mark, read)]) if own is not None else np.zeros(len(read))
             yield pa.RecordBatch.from_arrays([*(some.column(c) for c in front), pa.array(scores, pa.float64()), pa.array((scores >= threshold).astype("int32"))], names=[*front, "score", "predicted"])
 
     kept = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in front)
