@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, html_text, quality, secrets, toxicity
+from . import chat, html_text, nearest, quality, secrets, toxicity
 
 
 def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +20,11 @@ def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 CONFLICT = "\\### Assistant: </turn> ok"
 
 
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every row whose id is divisible by 20, among all rows."""
+    return nearest.neighbours(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""
     found = html_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
@@ -55,7 +60,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.assess(docs, machine).select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {"op5_html_extraction": op5_html_extraction, "op7_quality_rules": op7_quality_rules, "op8_toxicity": op8_toxicity, "op2_secret_scans": op2_secret_scans, "op6_chat_formatting": op6_chat_formatting}
+QUERIES = {"op3_nearest_neighbours": op3_nearest_neighbours, "op5_html_extraction": op5_html_extraction, "op7_quality_rules": op7_quality_rules, "op8_toxicity": op8_toxicity, "op2_secret_scans": op2_secret_scans, "op6_chat_formatting": op6_chat_formatting}
 
 OP6 = r"""
 with rows_ as (
