@@ -5,7 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, html_text, nearest, quality, secrets, toxicity
+from . import chat, html_text, nearest, ngram_join, quality, secrets, toxicity
+
+
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of 3-word shingles have a Jaccard similarity of 0.9 or more."""
+    return ngram_join.join(spark.read.parquet(f"{sf_dir}/documents.parquet"), width=3, per_cent=90)
 
 
 def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +65,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.assess(docs, machine).select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {"op3_nearest_neighbours": op3_nearest_neighbours, "op5_html_extraction": op5_html_extraction, "op7_quality_rules": op7_quality_rules, "op8_toxicity": op8_toxicity, "op2_secret_scans": op2_secret_scans, "op6_chat_formatting": op6_chat_formatting}
+QUERIES = {"op1_ngram_join": op1_ngram_join, "op3_nearest_neighbours": op3_nearest_neighbours, "op5_html_extraction": op5_html_extraction, "op7_quality_rules": op7_quality_rules, "op8_toxicity": op8_toxicity, "op2_secret_scans": op2_secret_scans, "op6_chat_formatting": op6_chat_formatting}
 
 OP6 = r"""
 with rows_ as (
