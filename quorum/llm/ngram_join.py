@@ -192,10 +192,22 @@ def _verify(width: int, per_cent: int):
 
 
 def join(docs: DataFrame, width: int = 5, per_cent: int = 80, id_col: str = "doc_id", text_col: str = "text", block: int = 1500, batch: int = 2000) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest id reachable by links) and n_links of every row.
+    """doc_id, n_shingles, component_id (smallest id reachable by links), n_links and first of every row.
 
-    ``block`` bounds the sets that one task compares with each other, ``batch`` the rows of small families in one group.
+    ``first`` marks one row of each component, the first of the input; ``block`` bounds the sets that one task compares with
+    each other, ``batch`` the rows of small families in one group.
     """
+    return _joined(docs, width, per_cent, id_col, text_col, block, batch).drop("row_key")
+
+
+def deduplicate(docs: DataFrame, width: int = 5, per_cent: int = 80, id_col: str = "doc_id", text_col: str = "text", **bounds) -> DataFrame:
+    """The rows and columns of ``docs`` without all but one row of each component; rows without shingles all stay."""
+    bounds = {"block": 1500, "batch": 2000} | bounds
+    others = _joined(docs, width, per_cent, id_col, text_col, **bounds).where("not first").select(F.col("row_key").alias("__row_key"))
+    return docs.withColumn("__row_key", F.monotonically_increasing_id()).join(staged(others, "copies").hint("shuffle_hash"), "__row_key", "left_anti").select(*docs.columns)
+
+
+def _joined(docs: DataFrame, width: int, per_cent: int, id_col: str, text_col: str, block: int, batch: int) -> DataFrame:
     edges = size_classes(-(-100 // (100 - per_cent)) - 1 if per_cent < 100 else 1 << 30)
     rows = docs.select(F.monotonically_increasing_id().alias("row_key"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     scan = staged(rows.mapInArrow(_scan(width, per_cent, edges), SCAN), "shingles")
@@ -228,9 +240,9 @@ def join(docs: DataFrame, width: int = 5, per_cent: int = 80, id_col: str = "doc
     links = checked.where("u = v").groupBy(F.col("u").alias("node")).agg(F.sum("links").alias("links"))
     roots = components(checked.where("u != v").select("u", "v"))
 
-    owned = nodes.select("node", "low", "copies").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    lowest = owned.groupBy("root").agg(F.min("low").alias("component_id"))
-    known = owned.join(lowest, "root").join(links, "node", "left").select("node", "component_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    linked = full.select("node", "doc_id", "n").join(known.hint("merge"), "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links")
-    alone = scan.where(F.col("node").isNull()).select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
+    owned = nodes.select("node", "low", "copies", "row_key").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    lowest = owned.groupBy("root").agg(F.min("low").alias("component_id"), F.min("row_key").alias("first_key"))
+    known = owned.join(lowest, "root").join(links, "node", "left").select("node", "component_id", "first_key", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    linked = full.select("row_key", "node", "doc_id", "n").join(known.hint("merge"), "node").select("row_key", "doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links", (F.col("row_key") == F.col("first_key")).alias("first"))
+    alone = scan.where(F.col("node").isNull()).select("row_key", "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("first"))
     return linked.unionByName(alone)

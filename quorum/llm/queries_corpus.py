@@ -10,7 +10,7 @@ from . import chat, html_text, nearest, ngram_join, quality, secrets, toxicity
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose sets of 3-word shingles have a Jaccard similarity of 0.9 or more."""
-    return ngram_join.join(spark.read.parquet(f"{sf_dir}/documents.parquet"), width=3, per_cent=90)
+    return ngram_join.join(spark.read.parquet(f"{sf_dir}/documents.parquet"), width=3, per_cent=90).drop("first")
 
 
 def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
