@@ -92,6 +92,6 @@ def flags(**named: Column) -> Column:
 
 
 def shown(labels: Column, p: Column, least: float = 0.01) -> Column:
-    """"label p" of all labels with at least ``least``, the likeliest first."""
+    """"label n%" of all labels with at least ``least``, the likeliest first."""
     pairs = F.array_sort(F.transform(F.arrays_zip(labels.alias("l"), p.alias("p")), lambda x: F.struct((-x["p"]).alias("less"), x["l"].alias("l"))))
-    return F.array_join(F.transform(F.filter(pairs, lambda x: -x["less"] >= least), lambda x: F.format_string("%s %.2f", x["l"], -x["less"])), ", ")
+    return F.array_join(F.transform(F.filter(pairs, lambda x: -x["less"] >= least), lambda x: F.format_string("%s %d%%", x["l"], F.round(-x["less"] * 100).cast("int"))), ", ")
