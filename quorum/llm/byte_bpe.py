@@ -52,14 +52,14 @@ def _edges(pattern: str, overlap: int, chunk: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = regex.compile(pattern)
         for some in slices(batches, "text"):
-            keys, parts, texts = (some.column(c).to_pylist() for c in ("row_key", "part", "text"))
+            parts, texts = (some.column(c).to_pylist() for c in ("part", "text"))
             heads, tails = [], []
             for part, text in zip(parts, texts, strict=True):
                 ends = boundaries(found, text, part * chunk)
                 heads.append([e for e in ends if part * chunk < e <= part * chunk + overlap] if part else [])
                 tails.append([e for e in ends if e > (part + 1) * chunk])
             lists = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(parts, pa.int64()), some.column("text"), pa.array(heads, lists), pa.array(tails, lists)], names=["row_key", "part", "text", "head", "tail"])
+            yield pa.RecordBatch.from_arrays([some.column("row_key"), some.column("doc_id"), some.column("part"), some.column("text"), pa.array(heads, lists), pa.array(tails, lists)], names=["row_key", "doc_id", "part", "text", "head", "tail"])
 
     return run
 
@@ -71,8 +71,8 @@ def encode(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", te
 
     long = rows.withColumn("row_key", F.monotonically_increasing_id()).where(F.length("text") > chunk)
     last = F.floor((F.length("text") - 1) / chunk)
-    chunks = long.select("row_key", "text", F.explode(F.sequence(F.lit(0), last)).alias("part")).select("row_key", F.col("part").cast("long").alias("part"), F.substring(F.col("text"), (F.col("part") * chunk + 1).cast("int"), F.lit(chunk + overlap)).alias("text"))
-    edges = chunks.repartition("row_key", "part").mapInArrow(_edges(pattern, overlap, chunk), "row_key long, part long, text string, head array<long>, tail array<long>")
+    chunks = long.select("row_key", "doc_id", "text", F.explode(F.sequence(F.lit(0), last)).alias("part")).select("row_key", "doc_id", F.col("part").cast("long").alias("part"), F.substring(F.col("text"), (F.col("part") * chunk + 1).cast("int"), F.lit(chunk + overlap)).alias("text"))
+    edges = chunks.repartition("row_key", "part").mapInArrow(_edges(pattern, overlap, chunk), "row_key long, doc_id long, part long, text string, head array<long>, tail array<long>")
     by_row = Window.partitionBy("row_key").orderBy("part")
     stitched = (
         edges.withColumn("cut", F.when(F.col("part") == 0, F.lit(0).cast("long")).otherwise(F.array_min(F.array_intersect("head", F.lag("tail").over(by_row)))))
@@ -85,11 +85,11 @@ def encode(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", te
     begin = F.coalesce("cut", base)
     end = F.when(F.col("ends"), base + chunk + overlap).otherwise(F.coalesce("until", base + chunk))
     own = F.substring(F.col("text"), (begin - base + 1).cast("int"), (end - begin).cast("int"))
-    pieces = stitched.select("row_key", "piece", "part", own.alias("own")).groupBy("row_key", "piece").agg(F.array_sort(F.collect_list(F.struct("part", "own"))).alias("owns"))
-    texts = pieces.select("row_key", F.col("piece").cast("long").alias("piece"), F.array_join(F.transform("owns", lambda x: x["own"]), "").alias("text")).repartition("row_key", "piece")
-    encoded = texts.mapInArrow(_encode_texts(ranks, pattern, ["row_key", "piece"]), "row_key long, piece long, ids array<int>")
-    joined = encoded.groupBy("row_key").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("piece", "ids"))), lambda x: x["ids"])).alias("ids"))
-    return short.unionByName(long.select("row_key", "doc_id").join(joined, "row_key").select("doc_id", "ids"))
+    pieces = stitched.select("row_key", "doc_id", "piece", "part", own.alias("own")).groupBy("row_key", "doc_id", "piece").agg(F.array_sort(F.collect_list(F.struct("part", "own"))).alias("owns"))
+    texts = pieces.select("row_key", "doc_id", F.col("piece").cast("long").alias("piece"), F.array_join(F.transform("owns", lambda x: x["own"]), "").alias("text")).repartition("row_key", "piece")
+    encoded = texts.mapInArrow(_encode_texts(ranks, pattern, ["row_key", "doc_id", "piece"]), "row_key long, doc_id long, piece long, ids array<int>")
+    joined = encoded.groupBy("row_key", "doc_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("piece", "ids"))), lambda x: x["ids"])).alias("ids"))
+    return short.unionByName(joined.select("doc_id", "ids"))
 
 
 def decode(frame: DataFrame, ranks: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:

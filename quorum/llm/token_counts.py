@@ -49,7 +49,10 @@ def _encode(path: str, version: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = _counter(path)
         for some in slices(batches, "text", rows=2000):
-            counts = [count(t or "") for t in some.column("text").to_pylist()]
+            texts = [t or "" for t in some.column("text").to_pylist()]
+            if any(hashlib.sha256(t.encode()).digest() != d for t, d in zip(texts, some.column("digest").to_pylist(), strict=True)):
+                raise RuntimeError("the documents are not the same in two passes")
+            counts = [count(t) for t in texts]
             yield pa.RecordBatch.from_arrays([some.column("digest").cast(pa.binary()), pa.array([version] * len(counts)), pa.array(counts, pa.int64())], names=["digest", "version", "n_tokens"])
 
     return run
@@ -65,7 +68,8 @@ def _cached(spark, cache: str, version: str) -> DataFrame:
 
 def count_tokens(docs: DataFrame, tokenizer: str, cache: str | None = None, id_col: str = "doc_id", text_col: str = "text", limit: int = 4096, normalise=lambda c: c) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of every row. ``cache`` is the folder of stored counts; by default a new
-    one in the shared folder. Runs the encoding of misses and appends them to the cache before it returns.
+    one in the shared folder. ``docs`` is read twice and must give the same rows in the same order, as a table does, which is
+    checked. Runs the encoding of misses and appends them to the cache before it returns.
     """
     spark, version = docs.sparkSession, version_of(tokenizer)
     cache = cache or f"{shared_dir(spark)}/quorum-counts-{version[:12]}-{uuid.uuid4().hex}"

@@ -123,6 +123,8 @@ class PieceCounter:
         if len(memory) > self.units:
             memory.clear()
         total, missed = 0, []
+        if len(units) > 1 and not units[-1]:  # one space at the end is a piece of its own, but alone it would be nothing
+            total, units = 1, units[:-1]
         for u in units:
             n = memory.get(u)
             if n is None:
