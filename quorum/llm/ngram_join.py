@@ -6,9 +6,10 @@ similarity of their sets is ``per_cent`` or more, compared in whole numbers.
 Candidates come from signatures. Tokens are ordered by hash. The prefix of a set of n tokens are its first
 n - ceil(t n) + 1; two similar sets share a token there. A token that only two nodes have in their prefixes is rare, and
 serves alone. For all more frequent ones the prefix is extended, to the whole set, and tokens are combined: sets of
-one size class differ in at most d tokens, so of d + 1 ranges of hashes one holds the same tokens in both,
-and the combination of all tokens of a range (six to nine on average) is indexed as one signature. A set near the end of its size class
-is also indexed in the next. So every linked pair shares a signature of one kind or the other, while sets that merely share a
+one size class differ in at most d tokens, so of d + 1 + s ranges of hashes at least s + 1 hold the same tokens in both,
+and the combination of all tokens of a range (seven to nine on average) is indexed as one signature. Ranges that
+happen to hold less than two tokens are left out by sets that have at most s of them: of s + 1 equal ranges one remains. A set near
+the end of its size class is also indexed in the next. So every linked pair shares a signature of one kind or the other, while sets that merely share a
 frequent passage do not.
 
 Each signature connects its nodes to the smallest of them (not each to each). Pairs from single tokens are first held
@@ -41,7 +42,9 @@ from .components import components
 from .shared import slices, staged
 
 LANES = 16
-GROWTH = 1.5
+GROWTH = 1.25
+#: A range with fewer tokens says little; such ranges are left out where enough others are sure to remain.
+SPARSE = 2
 _A, _B, _C, _M1, _M2 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
@@ -97,10 +100,13 @@ def signatures(tokens: np.ndarray, per_cent: int, edges: list[int]) -> tuple[np.
     with np.errstate(over="ignore"):
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(tokens))])
         for c in classes:
-            ranges = 2 * (edges[c + 1] - 1) * (100 - per_cent) // (100 + per_cent) + 1
+            differing = 2 * (edges[c + 1] - 1) * (100 - per_cent) // (100 + per_cent)
+            spare = 1 + differing // 32 if differing >= 4 else 0
+            ranges = differing + 1 + spare
             at = np.searchsorted((tokens >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32), np.arange(ranges + 1, dtype=np.uint64))
             place = np.arange(ranges, dtype=np.uint64) + np.uint64(c << 40)
-            combined.append(mix(sums[at[1:]] - sums[at[:-1]] + mix(place + _C)))
+            whole, full = mix(sums[at[1:]] - sums[at[:-1]] + mix(place + _C)), np.diff(at) >= SPARSE
+            combined.append(whole[full] if ranges - full.sum() <= spare else whole)
     return single, np.concatenate(combined)
 
 
@@ -194,7 +200,8 @@ def _verify(width: int, per_cent: int):
 def join(docs: DataFrame, width: int = 5, per_cent: int = 80, id_col: str = "doc_id", text_col: str = "text", block: int = 1500, batch: int = 2000) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable by links), n_links and first of every row.
 
-    ``first`` marks one row of each component, the first of the input; ``block`` bounds the sets that one task compares with
+    ``docs`` is read twice and must give the same rows in the same order (a table does; stage what a shuffle made), which is
+    checked. ``first`` marks one row of each component, the first of the input; ``block`` bounds the sets that one task compares with
     each other, ``batch`` the rows of small families in one group.
     """
     return _joined(docs, width, per_cent, id_col, text_col, block, batch).drop("row_key")

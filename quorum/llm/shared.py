@@ -34,6 +34,7 @@ def staged(frame: DataFrame, name: str) -> DataFrame:
     spark = frame.sparkSession
     path = f"{shared_dir(spark)}/quorum-{name}-{uuid.uuid4().hex}"
     frame.write.parquet(path)
+    spark.sparkContext._jvm.System.gc()  # lets the context cleaner delete the shuffle files of what has been written
     return spark.read.schema(frame.schema).parquet(path)
 
 
