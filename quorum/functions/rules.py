@@ -44,7 +44,8 @@ def move_mass(options: Column, target: Column, na: Column, bad: Column) -> Colum
 
     ``bad`` is an array of booleans. If no mass is left, or na reaches one, the target is null and na is one.
     """
-    kept = F.filter(F.arrays_zip(options.alias("o"), target.alias("p"), bad.alias("b")), lambda x: ~x["b"])
+    p = F.coalesce(target, F.transform(options, lambda o: F.lit(0.0)))
+    kept = F.filter(F.arrays_zip(options.alias("o"), p.alias("p"), bad.alias("b")), lambda x: ~x["b"])
     moved = dist.total(F.zip_with(target, bad, lambda p, b: F.when(b, p).otherwise(0.0)))
     rest = dist.total(F.transform(kept, lambda x: x["p"]))
     new_na = na + (1 - na) * moved
