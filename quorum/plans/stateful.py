@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 from ..operators import stateful
 from .common import table
 
-SECONDS = (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t")
+def _seconds():
+    return (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t")
+
 
 
 def rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five accepted requests a day for each user."""
-    events = table(spark, sf_dir, "events").select("user_id", SECONDS, "event_id")
+    events = table(spark, sf_dir, "events").select("user_id", _seconds(), "event_id")
     return stateful.rate_limit(events, "user_id", "t", "event_id", 5, 86_400.0).select("event_id", "accepted")
 
 
