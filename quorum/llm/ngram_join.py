@@ -13,7 +13,7 @@ the end of its size class is also indexed in the next. So every linked pair shar
 frequent passage do not.
 
 Each signature connects its nodes to the smallest of them (not each to each). Pairs from single tokens are first held
-against the sizes and sixteen-cell token counts of both sides, whose distance is at most that of the sets. The connected
+against the sizes and the counts of tokens in sixty-four cells of both sides, whose distance is at most that of the sets. The connected
 candidates then meet in families, where all sets are verified against all, family by family; a large family is dealt out as
 pairs of blocks. Verified links give the components.
 
@@ -30,6 +30,7 @@ empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -41,7 +42,8 @@ from pyspark.sql import functions as F
 from .components import components
 from .shared import slices, staged
 
-LANES = 16
+LANES = 64
+COUNTS = [f"h{k}" for k in range(LANES // 4)]
 GROWTH = 1.25
 #: A range with fewer tokens says little; such ranges are left out where enough others are sure to remain.
 SPARSE = 2
@@ -59,7 +61,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 class Shingles:
     """Sorted distinct shingle hashes of texts; remembers the hashes of words, up to a bound."""
 
-    def __init__(self, width: int, most: int = 500_000):
+    def __init__(self, width: int, most: int = 120_000):
         self.width, self.most, self.memory = width, most, {}
 
     def __call__(self, text: bytes) -> np.ndarray:
@@ -88,6 +90,22 @@ def size_classes(least: int) -> list[int]:
     return edges
 
 
+@lru_cache(maxsize=None)
+def spare_ranges(differing: int, least: int) -> int:
+    """How many ranges to add, so that sets of ``least`` tokens rarely have more sparse ranges than that.
+
+    None if that number does not settle: at low thresholds ranges are short, and all of them are kept.
+    """
+    spare = 0
+    for _ in range(30):
+        if spare > differing // 2:
+            return 0
+        ranges = differing + 1 + spare
+        mean = least / ranges
+        spare = int(1.15 * ranges * np.exp(-mean) * (1 + mean)) + 1
+    return spare if differing >= 4 else 0
+
+
 def signatures(tokens: np.ndarray, per_cent: int, edges: list[int]) -> tuple[np.ndarray, np.ndarray]:
     """Single-token signatures of the prefix and combination signatures of the extended prefix."""
     n = len(tokens)
@@ -101,7 +119,7 @@ def signatures(tokens: np.ndarray, per_cent: int, edges: list[int]) -> tuple[np.
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(tokens))])
         for c in classes:
             differing = 2 * (edges[c + 1] - 1) * (100 - per_cent) // (100 + per_cent)
-            spare = 1 + differing // 32 if differing >= 4 else 0
+            spare = spare_ranges(differing, edges[c])
             ranges = differing + 1 + spare
             at = np.searchsorted((tokens >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32), np.arange(ranges + 1, dtype=np.uint64))
             place = np.arange(ranges, dtype=np.uint64) + np.uint64(c << 40)
@@ -111,27 +129,27 @@ def signatures(tokens: np.ndarray, per_cent: int, edges: list[int]) -> tuple[np.
 
 
 def lanes(tokens: np.ndarray) -> np.ndarray:
-    """Counts of tokens by their last four bits, as four longs of four counts; a count stops at 32767."""
+    """Counts of tokens by their last bits, four to a long; a count stops at 32767."""
     counts = np.minimum(np.bincount((tokens & np.uint64(LANES - 1)).astype(np.int64), minlength=LANES), 32767)
-    return (counts.reshape(4, 4) << np.array([0, 16, 32, 48])).sum(1)
+    return (counts.reshape(-1, 4) << np.array([0, 16, 32, 48])).sum(1)
 
 
 def _scan(width: int, per_cent: int, edges: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, longs = Shingles(width), pa.list_(pa.int64())
-        for some in slices(batches, "text", rows=1000):
+        for some in slices(batches, "text", rows=250, size=2 << 20):
             sets = [shingles(t or b"") for t in some.column("text").cast(pa.binary()).to_pylist()]
             signs = [signatures(s, per_cent, edges) for s in sets]
             nodes = [xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None for s in sets]
             four = np.stack([lanes(s) for s in sets])
-            columns = [some.column("row_key"), some.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64()), *(pa.array(four[:, k]) for k in range(4))]
+            columns = [some.column("row_key"), some.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64()), *(pa.array(four[:, k]) for k in range(LANES // 4))]
             columns += [pa.array([s[k].view(np.int64) for s in signs], longs) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays(columns, names=["row_key", "doc_id", "n", "node", "h0", "h1", "h2", "h3", "single", "combined"])
+            yield pa.RecordBatch.from_arrays(columns, names=["row_key", "doc_id", "n", "node", *COUNTS, "single", "combined"])
 
     return run
 
 
-SCAN = "row_key long, doc_id long, n long, node long, h0 long, h1 long, h2 long, h3 long, single array<long>, combined array<long>"
+SCAN = "row_key long, doc_id long, n long, node long, " + "".join(f"{c} long, " for c in COUNTS) + "single array<long>, combined array<long>"
 
 
 def _near(per_cent: int) -> Column:
@@ -197,7 +215,7 @@ def _verify(width: int, per_cent: int):
     return run
 
 
-def join(docs: DataFrame, width: int = 5, per_cent: int = 80, id_col: str = "doc_id", text_col: str = "text", block: int = 1500, batch: int = 2000) -> DataFrame:
+def join(docs: DataFrame, width: int = 5, per_cent: int = 80, id_col: str = "doc_id", text_col: str = "text", block: int = 1000, batch: int = 500) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable by links), n_links and first of every row.
 
     ``docs`` is read twice and must give the same rows in the same order (a table does; stage what a shuffle made), which is
@@ -209,7 +227,7 @@ def join(docs: DataFrame, width: int = 5, per_cent: int = 80, id_col: str = "doc
 
 def deduplicate(docs: DataFrame, width: int = 5, per_cent: int = 80, id_col: str = "doc_id", text_col: str = "text", **bounds) -> DataFrame:
     """The rows and columns of ``docs`` without all but one row of each component; rows without shingles all stay."""
-    bounds = {"block": 1500, "batch": 2000} | bounds
+    bounds = {"block": 1000, "batch": 500} | bounds
     others = _joined(docs, width, per_cent, id_col, text_col, **bounds).where("not first").select(F.col("row_key").alias("__row_key"))
     return docs.withColumn("__row_key", F.monotonically_increasing_id()).join(staged(others, "copies").hint("shuffle_hash"), "__row_key", "left_anti").select(*docs.columns)
 
@@ -219,7 +237,7 @@ def _joined(docs: DataFrame, width: int, per_cent: int, id_col: str, text_col: s
     rows = docs.select(F.monotonically_increasing_id().alias("row_key"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     scan = staged(rows.mapInArrow(_scan(width, per_cent, edges), SCAN), "shingles")
     full = scan.where(F.col("node").isNotNull())
-    nodes = full.groupBy("node").agg(F.min("row_key").alias("row_key"), F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("copies"), *(F.max(c).alias(c) for c in ("n", "h0", "h1", "h2", "h3")))
+    nodes = full.groupBy("node").agg(F.min("row_key").alias("row_key"), F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("copies"), *(F.max(c).alias(c) for c in ("n", *COUNTS)))
     nodes = staged(nodes, "nodes")
 
     # Both kinds of signature are counted in one aggregation; a kind is the last bit.
@@ -228,7 +246,7 @@ def _joined(docs: DataFrame, width: int, per_cent: int, id_col: str, text_col: s
     both = full.select("node", F.explode(F.concat(sign("single", 0), sign("combined", 1))).alias("sig"))
     shared = staged(both.groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi"), "signatures")
     rare = shared.where("sig % 2 = 0").select("lo", "hi").distinct()
-    side = lambda s: [F.col(c).alias(f"{s}_{c}") for c in ("n", "h0", "h1", "h2", "h3")]
+    side = lambda s: [F.col(c).alias(f"{s}_{c}") for c in ("n", *COUNTS)]
     rare = rare.join(nodes.select(F.col("node").alias("lo"), *side("a")), "lo").join(nodes.select(F.col("node").alias("hi"), *side("b")), "hi").where(_near(per_cent)).select(F.col("lo").alias("u"), F.col("hi").alias("v"))
     stars = combined.join(shared.where("sig % 2 != 0").select("sig", "lo"), "sig").where("node != lo").select(F.col("node").alias("u"), F.col("lo").alias("v"))
     families = components(rare.unionByName(stars)).withColumnRenamed("root", "family")

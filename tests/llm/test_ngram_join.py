@@ -117,7 +117,7 @@ def test_lane_distance_is_a_lower_bound(spark):
         b = np.unique(np.concatenate([a[rng.random(len(a)) > 0.05], rng.integers(0, 1 << 63, 4, dtype=np.uint64)]))
         similar = 100 * len(np.intersect1d(a, b)) >= 90 * len(np.union1d(a, b))
         rows.append((len(a), *map(int, ngram_join.lanes(a)), len(b), *map(int, ngram_join.lanes(b)), similar))
-    names = [f"{s}_{c}" for s in "ab" for c in ("n", "h0", "h1", "h2", "h3")]
+    names = [f"{s}_{c}" for s in "ab" for c in ("n", *ngram_join.COUNTS)]
     frame = spark.createDataFrame(rows, ", ".join(f"{c} long" for c in names) + ", similar boolean")
     assert frame.where("similar").where(~ngram_join._near(90)).count() == 0 and frame.where("similar").count() > 5
     assert frame.select(F.count_if(F.col("similar"))).first()[0]
