@@ -12,6 +12,12 @@ happen to hold less than two tokens are left out by sets that have at most s of
 the end of its size class is also indexed in the next. So every linked pair shares a signature of one kind or the other, while sets that merely share a
 frequent passage do not.
 
+Ranges hold so many tokens only at high thresholds. Below ``DIRECT`` per cent prefixes are extended by a tenth of the set, so
+similar sets share at least that many tokens there. If one of them is rare, it serves alone. Otherwise all are frequent, and both
+sets are dense: they have that many frequent tokens in their extended prefixes. Only dense sets combine tokens, in ranges of twice
+the length: of d / 2 + 1 + 2 s of them at least 2 s + 1 differ in at most one token, so a range is indexed whole and without each
+of its tokens in turn. A set leaves out up to s ranges of less than two tokens.
+
 Each signature connects its nodes to the smallest of them (not each to each). Pairs from single tokens are first held
 against the sizes and the counts of tokens in sixty-four cells of both sides, whose distance is at most that of the sets. The connected
 candidates then meet in families, where all sets are verified against all, family by family; a large family is dealt out as
@@ -45,6 +51,8 @@ from .shared import slices, staged
 LANES = 64
 COUNTS = [f"h{k}" for k in range(LANES // 4)]
 GROWTH = 1.25
+#: From this threshold on, ranges of equal tokens are long enough to be indexed for all sets.
+DIRECT = 90
 #: A range with fewer tokens says little; such ranges are left out where enough others are sure to remain.
 SPARSE = 2
 _A, _B, _C, _M1, _M2 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -128,6 +136,54 @@ def signatures(tokens: np.ndarray, per_cent: int, edges: list[int]) -> tuple[np.
     return single, np.concatenate(combined)
 
 
+def extended_prefix(tokens: np.ndarray, per_cent: int, least: int) -> np.ndarray:
+    """The prefix of a set and a tenth of the set more; similar sets share ``common_least`` tokens there."""
+    n = len(tokens)
+    return tokens[: n - (-(-per_cent * n // 100)) + max(1, n // 10)] if n >= least else tokens[:0]
+
+
+def common_least(n: Column, per_cent: int) -> Column:
+    """How many tokens the extended prefix of a set of n shares with that of any similar set, at least."""
+    return F.greatest(F.lit(1), F.floor(F.ceil(n * per_cent / 100) / 10))
+
+
+@lru_cache(maxsize=None)
+def spare_wide_ranges(differing: int, least: int) -> int:
+    """How many sparse wide ranges a set may leave out: what sets of ``least`` tokens have, and two deviations."""
+    spare = 0
+    for _ in range(30):
+        if 2 * spare > differing // 2:
+            return 0
+        ranges = differing // 2 + 1 + 2 * spare
+        mean = least / ranges
+        expected = ranges * np.exp(-mean) * (1 + mean)
+        spare = int(expected + 2 * np.sqrt(expected)) + 1
+    return spare if differing >= 4 else 0
+
+
+def wide_signatures(tokens: np.ndarray, per_cent: int, edges: list[int]) -> np.ndarray:
+    """Combinations of the tokens of each wide range: all of them, and all but one."""
+    n = len(tokens)
+    if n < edges[0]:
+        return np.zeros(0, np.uint64)
+    own, found = int(np.searchsorted(edges, n, side="right")) - 1, []
+    mixed = mix(tokens)
+    with np.errstate(over="ignore"):
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed)])
+        for c in [own] + ([own + 1] if 100 * n >= per_cent * edges[own + 1] else []):
+            differing = 2 * (edges[c + 1] - 1) * (100 - per_cent) // (100 + per_cent)
+            spare = spare_wide_ranges(differing, edges[c])
+            ranges = differing // 2 + 1 + 2 * spare
+            at = np.searchsorted((tokens >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32), np.arange(ranges + 1, dtype=np.uint64))
+            held = np.diff(at)
+            total = sums[at[1:]] - sums[at[:-1]] + mix(np.arange(ranges, dtype=np.uint64) + np.uint64(c << 40) + _C)
+            full = held >= SPARSE
+            keep = full if ranges - full.sum() <= spare else np.ones(ranges, bool)
+            without = (np.repeat(total, held) - mixed)[np.repeat(keep, held)]
+            found += [mix(total[keep]), mix(without)]
+    return np.unique(np.concatenate(found))
+
+
 def lanes(tokens: np.ndarray) -> np.ndarray:
     """Counts of tokens by their last bits, four to a long; a count stops at 32767."""
     counts = np.minimum(np.bincount((tokens & np.uint64(LANES - 1)).astype(np.int64), minlength=LANES), 32767)
@@ -139,7 +195,7 @@ def _scan(width: int, per_cent: int, edges: list[int]):
         shingles, longs = Shingles(width), pa.list_(pa.int64())
         for some in slices(batches, "text", rows=250, size=2 << 20):
             sets = [shingles(t or b"") for t in some.column("text").cast(pa.binary()).to_pylist()]
-            signs = [signatures(s, per_cent, edges) for s in sets]
+            signs = [signatures(s, per_cent, edges) if per_cent >= DIRECT else (extended_prefix(s, per_cent, edges[0]), s[:0]) for s in sets]
             nodes = [xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None for s in sets]
             four = np.stack([lanes(s) for s in sets])
             columns = [some.column("row_key"), some.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64()), *(pa.array(four[:, k]) for k in range(LANES // 4))]
@@ -152,6 +208,16 @@ def _scan(width: int, per_cent: int, edges: list[int]):
 SCAN = "row_key long, doc_id long, n long, node long, " + "".join(f"{c} long, " for c in COUNTS) + "single array<long>, combined array<long>"
 
 
+def _combine(width: int, per_cent: int, edges: list[int]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = Shingles(width)
+        for some in slices(batches, "text", rows=250, size=2 << 20):
+            signs = [wide_signatures(shingles(t or b""), per_cent, edges).view(np.int64) for t in some.column("text").cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([some.column("node"), pa.array(signs, pa.list_(pa.int64()))], names=["node", "combined"])
+
+    return run
+
+
 def _near(per_cent: int) -> Column:
     """Whether the counts of both sides (a_, b_) allow a similar pair."""
     lane = lambda side, k: F.shiftright(F.col(f"{side}_h{k // 4}"), 16 * (k % 4)).bitwiseAND(F.lit(0xFFFF))
@@ -232,6 +298,43 @@ def deduplicate(docs: DataFrame, width: int = 5, per_cent: int = 80, id_col: str
     return docs.withColumn("__row_key", F.monotonically_increasing_id()).join(staged(others, "copies").hint("shuffle_hash"), "__row_key", "left_anti").select(*docs.columns)
 
 
+def _possible(pairs: DataFrame, nodes: DataFrame, per_cent: int) -> DataFrame:
+    """The pairs (lo, hi) of nodes whose sizes and counts allow a link, as (u, v)."""
+    side = lambda s: [F.col(c).alias(f"{s}_{c}") for c in ("n", *COUNTS)]
+    both = pairs.join(nodes.select(F.col("node").alias("lo"), *side("a")), "lo").join(nodes.select(F.col("node").alias("hi"), *side("b")), "hi")
+    return both.where(_near(per_cent)).select(F.col("lo").alias("u"), F.col("hi").alias("v"))
+
+
+def _connect_all(full: DataFrame, nodes: DataFrame, per_cent: int) -> DataFrame:
+    """Edges (u, v) that connect all candidates, by combinations of all sets."""
+    # Both kinds of signature are counted in one aggregation; a kind is the last bit.
+    sign = lambda c, bit: F.transform(c, lambda x: x.bitwiseAND(F.lit(-2)).bitwiseOR(F.lit(bit)))
+    combined = full.select("node", F.explode(sign("combined", 1)).alias("sig"))
+    both = full.select("node", F.explode(F.concat(sign("single", 0), sign("combined", 1))).alias("sig"))
+    shared = staged(both.groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi"), "signatures")
+    rare = _possible(shared.where("sig % 2 = 0").select("lo", "hi").distinct(), nodes, per_cent)
+    stars = combined.join(shared.where("sig % 2 != 0").select("sig", "lo"), "sig").where("node != lo").select(F.col("node").alias("u"), F.col("lo").alias("v"))
+    return rare.unionByName(stars)
+
+
+def _connect_dense(full: DataFrame, nodes: DataFrame, rows: DataFrame, width: int, per_cent: int, edges: list[int]) -> DataFrame:
+    """Edges (u, v) that connect all candidates, by rare tokens and combinations of dense sets."""
+    # One row for each node, so that a count is one of different sets and a group of copies counts once.
+    sets = staged(full.join(nodes.select("row_key").hint("shuffle_hash"), "row_key", "left_semi").select("node", "n", "single"), "sets")
+    count = [F.min("node").alias("lo"), F.max("node").alias("hi"), F.count(F.lit(1)).alias("sets")]
+    tokens = sets.select("node", F.explode("single").alias("sig"))
+    shared = staged(tokens.groupBy("sig").agg(*count).where("sets > 1"), "tokens")
+    met = tokens.join(shared.where("sets > 2").select("sig"), "sig").groupBy("node").agg(F.count(F.lit(1)).alias("frequent"))
+    dense = met.join(nodes.select("node", "n", "row_key"), "node").where(F.col("frequent") >= common_least(F.col("n"), per_cent))
+    dense = staged(dense.select("node", "row_key"), "dense")
+    texts = rows.select("row_key", "text").join(dense.hint("shuffle_hash"), "row_key").select("node", "text")
+    combined = staged(texts.mapInArrow(_combine(width, per_cent, edges), "node long, combined array<long>"), "combined").select("node", F.explode("combined").alias("sig"))
+    wide = staged(combined.groupBy("sig").agg(*count).where("sets > 1"), "combinations")
+    rare = _possible(shared.unionByName(wide).where("sets = 2").select("lo", "hi").distinct(), nodes, per_cent)
+    stars = combined.join(wide.where("sets > 2").select("sig", "lo"), "sig").where("node != lo").select(F.col("node").alias("u"), F.col("lo").alias("v"))
+    return rare.unionByName(stars.distinct())
+
+
 def _joined(docs: DataFrame, width: int, per_cent: int, id_col: str, text_col: str, block: int, batch: int) -> DataFrame:
     edges = size_classes(-(-100 // (100 - per_cent)) - 1 if per_cent < 100 else 1 << 30)
     rows = docs.select(F.monotonically_increasing_id().alias("row_key"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -240,16 +343,11 @@ def _joined(docs: DataFrame, width: int, per_cent: int, id_col: str, text_col: s
     nodes = full.groupBy("node").agg(F.min("row_key").alias("row_key"), F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("copies"), *(F.max(c).alias(c) for c in ("n", *COUNTS)))
     nodes = staged(nodes, "nodes")
 
-    # Both kinds of signature are counted in one aggregation; a kind is the last bit.
-    sign = lambda c, bit: F.transform(c, lambda x: x.bitwiseAND(F.lit(-2)).bitwiseOR(F.lit(bit)))
-    combined = full.select("node", F.explode(sign("combined", 1)).alias("sig"))
-    both = full.select("node", F.explode(F.concat(sign("single", 0), sign("combined", 1))).alias("sig"))
-    shared = staged(both.groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi"), "signatures")
-    rare = shared.where("sig % 2 = 0").select("lo", "hi").distinct()
-    side = lambda s: [F.col(c).alias(f"{s}_{c}") for c in ("n", *COUNTS)]
-    rare = rare.join(nodes.select(F.col("node").alias("lo"), *side("a")), "lo").join(nodes.select(F.col("node").alias("hi"), *side("b")), "hi").where(_near(per_cent)).select(F.col("lo").alias("u"), F.col("hi").alias("v"))
-    stars = combined.join(shared.where("sig % 2 != 0").select("sig", "lo"), "sig").where("node != lo").select(F.col("node").alias("u"), F.col("lo").alias("v"))
-    families = components(rare.unionByName(stars)).withColumnRenamed("root", "family")
+    if per_cent >= DIRECT:
+        connected = _connect_all(full, nodes, per_cent)
+    else:
+        connected = _connect_dense(full, nodes, rows, width, per_cent, edges)
+    families = components(connected).withColumnRenamed("root", "family")
 
     sizes = families.groupBy("family").agg(F.count(F.lit(1)).alias("size"))
     met = families.join(sizes, "family").join(nodes.select("node", "row_key", "copies"), "node")

@@ -97,6 +97,9 @@ def test_similar_sets_share_a_signature(n, data):
     inter, union = len(np.intersect1d(base, other)), len(np.union1d(base, other))
     if len(other) and 100 * inter >= per_cent * union and union > inter:
         edges = ngram_join.size_classes(-(-100 // (100 - per_cent)) - 1)
+        ext = [ngram_join.extended_prefix(x, per_cent, edges[0]) for x in (base, other)]
+        assert len(np.intersect1d(*ext)) >= max(max(1, -(-per_cent * len(x) // 100) // 10) for x in (base, other))
+        assert len(np.intersect1d(*(ngram_join.wide_signatures(x, per_cent, edges) for x in (base, other))))
         (s1, c1), (s2, c2) = (ngram_join.signatures(x, per_cent, edges) for x in (base, other))
         assert len(np.intersect1d(c1, c2)) and len(np.intersect1d(s1, s2))
 
