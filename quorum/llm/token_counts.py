@@ -81,5 +81,6 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str | None = None, id_c
     chosen = narrow.groupBy("digest").agg(F.min("row_key").alias("row_key")).join(known.select("digest"), "digest", "left_anti")
     missed = rows.join(chosen.hint("shuffle_hash"), "row_key").select("digest", "text")
     missed.mapInArrow(_encode(tokenizer, version), CACHE).write.mode("append").parquet(cache)
-    counts = _cached(spark, cache, version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))  # two writers may have appended one digest
+    # Two writers may have appended one digest. Staged, as AQE splits a hot digest only where no aggregation lies between shuffle and join.
+    counts = staged(_cached(spark, cache, version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "counts")
     return narrow.join(counts.hint("merge"), "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
