@@ -12,14 +12,15 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root) for the nodes of ``edges`` (long columns u, v); a root is the smallest node of its component.
 
     Each round lets every node connect its larger neighbours, then its smaller ones, to the smallest it knows, until
-    the edges are stars. Minima are combined before the shuffle, so a node with very many neighbours is no hot spot, and each
-    round is staged in the shared folder, so lineage stays short. Nothing is collected but two numbers a round.
+    the edges are stars. Minima are combined before the shuffle and staged, so that AQE can split the join of a node with very
+    many neighbours (it does not where an aggregation lies between shuffle and join). Each round is staged in the shared folder, so
+    lineage stays short. Nothing is collected but two numbers a round.
     """
     pairs = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct()
     pairs, before = staged(pairs, "edges"), None
     for _ in range(most_rounds):
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        least = staged(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         own = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(own, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
