@@ -366,6 +366,7 @@ def _joined(docs: DataFrame, width: int, per_cent: int, id_col: str, text_col: s
     owned = nodes.select("node", "low", "copies", "row_key").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     lowest = owned.groupBy("root").agg(F.min("low").alias("component_id"), F.min("row_key").alias("first_key"))
     known = owned.join(lowest, "root").join(links, "node", "left").select("node", "component_id", "first_key", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    known = staged(known, "known")  # no aggregation between shuffle and join, so AQE can split a group of copies
     linked = full.select("row_key", "node", "doc_id", "n").join(known.hint("merge"), "node").select("row_key", "doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links", (F.col("row_key") == F.col("first_key")).alias("first"))
     alone = scan.where(F.col("node").isNull()).select("row_key", "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("first"))
     return linked.unionByName(alone)
