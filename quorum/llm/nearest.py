@@ -4,8 +4,9 @@ Coarse centroids and the codebooks of the residuals are fitted on a bounded samp
 smallest hashes of their ids) and broadcast; every vector is indexed: its cell, the code of its residual and itself.
 A query visits cells in the order of their centroids' inner product with it until they hold ``share`` of all vectors
 (and more than ``k``), as the counts of the cells tell. In a cell, a table of the query's inner products with all code words
-scores each code by additions; the best ``rerank`` of a block are scored again with the original vectors in double
-precision, and the best ``k`` of all visited blocks are returned, ties to the smaller id.
+scores each code by additions; the best ``rerank`` distinct vectors of a block, and all that tie with the last of them, are scored
+again with the original vectors in double precision, and the best ``k`` of all visited blocks are returned, ties to the smaller id.
+Equal vectors are scored once and stand for their smallest ids, so a group of copies of any size loses none that belongs to the best.
 
 Recall depends on how clustered the vectors are. For vectors without any structure (independent directions) neighbours are
 spread over most cells; the default ``share`` is chosen for that case, and a smaller one serves clustered data.
@@ -73,19 +74,46 @@ class Index:
 
     def search(self, cell: int, queries: np.ndarray, own: np.ndarray, ids: np.ndarray, codes: np.ndarray, vectors: np.ndarray, k: int, rerank: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """The best k ids and exact scores of a block for each query; ``own`` are the ids of the queries themselves."""
-        exact_queries, exact_vectors = queries.astype(np.float64), vectors.astype(np.float64)
+        row = np.ascontiguousarray(vectors).view(np.dtype((np.void, vectors.itemsize * vectors.shape[1]))).ravel()
+        _, first, which = np.unique(row, return_index=True, return_inverse=True)
+        begins, members = _smallest_ids(which.ravel(), ids, k)
+        sizes = np.diff(begins)
+        only, single = members[begins[:-1]], members[begins[:-1]] == members[begins[1:] - 1]  # a vector that one id has is not for that id
+        codes, exact_queries, exact_vectors = codes[first], queries.astype(np.float64), vectors[first].astype(np.float64)
         for begin in range(0, len(queries), 256):
             some = queries[begin : begin + 256]
-            scores = np.repeat((some @ self.centres[cell])[:, None], len(ids), 1)
+            scores = np.repeat((some @ self.centres[cell])[:, None], len(first), 1)
             for m, (a, b) in enumerate(zip(self.edges, self.edges[1:], strict=False)):
                 scores += (some[:, a:b] @ self.books[m].T)[:, codes[:, m]]
-            scores[own[begin : begin + 256][:, None] == ids[None, :]] = -np.inf
+            scores[(own[begin : begin + 256][:, None] == only[None, :]) & single[None, :]] = -np.inf
             for q in range(len(some)):
-                top = np.argpartition(-scores[q], rerank)[:rerank] if len(ids) > rerank else np.arange(len(ids))
-                top = top[scores[q, top] > -np.inf]
+                least = np.partition(scores[q], -rerank)[-rerank] if len(first) > rerank else -np.inf
+                top = np.flatnonzero((scores[q] >= least) & (scores[q] > -np.inf))
                 exact = (exact_vectors[top] * exact_queries[begin + q]).sum(1)
-                best = np.lexsort((ids[top], -exact))[:k]
-                yield ids[top][best], exact[best]
+                ends = np.cumsum(sizes[top])
+                near = members[np.repeat(begins[top] - ends + sizes[top], sizes[top]) + np.arange(ends[-1] if len(ends) else 0)]
+                exact = np.repeat(exact, sizes[top])
+                other = near != own[begin + q]
+                near, exact = near[other], exact[other]
+                best = np.lexsort((near, -exact))[:k]
+                yield near[best], exact[best]
+
+
+def _smallest_ids(which: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where each distinct vector's ids begin, and the ids: of equal vectors the smallest that can be among the k best of a query, whatever its own id."""
+    order = np.lexsort((ids, which))
+    which, ids = which[order], ids[order]
+    place = np.arange(len(ids))
+
+    def nth(new: np.ndarray) -> np.ndarray:
+        return place[: len(new)] - np.maximum.accumulate(np.where(new, place[: len(new)], 0))
+
+    start = np.r_[True, which[1:] != which[:-1]]
+    keep = nth(start | np.r_[True, ids[1:] != ids[:-1]]) < k  # of a repeated id k rows at most
+    which, ids = which[keep], ids[keep]
+    keep = nth(np.r_[True, which[1:] != which[:-1]]) < 2 * k  # without a query's own id, k at least are left
+    which, ids = which[keep], ids[keep]
+    return np.r_[0, np.flatnonzero(which[1:] != which[:-1]) + 1, len(ids)], ids
 
 
 def fit(sample: np.ndarray, cells: int, width: int = 4, words: int = 64, seed: int = 11) -> Index:
@@ -150,7 +178,7 @@ def neighbours(rows: DataFrame, queries: Column, k: int = 20, id_col: str = "vec
 
     def search(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": [], "ids": [], "scores": []})
+            return pd.DataFrame({"query_id": [], "ids": [], "scores": []}, dtype=object)
         own = left["query_id"].to_numpy()
         codes = np.frombuffer(b"".join(right["code"]), np.uint8).reshape(len(right), -1)
         found = index.value.search(int(key[0]), np.stack(left["query"]), own, right["vec_id"].to_numpy(), codes, np.stack(right["vector"]), k, rerank)

@@ -191,6 +191,49 @@ def test_neighbours(spark):
     assert nearest.neighbours(frame.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_neighbours_among_thousands_of_equal_vectors(spark):
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(6000, 16)).astype("float32")
+    ids = rng.permutation(6000)
+    same = rng.choice(6000, 2500, replace=False)
+    v[same] = v[same[0]]
+    frame = spark.createDataFrame([(int(ids[k]), v[k].tolist()) for k in range(6000)], "vec_id long, embedding array<float>").repartition(3)
+    got = nearest.neighbours(frame, F.col("vec_id") % 7 == 0, k=20, block=2048).toPandas()
+    copies, of = set(ids[same].tolist()), {int(i): k for k, i in enumerate(ids)}
+    exact = v.astype(float) @ v[same[0]].astype(float)
+    hit = asked = 0
+    for q, part in got.groupby("query_id"):
+        found = part.sort_values("rank").vec_id.tolist()
+        assert q not in found and len(set(found)) == 20
+        order = np.lexsort((ids, -(v.astype(float) @ v[of[q]].astype(float))))
+        best = [int(ids[k]) for k in order if ids[k] != q][:20]
+        if q in copies:
+            first = [int(ids[k]) for k in np.lexsort((ids, -exact)) if ids[k] != q][:20]
+            asked += 1
+            hit += len(set(found) & set(first)) / 20
+        mine = [i for i in found if i in copies]
+        assert mine == sorted(copies - {q})[: len(mine)]
+        if not mine:
+            assert len(set(found) & set(best)) >= 10
+    assert asked > 300 and hit / asked >= 0.99
+
+
+def test_equal_vectors_of_a_block_keep_their_smallest_ids():
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(900, 8)).astype("float32")
+    v[:600] = v[0]
+    ids = rng.permutation(900)
+    ids[600:650] = ids[600]  # rows of one id
+    v[600:625] = v[600]
+    index = nearest.fit(v, 1)
+    _, codes = index.assign(v)
+    asked = np.r_[0:3, 600:602, 700:703]
+    exact = v.astype(float) @ v[asked].T.astype(float)
+    for n, (found, scores) in enumerate(index.search(0, v[asked], ids[asked], ids, codes, v, 20, 280)):  # 277 distinct vectors
+        rows = [k for k in np.lexsort((ids, -np.round(exact[:, n], 9))) if ids[k] != ids[asked[n]]][:20]
+        assert found.tolist() == ids[rows].tolist() and np.allclose(scores, exact[rows, n])
+
+
 def test_pipeline_stages_against_their_rules(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     one = corpus_pipeline.quality_rules(spark, docs, SF)
