@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import hashing, rules, text
 from ..operators import integrate
+from ..operators import near_duplicates as near_duplicates_of
 from .common import split_of, table
 
 TYPES = ("click", "error", "purchase", "signup", "view")
@@ -137,6 +138,15 @@ select * from (select a.conv_id, a.turn as turn_a, b.turn as turn_b, round(len(l
 from t a join t b on a.conv_id = b.conv_id and a.role = b.role and a.turn < b.turn) where j >= 0.1"""
 
 
+def near_duplicate_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of documents of one source whose sets of words have a Jaccard of 0.8 or more, by classes of equal sets.
+
+    A copy is a row with the smallest document of its class and 1; two classes are a row of their smallest documents. So the
+    pairs are those of one class and those of two classes that have a row.
+    """
+    return near_duplicates_of.pairs(table(spark, sf_dir, "documents"), "source", "doc_id", "text")
+
+
 def full_outer_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metrics of two halves side by side; those of the second come first in the order."""
     docs = table(spark, sf_dir, "documents")
@@ -197,7 +207,7 @@ def nested_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nested.select("conv_id", F.posexplode("turns").alias("pos", "t")).select("conv_id", "pos", "t.turn", "t.role", F.col("t.n").cast("long").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (denial_to_na, validity_reasons, either_or_verdicts, forced_test_split, manifest_join_missing, manifest_last_wins, merge_dedup, merge_counts, semi_filter, anti_resume, positional_zip, near_duplicates, full_outer_checks, first_wins_lookup, calibration_by_type, visibility_mask, topic_matrix, dimension_joins, json_scalar, nested_round_trip)}
+QUERIES = {f.__name__: f for f in (denial_to_na, validity_reasons, either_or_verdicts, forced_test_split, manifest_join_missing, manifest_last_wins, merge_dedup, merge_counts, semi_filter, anti_resume, positional_zip, near_duplicates, near_duplicate_documents, full_outer_checks, first_wins_lookup, calibration_by_type, visibility_mask, topic_matrix, dimension_joins, json_scalar, nested_round_trip)}
 SQL = {
     "denial_to_na": DENIAL,
     "validity_reasons": VALIDITY,

@@ -185,3 +185,45 @@ def test_quota_matches_its_weights():
     assert all(abs(q.counts[v] / 1000 - w) < 0.01 for v, w in q.weights.items())
     assert stateful.accepted_texts(["a b c d e", "a b c d e", "a b c d f", "x"]) == [True, False, True, True]
     assert stateful.lru_hits([1, 2, 1, 3, 2, 1], 2) == [False, False, True, False, False, False]
+
+
+def test_near_duplicate_pairs_equal_brute_force(spark):
+    import random
+    import re
+
+    from quorum.operators import near_duplicates
+
+    rng, rows = random.Random(3), []
+    words = [f"w{k}" for k in range(400)] + ["the", "of", "and"]
+    for k in range(400):
+        old = rng.choice(rows)[2] if rows and rng.random() < 0.6 else " ".join(rng.sample(words, rng.choice((1, 2, 4, 9, 40))))
+        new = old.upper().split(" ")
+        for _ in range(rng.choice((0, 0, 1, 2, 5))):
+            new[rng.randrange(len(new))] = rng.choice(words)
+        rows.append((k, rng.choice("ab"), " , ".join(new)))
+    rows += [(900, "a", ""), (901, "a", "?!"), (902, "a", None), (903, None, "w1"), (None, "a", "w1")]
+    got = near_duplicates.pairs(spark.createDataFrame(rows, "doc_id long, source string, text string"), "source", "doc_id", "text").collect()
+    assert len({(r.doc_id_a, r.doc_id_b) for r in got}) == len(got)
+    sets = {k: (g, frozenset(re.findall("[a-z0-9]+", t.lower()))) for k, g, t in rows if k is not None and g and t}
+    sets = {k: v for k, v in sets.items() if v[1]}
+    rep = {k: min(x for x in sets if sets[x] == sets[k]) for k in sets}
+    want = {(rep[k], k, 1.0) for k in sets if rep[k] != k}
+    for x in set(rep.values()):
+        for y in set(rep.values()):
+            (g, p), (h, q) = sets[x], sets[y]
+            if x < y and g == h and len(p & q) / len(p | q) >= 0.8:
+                want.add((x, y, round(len(p & q) / len(p | q), 6)))
+    assert {(r.doc_id_a, r.doc_id_b, r.j) for r in got} == want and len(want) > 100
+    assert any(j < 1 for *_, j in want)
+
+
+def test_near_duplicate_documents_on_the_tables(spark):
+    import re
+
+    from quorum.plans import merge
+
+    sf = "/root/testdata/sf0.01"
+    docs = [(r.source, r.doc_id, frozenset(re.findall("[a-z0-9]+", r.text.lower()))) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    want = {(i, j) for g, i, p in docs for h, j, q in docs if g == h and i < j and p and len(p & q) >= 0.8 * len(p | q)}
+    got = {(r.doc_id_a, r.doc_id_b) for r in merge.near_duplicate_documents(spark, sf).collect()}
+    assert got == want and got
