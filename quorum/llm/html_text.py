@@ -4,8 +4,8 @@ The standard library's parser is fed in pieces and its events build lines: a lin
 ends, and counts its characters and its tags. Lines inside navigation, headers of the page, footers, sidebars, notices, adverts, forms,
 comments, scripts and the like count as bare markup. The ratio of characters to tags is smoothed over neighbouring lines, and the
 lines are split into content and the rest where two clusters of the smoothed ratios part. The content region is the
-innermost element that holds most of the clustered content (an article or main element if one does); all its lines
-that are not markup are the text, short ones too.
+innermost element that holds all clustered content, but not a list or table, what is in one, or one of several sibling
+sections or articles; all its lines that are not markup are the text, short ones too.
 
 Scale: one narrow pass over whole pages, no shuffle; memory is bounded by one page and its lines.
 
@@ -35,6 +35,8 @@ MARKUP = frozenset("nav footer aside form button select script style noscript te
 #: Elements that an open element of the same kind ends before it begins; a paragraph ends before any block.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = frozenset("ul ol dl table article main section div body nav aside header footer form".split())
+LISTS = frozenset("ul ol dl table".split())
+REGIONS = frozenset("article main section div body".split())
 HINT = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu|breadcrumbs?|footer|masthead|sidebar|side|aside|cookies?|consent|notice|popup|modal|newsletter|subscribe|login|signup|comments?|respond|disqus|share|sharing|social|related|widget|toolbar|pagination|skip)(?:[\s_-]|$)",
     re.I,
@@ -133,7 +135,27 @@ def threshold(values: np.ndarray) -> float:
     return (low + high) / 2
 
 
-def main_text(html: str | None, sigma: float = 1.0, share: float = 0.6, piece: int = 1 << 16) -> str:
+def content_region(lines: list, content: np.ndarray, names: dict[int, str]) -> int | None:
+    """The innermost element that holds all clustered content, not (in) a list or table nor one of sibling sections or articles."""
+    common = lines[content[0]][3]
+    for k in content[1:]:
+        path = lines[k][3]
+        size = next((i for i, (a, b) in enumerate(zip(common, path, strict=False)) if a != b), min(len(common), len(path)))
+        common = common[:size]
+    region = None
+    for i, n in enumerate(common):
+        if names[n] in LISTS:
+            break
+        if names[n] in ("section", "article") and any(
+            text and not markup and len(path) > i and path[i] != n and names[path[i]] == names[n] and path[:i] == common[:i] for text, _, markup, path in lines
+        ):
+            break
+        if names[n] in REGIONS:
+            region = n
+    return region
+
+
+def main_text(html: str | None, sigma: float = 1.0, piece: int = 1 << 16) -> str:
     """The blocks of the main content, joined by line feeds."""
     if not html:
         return ""
@@ -150,15 +172,7 @@ def main_text(html: str | None, sigma: float = 1.0, share: float = 0.6, piece: i
     content = (smooth >= threshold(smooth)) & (ratios > 0)
     if not content.any():
         content = ratios > 0
-    mass: dict[int, float] = {}
-    for k in np.flatnonzero(content):
-        for n in lines[k][3]:
-            mass[n] = mass.get(n, 0.0) + len(lines[k][0])
-    total = sum(len(lines[k][0]) for k in np.flatnonzero(content))
-    holding = [n for n, m in mass.items() if m >= share * total]
-    region = max((n for n in holding if parser.names[n] in ("article", "main")), default=None)
-    if region is None:  # elements are numbered as they open, so the largest number is the innermost
-        region = max((n for n in holding if parser.names[n] in SCOPES), default=None)
+    region = content_region(lines, np.flatnonzero(content), parser.names)
     return "\n".join(text for text, _, markup, path in lines if text and not markup and (region is None or region in path))
 
 

@@ -156,6 +156,19 @@ def test_html_main_text():
     assert html_text.main_text("<p>" * 3000 + "deep" + "<div>" * 500 + "er") == "deep\ner"
 
 
+def test_html_regions_without_one_article():
+    long = [f"Sentence {k} of the text, which goes on for quite a while to be dense." for k in range(8)]
+    items, paragraphs = "".join(f"<li>{x}" for x in long[:5]), "".join(f"<p>{x}</p>" for x in long[:5])
+    page = f"<body><div id=content><p>{long[5]}</p><ul>{items}</ul><p>{long[6]}</p></div></body>"
+    assert html_text.main_text(page).split("\n") == [long[5], *long[:5], long[6]]
+    two = [f"<{{0}}>{paragraphs}</{{0}}>", f"<{{0}}><p>{long[5]}</p><p>{long[6]}</p></{{0}}>", "<{0}><p>Short.</p></{0}>"]
+    for tag, outer in (("section", "div"), ("article", "main"), ("article", "body"), ("section", "article")):
+        for some in (two, two[1:], [two[0], two[2]]):
+            got = html_text.main_text(f"<nav>Home</nav><{outer}>{''.join(some).format(tag)}</{outer}><footer>F</footer>").split("\n")
+            assert got == [x for k, t in ((two[0], long[:5]), (two[1], long[5:7]), (two[2], ["Short."])) if k in some for x in t]
+    assert html_text.main_text(f"<div><p>Short.</p><table><tr><td><div>{long[0]}</div><td>x</table></div>").split("\n") == ["Short.", long[0], "x"]
+
+
 def test_html_query(spark):
     import html
     import re
