@@ -70,3 +70,17 @@ def prefix_until(frame: DataFrame, order: list[Column], value: Column, total: Co
 def resume(work: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     """The rows that are still to do."""
     return work.join(done.select(*keys), keys, "left_anti")
+
+
+def visible_turns(rows: DataFrame) -> DataFrame:
+    """conv_id, turn, visible: how many turns a turn sees, from the sizes of blocks."""
+    turns = rows.where("conv_id is not null and turn is not null").groupBy("conv_id", "turn").agg(F.count(F.lit(1)).alias("m"))
+    turns = turns.withColumn("blk", F.when(F.col("turn") < 2, 0).otherwise(F.floor(F.col("turn") / 2)).cast("long"))
+    turns = turns.withColumn("parent", F.when(F.col("blk") > 1, F.floor(F.col("blk") / 2)).otherwise(0).cast("long"))
+    sizes = turns.groupBy("conv_id", "blk").agg(F.sum("m").alias("size"))
+    prefix = sizes.where("blk = 0").select("conv_id", F.col("size").alias("before"))
+    parents = sizes.where("blk > 0").select("conv_id", F.col("blk").alias("parent"), F.col("size").alias("above"))
+    own = F.sum("m").over(Window.partitionBy("conv_id", "blk").orderBy("turn"))
+    joined = turns.withColumn("own", own).join(prefix, "conv_id", "left").join(parents, ["conv_id", "parent"], "left")
+    others = F.when(F.col("blk") > 0, F.coalesce("before", F.lit(0)) + F.coalesce("above", F.lit(0))).otherwise(0)
+    return joined.select("conv_id", "turn", (F.col("m") * (F.col("own") + others)).alias("visible"))

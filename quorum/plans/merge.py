@@ -170,12 +170,12 @@ def calibration_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def visibility_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which turns see which: an earlier one of the same conversation in the prefix, the same block or its parent."""
-    t = table(spark, sf_dir, "conversations").where("turn < 12").select("conv_id", "turn", F.when(F.col("turn") < 2, 0).otherwise(F.floor(F.col("turn") / 2)).alias("blk"))
-    t = t.withColumn("parent", F.when(F.col("blk") > 1, F.floor(F.col("blk") / 2)).otherwise(0))
-    a, b = t.alias("a"), t.alias("b")
-    sees = (F.col("b.turn") <= F.col("a.turn")) & ((F.col("b.blk") == 0) | (F.col("b.blk") == F.col("a.blk")) | (F.col("b.blk") == F.col("a.parent")))
-    return a.join(b, (F.col("a.conv_id") == F.col("b.conv_id")) & sees).groupBy(F.col("a.conv_id").alias("conv_id"), F.col("a.turn").alias("turn")).agg(F.count(F.lit(1)).alias("visible"))
+    """Which turns see which: an earlier one of the same conversation in the prefix, the same block or its parent.
+
+    Blocks follow each other, so the prefix and the parent are seen whole from later blocks: their sizes are counted, and in the
+    turn's own block those up to it. A repeated turn counts each time; rows without a conversation or turn see nothing.
+    """
+    return integrate.visible_turns(table(spark, sf_dir, "conversations"))
 
 
 PATTERNS = (("negation", "(^| )(not|no|nicht|pas)( |$)"), ("conjunction", "(^| )(and|und|et|y)( |$)"), ("article", "(^| )(the|der|die|das|le|la|el)( |$)"), ("number", "[0-9]"), ("licence", "licen[sc]e"), ("mark", "!!"), ("pipe", "[|]"), ("question", "[?]"), ("mail", "@"))

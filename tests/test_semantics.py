@@ -227,3 +227,19 @@ def test_near_duplicate_documents_on_the_tables(spark):
     want = {(i, j) for g, i, p in docs for h, j, q in docs if g == h and i < j and p and len(p & q) >= 0.8 * len(p | q)}
     got = {(r.doc_id_a, r.doc_id_b) for r in merge.near_duplicate_documents(spark, sf).collect()}
     assert got == want and got
+
+
+def test_visible_turns_of_long_conversations(spark, tmp_path):
+    from collections import Counter
+
+    from quorum.plans import merge
+
+    rows = [(c, t) for c, n in ((1, 8), (2, 41), (3, 90)) for t in range(n)] + [(2, 30), (2, 30), (2, 7), (4, 25), (4, 12), (4, 6), (5, None), (None, 3)]
+    spark.createDataFrame(rows, "conv_id long, turn int").write.parquet(f"{tmp_path}/conversations.parquet")
+    blk = lambda t: 0 if t < 2 else t // 2
+    want = Counter()
+    for c, t in rows:
+        for d, u in rows:
+            if None not in (c, t, d, u) and c == d and u <= t and blk(u) in (0, blk(t), blk(t) // 2 if blk(t) > 1 else 0):
+                want[c, t] += 1
+    assert {(r.conv_id, r.turn): r.visible for r in merge.visibility_mask(spark, str(tmp_path)).collect()} == want
