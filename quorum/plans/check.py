@@ -76,7 +76,7 @@ CHECKS = " union all ".join(
 
 
 def source_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per source: rows, distinct texts, share of the fifty most frequent, languages, share of labelled."""
+    """Per source: rows, distinct texts, share of the five most frequent (source_top_share: of fifty), languages, share of labelled."""
     docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left").select("source", "lang", "quality", text.dedup_key(F.col("text")).alias("key"))
     counts = docs.groupBy("source", "key").agg(F.count(F.lit(1)).alias("n"))
     ranked = counts.withColumn("rk", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n"), F.md5("key"))))
@@ -92,6 +92,20 @@ s as (select source, count(*) as distinct_texts, round(sum(n) filter (rk <= 5) /
 select source, count(*) as n, count(distinct lang) as langs, round(avg((quality is not null)::INT), 6) as labelled, any_value(distinct_texts) as distinct_texts, any_value(top_share) as top_share from d join s using (source) group by 1"""
 
 
+def language_share_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The check of languages with five per cent of the documents or more, by share and not by rows as in acceptance_checks."""
+    langs = table(spark, sf_dir, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    total = langs.where("lang is not null").crossJoin(F.broadcast(langs.agg(F.sum("n").alias("total"))))
+    return check_row(total, "languages of five per cent", F.count_if(F.col("n") * 20 >= F.col("total")), 4, None)
+
+
+def source_top_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per source the share of its fifty most frequent texts (A8-A12); source_profile has that of the first five."""
+    counts = table(spark, sf_dir, "documents").groupBy("source", text.dedup_key(F.col("text")).alias("key")).agg(F.count(F.lit(1)).alias("n"))
+    ranked = counts.withColumn("rk", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n"))))  # equal counts add up the same in any order
+    return ranked.groupBy("source").agg(F.round(F.sum(F.when(F.col("rk") <= 50, F.col("n"))) / F.sum("n"), 6).alias("top_share"))
+
+
 def share_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two-level shares by source, the largest deviation of a source's mix from the whole."""
     docs = table(spark, sf_dir, "documents")
@@ -140,7 +154,7 @@ def html_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select("item_id", F.md5(text.escape_html(raw)).alias("escaped"), F.length(F.regexp_replace(F.base64(F.col("text").cast("binary")), "[\r\n]", "")).alias("n64"))
 
 
-QUERIES = {f.__name__: f for f in (acceptance_checks, source_profile, share_checks, request_validation, writer_postprocess, html_escape)}
+QUERIES = {f.__name__: f for f in (acceptance_checks, source_profile, language_share_check, source_top_share, share_checks, request_validation, writer_postprocess, html_escape)}
 SQL = {
     "acceptance_checks": CHECKS,
     "source_profile": PROFILE,

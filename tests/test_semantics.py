@@ -243,3 +243,13 @@ def test_visible_turns_of_long_conversations(spark, tmp_path):
             if None not in (c, t, d, u) and c == d and u <= t and blk(u) in (0, blk(t), blk(t) // 2 if blk(t) > 1 else 0):
                 want[c, t] += 1
     assert {(r.conv_id, r.turn): r.visible for r in merge.visibility_mask(spark, str(tmp_path)).collect()} == want
+
+
+def test_shares_do_not_depend_on_the_size_of_the_table(spark, tmp_path):
+    from quorum.plans import check
+
+    langs = ["en"] * 1400 + ["de"] * 400 + ["fr"] * 130 + ["es"] * 70  # es has 3.5 per cent
+    rows = [(k, x, "s", f"t{k % 100 if k < 1000 else k}") for k, x in enumerate(langs)]  # 100 texts ten times, others once
+    spark.createDataFrame(rows, "doc_id long, lang string, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert [tuple(r) for r in check.language_share_check(spark, str(tmp_path)).collect()] == [("languages of five per cent", 3.0, "FAIL")]
+    assert [tuple(r) for r in check.source_top_share(spark, str(tmp_path)).collect()] == [("s", 0.25)]
