@@ -4,12 +4,12 @@ The trees are grown with histograms and monotonic constraints: more symbols, rep
 one-word runs can never raise a score. A fitted forest is flattened into node arrays (feature, threshold, left,
 right, value), which numpy walks for all rows of a batch and all trees at once.
 
-Training uses a bounded sample of labelled rows (``sample`` documents, those with the smallest hashes of their ids), so
+Training uses a bounded sample of labelled rows (``sample`` documents, those with the smallest hashes of their ids, one row each), so
 the driver's work does not depend on the size of the corpus. Scoring is one narrow pass without a shuffle.
 
 Cases: a null or blank text has no words and fails the base rule; very long texts are read whole, in linear space;
 without usable labels of both kinds the base rule decides alone; rows with repeated or null ids are each returned; an
-empty table gives no rows; other columns are ignored.
+empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,8 +21,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .shared import broadcast_bounded, slices
+from .shared import broadcast_bounded, col, fresh, slices
 
 SPACE = bytes([0x20, *range(0x09, 0x0E)])
 INNER = bytes(range(0x80, 0xC0))  # the bytes of a code point after its first
@@ -148,13 +149,14 @@ def fit(x: np.ndarray, y: np.ndarray, monotone=MONOTONE, trees: int = 60, depth:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, sample: int, id_col: str, text_col: str, where=None) -> DataFrame:
-    """At most ``sample`` labelled documents, by the smallest hashes of their ids: (label, text)."""
+    """At most ``sample`` labelled documents, by the smallest hashes of their ids: (label, text). Of the rows of one id, the
+    least text stands for all, so the bound holds for rows too."""
     usable = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1))
     usable = usable if where is None else usable.where(where)
     one = usable.groupBy(F.col("doc_id").cast("long").alias("__doc")).agg(F.min(label).alias("__y"))
     chosen = one.orderBy(F.xxhash64("__doc"), "__doc").limit(sample)
-    texts = docs.select(F.col(id_col).cast("long").alias("__doc"), F.col(text_col).alias("text"))
-    return texts.join(F.broadcast(chosen), "__doc").select(F.col("__y").alias("label"), "text")
+    texts = docs.select(col(id_col).cast("long").alias("__doc"), col(text_col).alias("text")).join(F.broadcast(chosen), "__doc")
+    return texts.groupBy("__doc").agg(F.min("__y").alias("label"), F.min("text").alias("text")).drop("__doc")
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = 6000, id_col: str = "doc_id", text_col: str = "text", label: str = "quality") -> Forest | None:
@@ -179,24 +181,33 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 6000, id_col: str =
 def assess(docs: DataFrame, forest: Forest | None, threshold: float = 0.5, keep: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score, kept of every row.
 
-    With ``keep``, the named columns of ``docs`` come first instead of doc_id.
+    With ``keep``, the named columns of ``docs`` come first instead of doc_id, and a result whose name one of them has
+    gets underscores at its end.
     """
-    spark = docs.sparkSession
-    model = broadcast_bounded(spark, forest, "the forest")
-    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    carried = [F.col(c) for c in keep] if keep is not None else [F.col(id_col).cast("long").alias("doc_id")]
-    rows = docs.select(*carried, F.col(text_col).alias("__text"))
-    front = rows.columns[:-1]
+    model = broadcast_bounded(docs.sparkSession, forest, "the forest")
+    carried = [col(c) for c in keep] if keep is not None else [col(id_col).cast("long")]
+    front = keep if keep is not None else ["doc_id"]
+    names = fresh(front, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept")
+    rows = docs.select(*(c.alias(f"c{k}") for k, c in enumerate(carried)), col(text_col).alias("text"))
+    plain = [*rows.columns[:-1], *(f"r{k}" for k in range(len(names)))]  # Spark's Arrow functions take no names with dots
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees = model.value
-        for some in slices(batches, "__text"):
-            got = [measure(t or b"") for t in some.column("__text").cast(pa.binary()).to_pylist()]
+        for some in slices(batches, "text"):
+            got = [measure(t or b"") for t in some.column("text").cast(pa.binary()).to_pylist()]
             base = np.array([b for b, _ in got], np.int64).reshape(-1, 5)
             failed = (base[:, 0] < 20) | (100 * base[:, 4] > 30 * base[:, 0])
             score = trees.score(np.array([x for _, x in got])) if trees is not None and got else np.ones(len(got))
             columns = [pa.array(base[:, k]) for k in range(5)] + [pa.array(failed), pa.array(score), pa.array(~failed & (score >= threshold))]
-            yield pa.RecordBatch.from_arrays([*(some.column(c) for c in front), *columns], names=[*front, *names, "base_failed", "score", "kept"])
+            yield pa.RecordBatch.from_arrays([*some.columns[:-1], *columns], names=plain)
+
+    schema = T.StructType(rows.schema.fields[:-1])
+    for name, kind in zip(plain[len(front) :], ["long"] * 5 + ["boolean", "double", "boolean"], strict=True):
+        schema = schema.add(name, kind)
+    return rows.mapInArrow(run, schema).toDF(*front, *names)
+
 
-    kept = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in front)
-    return rows.mapInArrow(run, kept + "".join(f", {c} long" for c in names) + ", base_failed boolean, score double, kept boolean")
+def passing(docs: DataFrame, forest: Forest | None, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that the base rule and the trees keep, with the columns of ``docs``."""
+    judged = assess(docs, forest, threshold, docs.columns, id_col, text_col)
+    return judged.where(col(judged.columns[-1])).select(*(col(c) for c in docs.columns))

@@ -2,26 +2,41 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from weakref import WeakKeyDictionary
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes that separate words: the complement of ``[^\x20\x09-\x0D]``. ``bytes.split()`` splits at exactly these.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
+#: Where each staged table that is still referred to lies, and the tables made in each open ``scratch``.
+_PATHS: WeakKeyDictionary = WeakKeyDictionary()
+_OPEN: list[list[DataFrame]] = []
+#: Lets Spark delete the shuffle files of a query when it ends; what is staged needs them no more.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or (where unset, as in tests) one of our own."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local master (as in tests) gets
+    a folder of our own; on a cluster that is an error, as each executor would write to its own disk."""
+    context = spark.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="quorum-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
@@ -29,13 +44,64 @@ def staged(frame: DataFrame, name: str) -> DataFrame:
     """Write a frame as Parquet to the shared folder and read it back.
 
     It cuts the lineage, so that a lost executor costs no recomputation, and makes the rows that several
-    later branches read one and the same.
+    later branches read one and the same. The table stays until ``release`` or the ``scratch`` around it removes it.
     """
     spark = frame.sparkSession
     path = f"{shared_dir(spark)}/quorum-{name}-{uuid.uuid4().hex}"
-    frame.write.parquet(path)
-    spark.sparkContext._jvm.System.gc()  # lets the context cleaner delete the shuffle files of what has been written
-    return spark.read.schema(frame.schema).parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        frame.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    made = spark.read.schema(frame.schema).parquet(path)
+    _PATHS[made] = path
+    if _OPEN:
+        _OPEN[-1].append(made)
+    return made
+
+
+def release(*frames: DataFrame) -> None:
+    """Remove staged tables that nothing reads any more; other frames are left alone."""
+    for frame in frames:
+        path = _PATHS.pop(frame, None)
+        if path is not None:
+            at = frame.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(frame.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Tables staged inside are removed at the end, but those that the body hands on."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        release(*_OPEN.pop())
+
+
+def hand_on(frame: DataFrame) -> DataFrame:
+    """Keep a staged table beyond the innermost ``scratch``, for the one around it."""
+    _OPEN[-1].remove(frame)
+    if len(_OPEN) > 1:
+        _OPEN[-2].append(frame)
+    return frame
+
+
+def col(name: str) -> Column:
+    """The column of exactly this name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def fresh(taken: Iterable[str], *names: str) -> list[str]:
+    """The names, each with underscores at its end until no taken one (or earlier one) equals it."""
+    used, out = {t.lower() for t in taken}, []
+    for name in names:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, rows: int = 256, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
