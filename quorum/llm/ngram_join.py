@@ -9,7 +9,7 @@ serves alone. For all more frequent ones the prefix is extended, to the whole se
 one size class differ in at most d tokens, so of d + 1 + s ranges of hashes at least s + 1 hold the same tokens in both,
 and the combination of all tokens of a range (seven to nine on average) is indexed as one signature. Ranges that
 happen to hold less than two tokens are left out by sets that have at most s of them: of s + 1 equal ranges one remains. A set near
-the end of its size class is also indexed in the next. So every linked pair shares a signature of one kind or the other, while sets that merely share a
+the end of its size class is also indexed in the next (at low thresholds in several). So every linked pair shares a signature of one kind or the other, while sets that merely share a
 frequent passage do not.
 
 Ranges hold so many tokens only at high thresholds. Below ``DIRECT`` per cent prefixes are extended by a tenth of the set, so
@@ -20,21 +20,23 @@ of its tokens in turn. A set leaves out up to s ranges of less than two tokens.
 
 Each signature connects its nodes to the smallest of them (not each to each). Pairs from single tokens are first held
 against the sizes and the counts of tokens in sixty-four cells of both sides, whose distance is at most that of the sets. The connected
-candidates then meet in families, where all sets are verified against all, family by family; a large family is dealt out as
-pairs of blocks. Verified links give the components.
+candidates then meet in families, where an inverted index over the tokens of a family gives the intersections of its sets. A
+large family is dealt out by size: a size class holds what may be similar in size, and only pairs of blocks of the same or of neighbouring
+classes meet. Verified links give the components.
 
 Scale: signatures are hashes, counted with partial aggregation, and only those of two nodes or more are joined back (a join
 that AQE can split). Texts are shuffled once, by a row key, to reach the candidates; the texts of candidates once
-more, to their families. A group of equal copies of any size is one node. No pair of documents is a row until it is verified,
+more, to their families (in a large family once for each block of the classes around theirs). A group of equal copies of any size is one node. No pair of documents is a row until it is verified,
 and of the verified links a family returns a spanning forest.
 
 Cases: null, empty and blank texts have no shingles and link with nothing; a text of fewer words than a shingle is one
 shingle; very long texts are read whole; repeated rows are copies of each other; a null id has no say in component ids; an
-empty table gives no rows; other columns are ignored.
+empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -46,7 +48,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import slices, staged
+from .shared import col, fresh, hand_on, scratch, slices, staged
 
 LANES = 64
 COUNTS = [f"h{k}" for k in range(LANES // 4)]
@@ -98,6 +100,14 @@ def size_classes(least: int) -> list[int]:
     return edges
 
 
+def own_classes(n: int, per_cent: int, edges: list[int]) -> list[int]:
+    """The classes of all sets that are not smaller than one of n and may be similar to it."""
+    own = last = int(np.searchsorted(edges, n, side="right")) - 1
+    while last + 1 < len(edges) and 100 * n >= per_cent * edges[last + 1]:
+        last += 1
+    return list(range(own, last + 1))
+
+
 @lru_cache(maxsize=None)
 def spare_ranges(differing: int, least: int) -> int:
     """How many ranges to add, so that sets of ``least`` tokens rarely have more sparse ranges than that.
@@ -120,12 +130,10 @@ def signatures(tokens: np.ndarray, per_cent: int, edges: list[int]) -> tuple[np.
     if n < edges[0]:  # smaller sets are similar only if they are equal
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     single = tokens[: n - (-(-per_cent * n // 100)) + 1]
-    own = int(np.searchsorted(edges, n, side="right")) - 1
-    classes = [own] + ([own + 1] if 100 * n >= per_cent * edges[own + 1] else [])
     combined = []
     with np.errstate(over="ignore"):
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(tokens))])
-        for c in classes:
+        for c in own_classes(n, per_cent, edges):
             differing = 2 * (edges[c + 1] - 1) * (100 - per_cent) // (100 + per_cent)
             spare = spare_ranges(differing, edges[c])
             ranges = differing + 1 + spare
@@ -166,11 +174,10 @@ def wide_signatures(tokens: np.ndarray, per_cent: int, edges: list[int]) -> np.n
     n = len(tokens)
     if n < edges[0]:
         return np.zeros(0, np.uint64)
-    own, found = int(np.searchsorted(edges, n, side="right")) - 1, []
-    mixed = mix(tokens)
+    mixed, found = mix(tokens), []
     with np.errstate(over="ignore"):
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed)])
-        for c in [own] + ([own + 1] if 100 * n >= per_cent * edges[own + 1] else []):
+        for c in own_classes(n, per_cent, edges):
             differing = 2 * (edges[c + 1] - 1) * (100 - per_cent) // (100 + per_cent)
             spare = spare_wide_ranges(differing, edges[c])
             ranges = differing // 2 + 1 + 2 * spare
@@ -198,14 +205,14 @@ def _scan(width: int, per_cent: int, edges: list[int]):
             signs = [signatures(s, per_cent, edges) if per_cent >= DIRECT else (extended_prefix(s, per_cent, edges[0]), s[:0]) for s in sets]
             nodes = [xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None for s in sets]
             four = np.stack([lanes(s) for s in sets])
-            columns = [some.column("row_key"), some.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64()), *(pa.array(four[:, k]) for k in range(LANES // 4))]
+            columns = [some.column("row_key"), some.column("doc_id"), some.column("mark"), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64()), *(pa.array(four[:, k]) for k in range(LANES // 4))]
             columns += [pa.array([s[k].view(np.int64) for s in signs], longs) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays(columns, names=["row_key", "doc_id", "n", "node", *COUNTS, "single", "combined"])
+            yield pa.RecordBatch.from_arrays(columns, names=["row_key", "doc_id", "mark", "n", "node", *COUNTS, "single", "combined"])
 
     return run
 
 
-SCAN = "row_key long, doc_id long, n long, node long, " + "".join(f"{c} long, " for c in COUNTS) + "single array<long>, combined array<long>"
+SCAN = "row_key long, doc_id long, mark long, n long, node long, " + "".join(f"{c} long, " for c in COUNTS) + "single array<long>, combined array<long>"
 
 
 def _combine(width: int, per_cent: int, edges: list[int]):
@@ -273,7 +280,7 @@ def _verify(width: int, per_cent: int):
             nodes = family["node"].to_numpy()
             if any(xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63) != n for s, n in zip(sets, nodes, strict=True)):
                 raise RuntimeError("the documents are not the same in two passes")
-            side = np.where(family["left"] == family["right"], 0, np.where(family["block"] == family["left"], 1, 2))
+            side = np.where(family["left"] == family["right"], 0, np.where(family["own"] == family["left"], 1, 2))
             edges, degree = family_links(nodes, sets, family["copies"].to_numpy(), side, per_cent)
             out += [(u, v, 0) for u, v in edges] + [(int(n), int(n), int(d)) for n, d in zip(nodes, degree, strict=True)]
         return pd.DataFrame(out, columns=["u", "v", "links"])
@@ -285,17 +292,28 @@ def join(docs: DataFrame, width: int = 5, per_cent: int = 80, id_col: str = "doc
     """doc_id, n_shingles, component_id (smallest id reachable by links), n_links and first of every row.
 
     ``docs`` is read twice and must give the same rows in the same order (a table does; stage what a shuffle made), which is
-    checked. ``first`` marks one row of each component, the first of the input; ``block`` bounds the sets that one task compares with
-    each other, ``batch`` the rows of small families in one group.
+    checked. ``first`` marks one row of each component, the first of the input; ``block`` bounds the sets of a class of a family that
+    one task compares with each other, ``batch`` the rows of small families in one group.
     """
-    return _joined(docs, width, per_cent, id_col, text_col, block, batch).drop("row_key")
+    return _joined(docs, width, per_cent, id_col, text_col, block, batch).drop("row_key", "mark")
 
 
 def deduplicate(docs: DataFrame, width: int = 5, per_cent: int = 80, id_col: str = "doc_id", text_col: str = "text", **bounds) -> DataFrame:
     """The rows and columns of ``docs`` without all but one row of each component; rows without shingles all stay."""
     bounds = {"block": 1000, "batch": 500} | bounds
-    others = _joined(docs, width, per_cent, id_col, text_col, **bounds).where("not first").select(F.col("row_key").alias("__row_key"))
-    return docs.withColumn("__row_key", F.monotonically_increasing_id()).join(staged(others, "copies").hint("shuffle_hash"), "__row_key", "left_anti").select(*docs.columns)
+    key, own, mark = fresh(docs.columns, "__row_key", "__own", "__mark")
+    with scratch():
+        others = _joined(docs, width, per_cent, id_col, text_col, **bounds).where("not first")
+        others = hand_on(staged(others.select(F.col("row_key").alias(key), F.col("mark").alias(mark)), "copies"))
+    numbered = docs.withColumns({key: F.monotonically_increasing_id(), own: _mark(id_col, text_col)})
+    same = F.when(col(mark) == col(own), False).otherwise(F.raise_error(F.lit("the documents are not the same in two passes")).cast("boolean"))
+    kept = numbered.join(others.hint("shuffle_hash"), key, "left").where(F.when(col(mark).isNull(), True).otherwise(same))
+    return kept.select(*(col(c) for c in docs.columns))
+
+
+def _mark(id_col: str, text_col: str) -> Column:
+    """A hash by which a later pass knows a row again."""
+    return F.xxhash64(col(id_col).cast("long"), col(text_col))
 
 
 def _possible(pairs: DataFrame, nodes: DataFrame, per_cent: int) -> DataFrame:
@@ -335,38 +353,60 @@ def _connect_dense(full: DataFrame, nodes: DataFrame, rows: DataFrame, width: in
     return rare.unionByName(stars.distinct())
 
 
+def _dealt(met: DataFrame, per_cent: int, block: int) -> DataFrame:
+    """The candidates (node, row_key, copies, family, n) with the codes of their own block and of all that it meets.
+
+    A family of up to ``block`` sets is one block. Of a larger one, a class holds sizes within a little more than the factor that similar
+    sets may differ by, so similar sets are of the same or of neighbouring classes; only such blocks meet.
+    """
+    met = met.withColumn("class", F.floor(F.log(F.col("n").cast("double")) / (math.log(100 / per_cent) + 1e-3)).cast("int"))
+    classes = met.groupBy("family", "class").agg(F.count(F.lit(1)).alias("sets"))
+    large = classes.groupBy("family").agg(F.sum("sets").alias("sets"), F.map_from_entries(F.collect_list(F.struct("class", F.ceil(F.col("sets") / block).cast("int").alias("blocks")))).alias("blocks"))
+    large = staged(large.where(F.col("sets") > block).drop("sets"), "large")  # staged, so that the join of a large family is split
+    code = lambda c, b: F.shiftleft(c.cast("long"), 32) + b
+    blocks_of = lambda c: F.coalesce(F.try_element_at(F.col("blocks"), c), F.lit(0))
+    blocks_in = lambda c: F.when(blocks_of(c) > 0, F.transform(F.sequence(F.lit(1), F.greatest(blocks_of(c), F.lit(1))), lambda b: code(c, b))).otherwise(F.array().cast("array<bigint>"))
+    around = F.concat(*(blocks_in(F.col("class") + k) for k in (-1, 0, 1)))
+    around = F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(around)
+    own = F.when(F.col("blocks").isNull(), F.lit(0)).otherwise(code(F.col("class"), F.pmod(F.xxhash64("node"), F.greatest(blocks_of(F.col("class")), F.lit(1))) + 1))
+    return met.join(large, "family", "left").select("node", "row_key", "copies", "family", F.col("blocks").isNotNull().alias("split"), own.alias("own"), around.alias("others"))
+
+
 def _joined(docs: DataFrame, width: int, per_cent: int, id_col: str, text_col: str, block: int, batch: int) -> DataFrame:
+    if not 1 <= per_cent <= 100:
+        raise ValueError("per_cent must be from 1 to 100")
     edges = size_classes(-(-100 // (100 - per_cent)) - 1 if per_cent < 100 else 1 << 30)
-    rows = docs.select(F.monotonically_increasing_id().alias("row_key"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row_key"), col(id_col).cast("long").alias("doc_id"), _mark(id_col, text_col).alias("mark"), col(text_col).alias("text"))
     scan = staged(rows.mapInArrow(_scan(width, per_cent, edges), SCAN), "shingles")
     full = scan.where(F.col("node").isNotNull())
     nodes = full.groupBy("node").agg(F.min("row_key").alias("row_key"), F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("copies"), *(F.max(c).alias(c) for c in ("n", *COUNTS)))
-    nodes = staged(nodes, "nodes")
-
-    if per_cent >= DIRECT:
-        connected = _connect_all(full, nodes, per_cent)
-    else:
-        connected = _connect_dense(full, nodes, rows, width, per_cent, edges)
-    families = components(connected).withColumnRenamed("root", "family")
-
-    sizes = families.groupBy("family").agg(F.count(F.lit(1)).alias("size"))
-    met = families.join(sizes, "family").join(nodes.select("node", "row_key", "copies"), "node")
-    blocks = F.ceil(F.col("size") / block).cast("int")
-    met = met.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    met = staged(met, "families")
+    with scratch():
+        nodes = staged(nodes, "nodes")
+        with scratch():
+            connected = _connect_all(full, nodes, per_cent) if per_cent >= DIRECT else _connect_dense(full, nodes, rows, width, per_cent, edges)
+            families = components(connected).withColumnRenamed("root", "family")
+            met = staged(families.join(nodes.select("node", "row_key", "copies", "n"), "node"), "candidates")
+            met = hand_on(staged(_dealt(met, per_cent, block), "families"))
+        checked = staged(_links(rows, met, width, per_cent, batch), "links")
+        known = hand_on(staged(_known(nodes, checked), "known"))  # no aggregation between shuffle and join, so AQE can split a group of copies
+    linked = full.select("row_key", "mark", "node", "doc_id", "n").join(known.hint("merge"), "node").select("row_key", "mark", "doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links", (F.col("row_key") == F.col("first_key")).alias("first"))
+    alone = scan.where(F.col("node").isNull()).select("row_key", "mark", "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("first"))
+    return linked.unionByName(alone)
+
+
+def _links(rows: DataFrame, met: DataFrame, width: int, per_cent: int, batch: int) -> DataFrame:
+    """Verified links (u, v, 0), a spanning forest of each block or pair of blocks, and (u, u, number of documents linked with u)."""
     groups = max(1, -(-met.count() // batch))
     texts = rows.select("row_key", "text").join(met.hint("shuffle_hash"), "row_key")
-    dealt = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("left", F.least("block", "other")).withColumn("right", F.greatest("block", "other"))
-    group = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("family"), F.lit(groups))).otherwise(F.xxhash64("family"))
-    checked = dealt.withColumn("grp", group).groupBy("grp", F.when(F.col("blocks") > 1, F.col("family")).alias("big"), "left", "right").applyInPandas(_verify(width, per_cent), "u long, v long, links long")
-    checked = staged(checked, "links")
+    dealt = texts.withColumn("other", F.explode("others")).withColumn("left", F.least("own", "other")).withColumn("right", F.greatest("own", "other")).drop("others", "other")
+    group = F.when(F.col("split"), F.xxhash64("family")).otherwise(F.pmod(F.xxhash64("family"), F.lit(groups)))
+    return dealt.withColumn("grp", group).groupBy("grp", F.when(F.col("split"), F.col("family")).alias("big"), "left", "right").applyInPandas(_verify(width, per_cent), "u long, v long, links long")
+
+
+def _known(nodes: DataFrame, checked: DataFrame) -> DataFrame:
+    """node, component_id, first_key, n_links of every node."""
     links = checked.where("u = v").groupBy(F.col("u").alias("node")).agg(F.sum("links").alias("links"))
     roots = components(checked.where("u != v").select("u", "v"))
-
     owned = nodes.select("node", "low", "copies", "row_key").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    lowest = owned.groupBy("root").agg(F.min("low").alias("component_id"), F.min("row_key").alias("first_key"))
-    known = owned.join(lowest, "root").join(links, "node", "left").select("node", "component_id", "first_key", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    known = staged(known, "known")  # no aggregation between shuffle and join, so AQE can split a group of copies
-    linked = full.select("row_key", "node", "doc_id", "n").join(known.hint("merge"), "node").select("row_key", "doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links", (F.col("row_key") == F.col("first_key")).alias("first"))
-    alone = scan.where(F.col("node").isNull()).select("row_key", "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("first"))
-    return linked.unionByName(alone)
+    lowest = staged(owned.groupBy("root").agg(F.min("low").alias("component_id"), F.min("row_key").alias("first_key")), "lowest")
+    return owned.join(lowest, "root").join(links, "node", "left").select("node", "component_id", "first_key", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
