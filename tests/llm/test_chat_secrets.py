@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import duckdb
@@ -75,9 +76,58 @@ def test_widely_copied_values_are_examples(spark):
     assert all([s.live for s in r.spans] == [False, False] for r in secrets.scan(hexes).collect())  # base spans stay
 
 
+FURTHER = {
+    "jwt": r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{5,}",
+    "vendor": r"(?<![A-Za-z0-9])(?:gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[0-9A-Za-z_-]{35}|glpat-[A-Za-z0-9_-]{20,})",
+    "pem": "-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----",
+    "entropy": "[A-Za-z0-9+/_-]{32,}",
+}
+
+
+def value(span, text):
+    return re.search(r"[A-Za-z0-9+/_.=-]+$", text[span[0] : span[2]])[0] if span[3] == "assign" else text[span[0] : span[2]]
+
+
+def test_all_spans_equal_brute_force(spark):
+    """Base and added spans and their verdicts, where one value is in a third of all rows and another in many repositories of two owners."""
+    rng = random.Random(6)
+    word = lambda n: "".join(rng.choice("abcXYZ0189_-") for _ in range(n))
+    own = ["ghp_" + "Q7w3" * 10, "eyJ" + "abcDEF12345." * 2 + "abcdeF", "-----BEGIN EC PRIVATE KEY-----", "Zz9" * 20, "AIza" + "aB3_" * 8 + "xyz", "token=" + "Aa0" * 12, "x" + "Zz9" * 20]
+    rows = []
+    for k in range(240):
+        parts = [rng.choice(own[:2] if k % 5 else own)] if k % 3 else ["secret: " + "hot_value_A9" * 4]
+        parts += [rng.choice([*own, word(40), "é🙂", "deadbeef" * 3, "plain", "glpat-" + word(20)]) for _ in range(rng.randrange(6))]
+        rows.append((k if k % 50 else None, " ".join(parts), f"s{rng.randrange(2) if k % 7 else rng.randrange(9)}", f"l{rng.randrange(4)}"))
+    rows += [(900, "ghp_" + "N4m5" * 10, f"s{k % 2}", f"l{k}") for k in range(6)] + [(None, None, None, None)]
+    seen, spans = {}, []
+    for _, t, owner, lang in rows:
+        got = brute(t or "")
+        for rank, (kind, pattern) in enumerate(FURTHER.items(), 3):
+            got += [(m.start(), rank, m.end(), kind) for m in re.finditer(pattern, t or "") if kind != "entropy" or all(re.search(p, m[0]) for p in ("[a-z]", "[A-Z]", "[0-9]"))]
+        spans.append(sorted(got))
+        for s in got:
+            seen.setdefault(value(s, t), set()).add((owner, lang))
+    live = {v: len({o for o, _ in who}) < 3 and len(who) < 6 for v, who in seen.items()}
+    want = sorted((i if i is not None else -1, str([(*s, live[value(s, t)]) for s in found if s[1] < 3 or live[value(s, t)]])) for (i, t, *_), found in zip(rows, spans, strict=True))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").repartition(3)
+    got = sorted((r.doc_id if r.doc_id is not None else -1, str([(s.start, s.rank, s.end, s.kind, s.live) for s in r.spans])) for r in secrets.scan(docs).collect())
+    assert got == want and {True, False} <= set(live.values())
+    masked = {(r.doc_id, r.source, r.lang, r.text) for r in secrets.redact(docs, piece=16).collect()}
+
+    def mask(t, found):
+        out, at = "", 0
+        for a, _, b, _ in found:
+            out += t[at:a] + "[secret]" if a >= at else ""
+            at = max(at, b)
+        return out + t[at:]
+
+    assert masked == {(i, o, g, t if t is None else mask(t, [s for s in found if s[1] < 3 or live[value(s, t)]])) for (i, t, o, g), found in zip(rows, spans, strict=True)}
+
+
 def test_redaction_keeps_rows_and_columns(spark):
-    docs = frame(spark, TEXTS).unionByName(frame(spark, TEXTS).where("doc_id = 2"))
+    docs = frame(spark, TEXTS).unionByName(frame(spark, TEXTS).where("doc_id = 2")).withColumn("__row_hash", F.lit(1)).withColumnRenamed("spans", "__spans")
     got = secrets.redact(docs)
+    assert secrets.redact(docs.limit(0)).count() == 0
     assert got.columns == docs.columns and got.count() == docs.count()
     for r in got.collect():
         assert r.text is None or not brute(r.text)
