@@ -13,11 +13,15 @@ spread over most cells; the default ``share`` is chosen for that case, and a sma
 
 Scale: the index is one narrow pass, staged in the shared folder. A cell is dealt out in blocks of about ``block`` vectors and its
 visitors in blocks of about ``visitors`` queries, by hash, so that no task holds a large cell (many equal vectors) and none
-all queries. What comes back for a query and a block is one row with at most ``k`` candidates.
+all queries. What comes back for a query and a block is one row with at most ``k`` candidates. A vector is sent once for each
+``visitors`` queries, a query once for each block that it visits; so with a number of queries in proportion to the vectors, as in the
+registered query, work and shuffle grow with the square of the table, divided by the sizes of blocks, while a fixed number of queries
+costs one reading of the index. A smaller ``share`` divides both, where the vectors have structure.
 
 Cases: null vectors and such with null or non-finite components, zero vectors and rows without an id take no part, nor do
 vectors of another than the most common length; a query whose row is repeated is searched once, while each repeated row is a
-candidate (never for its own id); with fewer than ``k`` candidates all are returned; an empty table gives no rows.
+candidate (never for its own id); with fewer than ``k`` candidates all are returned; an empty table gives no rows; other columns
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import broadcast_bounded, staged
+from .shared import broadcast_bounded, col, staged
 
 RESULT = "query_id long, ids array<long>, scores array<double>"
 
@@ -134,10 +138,10 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float32, copy=False).reshape(-1, dim)
 
 
-def neighbours(rows: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", share: float = 0.75, rerank: int = 80, sample: int = 8192, block: int = 4096, visitors: int = 4096, most_cells: int = 1024) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest found of each row for which ``queries`` (over id_col) holds."""
+def neighbours(rows: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", share: float = 0.75, rerank: int = 80, sample: int = 8192, block: int = 8192, visitors: int = 32768, most_cells: int = 1024) -> DataFrame:
+    """query_id, rank, vec_id, score: the k nearest found of each row for which ``queries`` holds."""
     spark = rows.sparkSession
-    vectors = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<float>").alias("vector")).where(F.col("vec_id").isNotNull() & usable(F.col("vector")))
+    vectors = rows.select(col(id_col).cast("long").alias("vec_id"), col(vector_col).cast("array<float>").alias("vector"), F.coalesce(queries, F.lit(False)).alias("asked")).where(F.col("vec_id").isNotNull() & usable(F.col("vector")))
     lengths = vectors.groupBy(F.size("vector").alias("dim")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "dim").limit(1).collect()
     none = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if not lengths:
@@ -152,9 +156,9 @@ def neighbours(rows: DataFrame, queries: Column, k: int = 20, id_col: str = "vec
         for batch in batches:
             if batch.num_rows:
                 cell, codes = index.value.assign(_matrix(batch.column("vector"), dim))
-                yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("vector"), pa.array(cell.astype("int32")), pa.array([c.tobytes() for c in codes], pa.binary())], names=["vec_id", "vector", "cell", "code"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype("int32")), pa.array([c.tobytes() for c in codes], pa.binary())], names=["vec_id", "vector", "asked", "cell", "code"])
 
-    table = staged(vectors.mapInArrow(assign, "vec_id long, vector array<float>, cell int, code binary"), "vectors")
+    table = staged(vectors.mapInArrow(assign, "vec_id long, vector array<float>, asked boolean, cell int, code binary"), "vectors")
     counts = np.zeros(cells, np.int64)
     for r in table.groupBy("cell").count().collect():  # one row for each cell, most_cells at most
         counts[r["cell"]] = r["count"]
@@ -166,10 +170,10 @@ def neighbours(rows: DataFrame, queries: Column, k: int = 20, id_col: str = "vec
                 got = index.value.visits(_matrix(some.column("query"), dim), counts, share, k + 1)
                 yield pa.RecordBatch.from_arrays([some.column("query_id"), some.column("query"), pa.array(got, pa.list_(pa.int32()))], names=["query_id", "query", "cells"])
 
-    asked = table.where(queries).select(F.col("vec_id").alias("query_id"), F.col("vector").alias("query")).dropDuplicates(["query_id"])
+    asked = table.where("asked").select(F.col("vec_id").alias("query_id"), F.col("vector").alias("query")).dropDuplicates(["query_id"])
     visits = asked.mapInArrow(visit, "query_id long, query array<float>, cells array<int>")
     blocks = np.maximum(1, -(-counts // block))
-    n_asked = table.where(queries).count()
+    n_asked = table.where("asked").count()
     parts = max(1, -(-n_asked // visitors))
     sizes = spark.createDataFrame([(c, int(b)) for c, b in enumerate(blocks)], "cell int, blocks int")
     part = F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int").alias("part")
