@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame
 
 
 def checkpointed(frame: DataFrame) -> DataFrame:
-    """An eager checkpoint in spark.checkpoint.dir; where that is unset (tests), in a folder of our own."""
+    """An eager checkpoint in spark.checkpoint.dir. Where it is unset, a local master (as in tests) gets a folder of our own; on a
+    cluster that is an error, as each executor would write to its own disk."""
     spark = frame.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quorum-loops-"))
     return frame.checkpoint(eager=True)

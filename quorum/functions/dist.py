@@ -1,7 +1,13 @@
-"""Distributions as arrays of doubles: softmax, divergence, argmax, scores. All stay in generated code."""
+"""Distributions as arrays of doubles: softmax, divergence, argmax, scores.
+
+Functions over arrays are interpreted, and what stands inside a lambda is evaluated again for each element; ``bound`` has a
+value evaluated once and named.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,26 +18,29 @@ def total(p: Column) -> Column:
     return F.aggregate(p, F.lit(0.0), lambda a, x: a + x)
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is evaluated once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def normalised(p: Column) -> Column:
-    return F.transform(p, lambda x: x / total(p))
+    return bound(p, lambda q: bound(total(q), lambda s: F.transform(q, lambda x: x / s)))
 
 
 def floored(lp: Column) -> Column:
-    """Log probabilities with null, NaN and anything below the floor set to it."""
-    return F.transform(lp, lambda x: F.greatest(F.lit(FLOOR), F.nanvl(F.coalesce(x.cast("double"), F.lit(FLOOR)), F.lit(FLOOR))))
+    """Log probabilities with null, NaN, infinite ones and anything below the floor set to it."""
+    fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+    return F.transform(lp, lambda x: F.when(fine(x.cast("double")), F.greatest(F.lit(FLOOR), x.cast("double"))).otherwise(FLOOR))
 
 
 def log_softmax(x: Column) -> Column:
-    m = F.array_max(x)
-    z = m + F.log(F.aggregate(x, F.lit(0.0), lambda a, v: a + F.exp(v - m)))
-    return F.transform(x, lambda v: v - z)
+    of = lambda y, m: bound(m + F.log(F.aggregate(y, F.lit(0.0), lambda a, v: a + F.exp(v - m))), lambda z: F.transform(y, lambda v: v - z))
+    return bound(x, lambda y: bound(F.array_max(y), lambda m: of(y, m)))
 
 
 def softmax(x: Column, temperature: Column | float = 1.0) -> Column:
     t = temperature if isinstance(temperature, Column) else F.lit(float(temperature))
-    m = F.array_max(x)
-    e = F.transform(x, lambda v: F.exp((v - m) / t))
-    return F.transform(e, lambda v: v / total(e))
+    return normalised(bound(x, lambda y: bound(F.array_max(y), lambda m: F.transform(y, lambda v: F.exp((v - m) / t)))))
 
 
 def one_hot(n: Column | int, k: Column) -> Column:
@@ -58,18 +67,13 @@ def kl(p: Column, q: Column) -> Column:
 
 
 def jensen_shannon(p: Column, q: Column) -> Column:
-    m = F.zip_with(p, q, lambda a, b: (a + b) / 2)
-    return kl(p, m) / 2 + kl(q, m) / 2
+    return bound(F.zip_with(p, q, lambda a, b: (a + b) / 2), lambda m: (kl(p, m) + kl(q, m)) / 2)
 
 
 def nll(target: Column, p: Column, floor: float = 1e-12) -> Column:
     return -total(F.zip_with(target, p, lambda t, x: t * F.log(F.greatest(x, F.lit(floor)))))
 
 
-def entropy(p: Column) -> Column:
-    return -total(F.transform(p, lambda x: F.when(x > 0, x * F.log(x)).otherwise(0.0)))
-
-
 def cumulative(p: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(p)), lambda i: total(F.slice(p, 1, i)))
 
@@ -81,9 +85,5 @@ def ranked_probability_score(target: Column, p: Column) -> Column:
     return total(sq) / steps
 
 
-def sigmoid(x: Column, temperature: float = 1.0) -> Column:
-    return 1 / (1 + F.exp(-x / temperature))
-
-
 def entropy_bernoulli_loss(t: Column, p: Column, eps: float = 1e-9) -> Column:
     return -(t * F.log(p + eps) + (1 - t) * F.log(1 - p + eps))

@@ -83,10 +83,6 @@ def cap_group(source: Column, prefix: str) -> Column:
     return F.when(source.startswith(prefix), prefix).otherwise(source)
 
 
-def is_augmented(aug: Column, ref: Column) -> Column:
-    return F.coalesce(aug, F.lit(False)) | F.coalesce(ref.rlike("_k[23]$"), F.lit(False))
-
-
 def flags(**named: Column) -> Column:
     """The names of the conditions that hold, in the given order."""
     return F.filter(F.array(*(F.when(c, n) for n, c in named.items())), lambda x: x.isNotNull())
@@ -96,3 +92,22 @@ def shown(labels: Column, p: Column, least: float = 0.01) -> Column:
     """"label n%" of all labels with at least ``least``, the likeliest first."""
     pairs = F.array_sort(F.transform(F.arrays_zip(labels.alias("l"), p.alias("p")), lambda x: F.struct((-x["p"]).alias("less"), x["l"].alias("l"))))
     return F.array_join(F.transform(F.filter(pairs, lambda x: -x["less"] >= least), lambda x: F.format_string("%s %d%%", x["l"], F.round(-x["less"] * 100).cast("int"))), ", ")
+
+
+def request_problem(kind: Column, q: Column, options: Column, low: Column, high: Column) -> Column:
+    """The first reason why a requested question is refused, or null: its type, text, options (blank ones are ignored) or scale."""
+    given = F.filter(F.transform(options, text.stripped), lambda o: o != "")
+    distinct = F.size(F.array_distinct(F.transform(given, F.lower))) == F.size(given)
+    fine = (F.size(given).between(2, 8)) & distinct & (F.array_max(F.transform(given, F.length)) <= 60)
+    return (
+        F.when(kind.isNull() | ~kind.isin("bool", "choice", "score"), "type")
+        .when(~F.coalesce(F.length(text.stripped(q)).between(1, 300), F.lit(False)), "text")
+        .when((kind == "choice") & ~F.coalesce(fine, F.lit(False)), "options")
+        .when((kind == "score") & ~F.coalesce((low >= 0) & (low < high) & (high <= 10), F.lit(False)), "scale")
+    )
+
+
+def anchors_or_ends(anchors: Column, low: Column, high: Column) -> Column:
+    """Both anchors of a scale, cut to forty characters, or its ends where there are not exactly two."""
+    given = F.filter(F.transform(anchors, lambda a: F.substring(text.stripped(a), 1, 40)), lambda a: a != "")
+    return F.when(F.size(given) == 2, given).otherwise(F.array(low.cast("string"), high.cast("string")))

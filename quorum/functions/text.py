@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 BLANKS = " \t\n\r"
 WORD_OR_WORD = r"[0-9A-Za-z_] or [0-9A-Za-z_]"
-NA_LIKE = r"^(n/?a|none|not applicable|unknown|cannot tell|unanswerable)$"
+#: Fixed value: options that state that there is no answer, whole and lower-cased. "none" or "can't walk" are answers.
+NA_LIKE = r"^((cannot|can't|unable to|impossible to) (tell|determine|say|know|be determined|be seen)\b.*|not (sure|visible|determinable|clear|applicable|known)|unknown|unclear|undetermined|indeterminate|n/a|none of the above|not enough information)$"
 
 
 def stripped(text: Column) -> Column:

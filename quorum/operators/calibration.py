@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..checkpoints import checkpointed
-from ..functions import dist
+from ..functions import dist, hashing
 
 #: Cyclic shifts of n labels that the rotations use.
 SHIFTS = {2: (0, 1), 3: (0, 1, 2), 4: (0, 1, 2, 3), 5: (0, 1, 2, 4), 6: (0, 2, 3, 4), 7: (0, 2, 4, 5), 8: (0, 2, 4, 6), 9: (0, 2, 4, 7)}
@@ -37,16 +37,26 @@ def letter_bias(long: DataFrame, key: str, steps: int = 25) -> DataFrame:
     return bias.crossJoin(F.broadcast(mean)).select("pos", (F.col("b") - F.col("m")).alias("bias"))
 
 
-def aggregate_rotations(long: DataFrame, key: str, p: str = "p") -> DataFrame:
-    """Per key the mean distribution over rotations by item, and the largest divergence of a rotation from it."""
-    mean = long.groupBy(key, "item").agg(F.avg(p).alias("m"))
-    joined = long.join(mean, [key, "item"])
-    mid = (F.col(p) + F.col("m")) / 2
-    part = lambda x: F.when(x > 0, x * F.log(x / mid)).otherwise(0.0)
-    js = joined.groupBy(key, "rot").agg(((F.sum(part(F.col(p))) + F.sum(part(F.col("m")))) / 2).alias("js"))
-    stability = js.groupBy(key).agg(F.max("js").alias("stability"))
-    dists = mean.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("item", "m"))), lambda s: s["m"]).alias("dist"))
-    return dists.join(stability, key)
+def aggregate_rotations(rows: DataFrame, key: str, by_position: list[Column], n: int) -> DataFrame:
+    """Per key the mean distribution over rotations by item, and the largest divergence of a rotation from it.
+
+    ``by_position`` has one distribution by letter for each rotation; all of a key lies in its row, so nothing is shuffled. It is one
+    expression, so that a filter on its result, which Spark puts below it, costs one more evaluation and not one for each use.
+    """
+
+    def by_item(p: Column, shift: int) -> Column:
+        return dist.bound(p, lambda v: hashing.rotated(v, (n - shift) % n))
+
+    parts = [by_item(p, s) for p, s in zip(by_position, SHIFTS[n], strict=False)]
+
+    def mean(rows: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.aggregate(rows, F.lit(0.0), lambda a, p: a + p[i]) / len(parts))
+
+    def judged(rows: Column, m: Column) -> Column:
+        return F.struct(m.alias("dist"), F.array_max(F.transform(rows, lambda p: dist.jensen_shannon(p, m))).alias("stability"))
+
+    both = dist.bound(F.array(*parts), lambda rows: dist.bound(mean(rows), lambda m: judged(rows, m)))
+    return rows.select(key, both.alias("x")).select(key, "x.dist", "x.stability")
 
 
 def readout(raw, temperature: float = 1.0):

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import hashing
+from .ordinal import numbered
 
 
 def union_ranked(frames: list[DataFrame]) -> DataFrame:
@@ -59,12 +60,13 @@ def stratified(frame: DataFrame, strata: list[str], n: int, *key: Column | str)
 def prefix_until(frame: DataFrame, order: list[Column], value: Column, total: Column, count: Column, goal: float) -> DataFrame:
     """Rows to drop, in order, until the mean of what remains first reaches the goal.
 
-    ``total`` and ``count`` are those before any drop. The running sums are one window over the given candidates.
+    ``total`` and ``count`` are those before any drop. Running sums come from ranges of the order and the sums of those before.
     """
-    by = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    run = frame.withColumn("rn", F.row_number().over(Window.orderBy(*order))).withColumn("mean_after", (total - F.sum(value).over(by)) / (count - F.col("rn")))
-    stop = F.min(F.when(F.col("mean_after") <= goal, F.col("rn"))).over(Window.partitionBy())
-    return run.withColumn("stop", stop).where(F.col("stop").isNull() | (F.col("rn") <= F.col("stop"))).drop("stop")
+    names = [f"__o{k}" for k in range(len(order))]
+    keyed = frame.withColumns(dict(zip(names, order, strict=True)))
+    run = numbered(keyed, names, "rn", value, "__dropped").withColumn("mean_after", (total - F.col("__dropped")) / (count - F.col("rn")))
+    stop = run.agg(F.min(F.when(F.col("mean_after") <= goal, F.col("rn"))).alias("stop"))
+    return run.crossJoin(F.broadcast(stop)).where(F.col("stop").isNull() | (F.col("rn") <= F.col("stop"))).drop("stop", "__dropped", *names)
 
 
 def resume(work: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:

@@ -2,27 +2,24 @@
 
 from __future__ import annotations
 
-from collections import OrderedDict, deque
+from collections import OrderedDict
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import hashing
 
-def accept(times: list[float], n: int, window: float) -> list[bool]:
-    """Sliding-window admission: a request passes if fewer than n accepted ones lie within the window before it.
 
-    What was rejected is not remembered; an accepted one leaves when it is older than the window.
-    """
-    held: deque[float] = deque()
+def admitted(times: list[float], n: int, window: float) -> list[bool]:
+    """Sliding-window admission of times in order: refused if the n-th last admitted one lies within the window before it."""
+    passed: list[float] = []
     out = []
     for t in times:
-        while held and t - held[0] > window:
-            held.popleft()
-        out.append(len(held) < n)
-        if out[-1]:
-            held.append(t)
+        out.append(n > 0 and (len(passed) < n or t - passed[-n] > window))
+        passed += [t] if out[-1] else []
     return out
 
 
@@ -31,7 +28,7 @@ def rate_limit(requests: DataFrame, key: str, seconds: str, row_id: str, n: int,
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values([seconds, row_id])
-        return rows.assign(accepted=accept(rows[seconds].tolist(), n, window))
+        return rows.assign(accepted=admitted(rows[seconds].tolist(), n, window))
 
     narrow = requests.select(key, seconds, row_id)
     schema = f"{key} {narrow.schema[key].dataType.simpleString()}, {seconds} double, {row_id} long, accepted boolean"
@@ -63,14 +60,18 @@ def lru(accesses: DataFrame, part: str, order: str, key: str, size: int) -> Data
     return narrow.groupBy(part).applyInPandas(fold, schema)
 
 
-def batches(sizes: list[int], budget: int) -> list[int]:
-    """Number of the batch of each size, in the given order: a batch ends when its padded size would pass the budget."""
-    out, number, count, longest = [], 0, 0, 0
-    for s in sizes:
-        if count and max(longest, s) * (count + 1) > budget:
-            number, count, longest = number + 1, 0, 0
-        count, longest = count + 1, max(longest, s)
-        out.append(number)
+def batch_numbers(sizes: np.ndarray, budget: int) -> np.ndarray:
+    """Number of the batch of each size, in the given order: a batch ends before its padded size would pass the budget.
+
+    From the first row of a batch a running maximum over as many rows as could fit tells where the next one begins.
+    """
+    out, begin, number = np.zeros(len(sizes), np.int64), 0, 0
+    while begin < len(sizes):
+        ahead = np.maximum.accumulate(sizes[begin : begin + budget // max(1, int(sizes[begin])) + 2])
+        over = np.flatnonzero(ahead[1:] * np.arange(2, len(ahead) + 1) > budget)
+        end = begin + 1 + int(over[0]) if len(over) else begin + len(ahead)
+        out[begin:end] = number
+        begin, number = end, number + 1
     return out
 
 
@@ -79,41 +80,43 @@ def token_batches(rows: DataFrame, group: str, size: str, row_id: str, budget: i
 
     def fold(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values([size, row_id])
-        return part.assign(batch=batches(part[size].tolist(), budget))
+        return part.assign(batch=batch_numbers(part[size].to_numpy(), budget))
 
     return rows.select(group, size, row_id).groupBy(group).applyInPandas(fold, f"{group} long, {size} long, {row_id} long, batch int")
 
 
-class Quota:
-    """Picks the allowed value that is furthest below its share; ties go to the smallest hash."""
+def fill_quotas(shares: np.ndarray, ties: np.ndarray, allowed: np.ndarray) -> np.ndarray:
+    """For each row the index of the allowed value that is furthest below its share; of equal ones that with the smallest tie.
 
-    def __init__(self, weights: dict[str, float]):
-        self.weights, self.counts, self.total = weights, dict.fromkeys(weights, 0), 0
-
-    def pick(self, tie, allowed=None) -> str:
-        best = min(allowed or self.weights, key=lambda v: (round(self.counts[v] - self.weights[v] * (self.total + 1), 9), tie(v)))
-        self.counts[best] += 1
-        self.total += 1
-        return best
+    ``ties`` and ``allowed`` are (rows, values); a row that allows nothing may take any.
+    """
+    given, picks = np.zeros(len(shares)), np.zeros(len(ties), np.int64)
+    for row in range(len(ties)):
+        ahead = np.round(given - shares * (row + 1), 9)
+        if allowed[row].any():
+            ahead[~allowed[row]] = np.inf
+        first = np.flatnonzero(ahead == ahead.min())
+        picks[row] = first[ties[row, first].argmin()]
+        given[picks[row]] += 1
+    return picks
 
 
 def quota_plan(rows: DataFrame, row_id: str, weights: dict[str, float], excluded: str | None = None) -> DataFrame:
     """One value for each row, filling quotas greedily over all rows in the order of their ids.
 
-    Global by definition: the fold has one state. Only ids and exclusions pass through it; its result is one narrow
+    Global by definition: the fold has one state. Only ids, ties and exclusions pass through it; its result is one narrow
     column, to be joined back.
     """
-    import hashlib
+    values, shares = np.array(list(weights)), np.array(list(weights.values()))
 
     def fold(part: pd.DataFrame) -> pd.DataFrame:
-        quota, out = Quota(weights), []
-        for r in part.sort_values(row_id).itertuples(index=False):
-            key = getattr(r, row_id)
-            allowed = [v for v in weights if excluded is None or v != getattr(r, excluded)] or None
-            out.append((key, quota.pick(lambda v, key=key: hashlib.sha1(f"{key}|{v}".encode()).hexdigest()[:16], allowed)))
-        return pd.DataFrame(out, columns=[row_id, "value"])
-
-    narrow = rows.select(row_id, *([excluded] if excluded else []), F.lit(0).alias("one"))
+        part = part.sort_values(row_id)
+        ties = np.array([[int(h, 16) for h in row] for row in part["ties"]], np.uint64)
+        allowed = np.ones(ties.shape, bool) if excluded is None else part[excluded].to_numpy()[:, None] != values[None, :]
+        return pd.DataFrame({row_id: part[row_id], "value": values[fill_quotas(shares, ties, allowed)]})
+
+    ties = F.array(*(hashing.order_key(F.col(row_id).cast("string"), v) for v in weights)).alias("ties")
+    narrow = rows.select(row_id, *([excluded] if excluded else []), ties, F.lit(0).alias("one"))
     return narrow.groupBy("one").applyInPandas(fold, f"{row_id} long, value string")
 
 

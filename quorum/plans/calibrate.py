@@ -12,10 +12,13 @@ from .common import h32, table
 N, ROTATIONS, SCALE = 5, 4, 10.0
 
 
+def _scores() -> list:
+    return [F.transform(F.slice("embedding", r * N + 1, N), lambda v: v.cast("double") * SCALE) for r in range(ROTATIONS)]
+
+
 def _long(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five-letter questions read in four rotations, in the long form."""
-    scores = [F.transform(F.slice("embedding", r * N + 1, N), lambda v: v.cast("double") * SCALE) for r in range(ROTATIONS)]
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.array(*(calibration.readout(s) for s in scores)).alias("lp"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.array(*(calibration.readout(s) for s in _scores())).alias("lp"))
     return calibration.long_readout(rows, "vec_id", "lp", N)
 
 
@@ -30,14 +33,17 @@ def rotation_readout(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def calibrated_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Letter biases removed, temperature applied, rotations averaged; stable questions only."""
-    bias = F.element_at(F.array(*(F.lit(b) for b in (0.2, 0.1, 0.0, -0.1, -0.2))), F.col("pos") + 1)
-    z = _long(spark, sf_dir).withColumn("z", F.exp((F.col("lp") - bias) / 1.5))
-    sums = z.groupBy("vec_id", "rot").agg(F.sum("z").alias("s"))
-    long = z.join(sums, ["vec_id", "rot"]).withColumn("p", F.col("z") / F.col("s"))
-    done = calibration.aggregate_rotations(long, "vec_id").where("stability <= 0.2")
+    done = aggregated(spark, sf_dir).where("stability <= 0.2")
     return done.select("vec_id", F.round("stability", 6).alias("stability"), F.round(F.element_at("dist", 1), 6).alias("p0"), F.round(F.element_at("dist", 5), 6).alias("p4"), dist.argmax(F.transform("dist", lambda v: F.round(v, 9))).alias("top"))
 
 
+def aggregated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id, dist, stability of the five-letter questions."""
+    bias = F.array(*(F.lit(b) for b in (0.2, 0.1, 0.0, -0.1, -0.2)))
+    parts = [F.zip_with(calibration.readout(s), bias, lambda x, b: (x - b) / 1.5) for s in _scores()]
+    return calibration.aggregate_rotations(table(spark, sf_dir, "embeddings"), "vec_id", [dist.softmax(z) for z in parts], N)
+
+
 CALIBRATED = f"""{LONG},
 z as (select *, exp((lp - [0.2, 0.1, 0.0, -0.1, -0.2][pos + 1]) / 1.5) as z from long),
 p as (select vec_id, rot, item, z / sum(z) over (partition by vec_id, rot) as p from z),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import hashing, rules, text
 from ..operators import integrate
 from ..operators import near_duplicates as near_duplicates_of
+from ..operators.ordinal import numbered
 from .common import split_of, table
 
 TYPES = ("click", "error", "purchase", "signup", "view")
@@ -67,7 +68,7 @@ def either_or_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def forced_test_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    forced = table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id", F.lit(True).alias("forced"))
+    forced = table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id", F.lit(True).alias("forced")).distinct()
     split = hashing.split_of(F.concat(F.lit("doc_"), F.col("doc_id").cast("string")))
     return table(spark, sf_dir, "documents").select("doc_id").join(forced, "doc_id", "left").select("doc_id", F.when(F.col("forced"), "test").otherwise(split).alias("split"))
 
@@ -117,9 +118,8 @@ def anti_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def positional_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers and suppliers zipped by an explicit row number."""
-    number = lambda f, c: f.withColumn("row_id", F.row_number().over(Window.orderBy(c)))
-    a = number(table(spark, sf_dir, "supplier").select("s_suppkey"), "s_suppkey")
-    b = number(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), "n_nationkey")
+    a = numbered(table(spark, sf_dir, "supplier").select("s_suppkey"), ["s_suppkey"], "row_id")
+    b = numbered(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), ["n_nationkey"], "row_id")
     return a.join(b, "row_id").select("row_id", "s_suppkey", "n_name")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dist, hashing, rules, text
 from ..operators import balance, builders, integrate
+from ..operators.ordinal import numbered
 from . import build
 from .common import h32, split_of, table, uniform
 
@@ -88,8 +89,8 @@ def epoch_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def shard_stride(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hash order, then every fourth row to one shard."""
-    rn = F.row_number().over(Window.orderBy(hashing.order_key(F.lit("shard"), F.col("c_custkey").cast("string")))) - 1
-    return table(spark, sf_dir, "customer").select("c_custkey", (rn % 4).alias("shard"))
+    keyed = table(spark, sf_dir, "customer").select("c_custkey", hashing.order_key(F.lit("shard"), F.col("c_custkey").cast("string")).alias("h"))
+    return numbered(keyed, ["h", "c_custkey"]).select("c_custkey", ((F.col("rn") - 1) % 4).cast("int").alias("shard"))
 
 
 def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from ..checkpoints import checkpointed
 from .readers import exists
 
 
@@ -45,9 +46,11 @@ def write_ids_by_split(frame: DataFrame, path: str, split: str = "split", key: s
 
 
 def write_with_dead_letters(frame: DataFrame, failed: Column, path: str, dead: str) -> None:
-    """Good rows to one folder; failed ones to another, written only if there are any (K5)."""
-    frame.where(~failed).write.mode("overwrite").parquet(path)
-    bad = frame.where(failed)
+    """Good rows to one folder; failed ones to another, written only if there are any (K5). The input is evaluated once, so that
+    requests are not sent again and each row lands in one of the folders."""
+    judged = checkpointed(frame.withColumn("__failed", F.coalesce(failed, F.lit(False))))
+    judged.where("not __failed").drop("__failed").write.mode("overwrite").parquet(path)
+    bad = judged.where("__failed").drop("__failed")
     if not bad.isEmpty():
         bad.write.mode("overwrite").json(dead)
 

@@ -161,7 +161,7 @@ def test_balance_caps_and_prefers_dense_images(spark):
 @given(st.lists(st.integers(0, 50), max_size=60), st.integers(1, 5), st.integers(1, 20))
 def test_admission_keeps_its_promise(times, n, window):
     times = sorted(map(float, times))
-    ok = stateful.accept(times, n, window)
+    ok = stateful.admitted(times, n, window)
     accepted = []
     for t, a in zip(times, ok, strict=True):
         inside = sum(t - h <= window for h in accepted)
@@ -172,17 +172,25 @@ def test_admission_keeps_its_promise(times, n, window):
 @given(st.lists(st.integers(1, 40), max_size=40), st.integers(10, 90))
 def test_batches_keep_to_the_budget(sizes, budget):
     sizes = sorted(sizes)
-    number = stateful.batches(sizes, budget)
+    number = stateful.batch_numbers(np.array(sizes, np.int64), budget).tolist()
+    assert number == sorted(number)
+    for a, b in zip(range(len(sizes)), range(1, len(sizes))):
+        if number[a] != number[b]:  # the next one would not have fitted
+            own = [s for s, k in zip(sizes, number, strict=True) if k == number[a]]
+            assert max(*own, sizes[b]) * (len(own) + 1) > budget
     for b in set(number):
         own = [s for s, k in zip(sizes, number, strict=True) if k == b]
         assert len(own) == 1 or max(own) * len(own) <= budget
 
 
 def test_quota_matches_its_weights():
-    q = stateful.Quota({"a": 0.5, "b": 0.3, "c": 0.2})
-    for k in range(1000):
-        q.pick(lambda v, k=k: hashlib.sha1(f"{k}|{v}".encode()).hexdigest())
-    assert all(abs(q.counts[v] / 1000 - w) < 0.01 for v, w in q.weights.items())
+    shares = np.array([0.5, 0.3, 0.2])
+    ties = np.random.default_rng(1).integers(0, 1 << 60, (1000, 3)).astype(np.uint64)
+    picks = stateful.fill_quotas(shares, ties, np.ones((1000, 3), bool))
+    assert (abs(np.bincount(picks) / 1000 - shares) < 0.01).all()
+    barred = np.arange(3)[None, :] != (np.arange(1000) % 4)[:, None]
+    picks = stateful.fill_quotas(shares, ties, barred)
+    assert all(k % 4 == 3 or p != k % 4 for k, p in enumerate(picks))
     assert stateful.accepted_texts(["a b c d e", "a b c d e", "a b c d f", "x"]) == [True, False, True, True]
     assert stateful.lru_hits([1, 2, 1, 3, 2, 1], 2) == [False, False, True, False, False, False]
 
@@ -253,3 +261,33 @@ def test_shares_do_not_depend_on_the_size_of_the_table(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, lang string, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert [tuple(r) for r in check.language_share_check(spark, str(tmp_path)).collect()] == [("languages of five per cent", 3.0, "FAIL")]
     assert [tuple(r) for r in check.source_top_share(spark, str(tmp_path)).collect()] == [("s", 0.25)]
+
+
+def test_numbers_and_running_sums_over_ranges(spark):
+    from quorum.operators import ordinal
+
+    rows = [(f"k{(37 * k) % 500:03d}", k % 7) for k in range(500)]
+    frame = spark.createDataFrame(rows, "h string, v long").repartition(5)
+    got = sorted(tuple(r) for r in ordinal.numbered(frame, ["h"], "rn", F.col("v"), "sum").select("h", "rn", "sum").collect())
+    want, total = [], 0
+    for n, (h, v) in enumerate(sorted(rows), 1):
+        total += v
+        want.append((h, n, total))
+    assert got == want
+    assert ordinal.numbered(frame.limit(0), ["h"]).count() == 0
+    sizes = [r["count"] for r in ordinal.micro_batches(frame, ["h"], 64).groupBy("batch").count().orderBy("batch").collect()]
+    assert sizes == [64] * 7 + [52]
+
+
+def test_targets_and_floors(spark):
+    from quorum.functions import dist, targets, text
+
+    inf, nan = float("inf"), float("nan")
+    [r] = spark.createDataFrame([([inf, -inf, nan, None, -3.0, -200.0],)], "lp array<double>").select(dist.floored(F.col("lp")).alias("x")).collect()
+    assert r.x == [-100.0, -100.0, -100.0, -100.0, -3.0, -100.0]
+    rows = spark.createDataFrame([([0.2, 0.3, 0.5], [0.5, 1.0]), ([0.0, 0.0, 1.0], None), ([0.0, 0.0, 0.4], [0.5, 0.5]), ([0.6, 0.2, 0.2], None)], "p array<double>, prior array<double>")
+    got = [(r.x.target and [round(v, 6) for v in r.x.target], r.x.na) for r in rows.select(targets.target_of(F.col("p"), F.col("prior")).alias("x")).collect()]
+    assert got == [([0.571429, 0.428571], 0.5), (None, 1.0), (None, 1.0), ([0.75, 0.25], 0.2)]
+    words = ["none", "can't walk", "Cannot tell from here", " n/a ", "NOT visible", "unclear", "not a dog"]
+    [r] = spark.createDataFrame([(words,)], "w array<string>").select(F.transform("w", text.is_na_like).alias("x")).collect()
+    assert r.x == [False, False, True, True, True, True, False]
