@@ -84,4 +84,15 @@ select conv_id, count(*) as n_turns,
   cast(sum(plain + case when bad then more else 0 end) + count(*) - 1 as bigint) as formatted_chars
 from marked group by conv_id
 """
-SQL = {"op6_chat_formatting": OP6}
+OP1 = r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as words from documents),
+s as (select doc_id, case when len(words) = 0 then [] when len(words) < 3 then [array_to_string(words, ' ')] else list_distinct(list_transform(range(1, len(words) - 1), lambda i: words[i] || ' ' || words[i + 1] || ' ' || words[i + 2])) end as shingles from w),
+n as (select doc_id, len(shingles) as n from s), e as (select doc_id, hash(unnest(shingles)) as h from s),
+p as (select a.doc_id as x, b.doc_id as y, count(*) as inter from e a join e b on a.h = b.h and a.doc_id < b.doc_id group by 1, 2),
+l as (select x, y from p join n a on a.doc_id = x join n b on b.doc_id = y where 100 * inter >= 90 * (a.n + b.n - inter)),
+d as (select x, y from l union all select y, x from l),
+r as (select doc_id as x, doc_id as root from documents union select d.y, r.root from r join d on d.x = r.x)
+select n.doc_id, n.n as n_shingles, c.root as component_id, coalesce(k.links, 0) as n_links
+from n join (select x, min(root) as root from r group by 1) c on c.x = n.doc_id left join (select x, count(*) as links from d group by 1) k on k.x = n.doc_id
+"""
+SQL = {"op1_ngram_join": OP1, "op6_chat_formatting": OP6}

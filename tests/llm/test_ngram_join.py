@@ -1,6 +1,7 @@
 import random
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -102,7 +103,10 @@ def test_deduplicate_refuses_rows_that_change(spark, monkeypatch):
 
 def test_query_equals_brute_force(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
-    assert sorted(tuple(r) for r in queries_corpus.op1_ngram_join(spark, SF).collect()) == sorted(brute(rows, 3, 90))
+    got = sorted(tuple(r) for r in queries_corpus.op1_ngram_join(spark, SF).collect())
+    assert got == sorted(brute(rows, 3, 90))
+    duckdb.sql(f"create or replace view documents as select * from '{SF}/documents.parquet'")
+    assert got == sorted(duckdb.sql(queries_corpus.SQL["op1_ngram_join"]).fetchall())
 
 
 @settings(max_examples=300, deadline=None)
