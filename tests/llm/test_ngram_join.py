@@ -78,7 +78,8 @@ def test_join_equals_brute_force(spark, width, per_cent, block):
     assert got.where("first").count() == got.where("n_shingles > 0").select("component_id").distinct().count() + got.where("n_shingles = 0").count()
     kept = ngram_join.deduplicate(docs, width, per_cent, block=block)
     assert kept.columns == docs.columns and kept.count() == got.where("first").count()
-    assert ngram_join.join(docs.limit(0)).count() == 0 and ngram_join.deduplicate(docs.limit(0)).count() == 0
+    if per_cent == 80:
+        assert ngram_join.join(docs.limit(0)).count() == 0 and ngram_join.deduplicate(docs.limit(0)).count() == 0
 
 
 def test_large_families_of_many_sizes_and_frequent_tokens(spark):
