@@ -64,8 +64,11 @@ def unique_within(members: DataFrame, group: str, name: Column) -> DataFrame:
 
 
 def crosswalk(ids: DataFrame, key: str, table: DataFrame, target: str, mapped: str, unmapped: str) -> DataFrame:
-    """Translate ids by a small table: mapped ones, known ones without a target (null or 0), unknown ones null."""
-    small = F.broadcast(table.select(F.col(key), F.col(target).alias("__to"), F.lit(True).alias("__known")))
+    """Translate ids by a table: mapped ones, known ones without a target (null or 0), unknown ones null.
+
+    The planner broadcasts the table if its size allows, as measured; else both sides are shuffled by the id.
+    """
+    known = table.select(F.col(key), F.col(target).alias("__to"), F.lit(True).alias("__known"))
     to = F.coalesce("__to", F.lit(0))
     new = F.when(to != 0, F.format_string(mapped, "__to")).when(F.col("__known"), F.format_string(unmapped, key))
-    return ids.join(small, key, "left").withColumn("mapped", new).drop("__to", "__known")
+    return ids.join(known, key, "left").withColumn("mapped", new).drop("__to", "__known")

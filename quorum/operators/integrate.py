@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..checkpoints import checkpointed
 from ..functions import hashing
 from .ordinal import numbered
 
@@ -16,25 +18,37 @@ def union_ranked(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), (f.withColumn("src_rank", F.lit(k)) for k, f in enumerate(frames)))
 
 
+def _one_of_each(frame: DataFrame, key: list[str], pick: Callable[[Column], Column]) -> DataFrame:
+    """One whole row of each key, by an aggregation that combines before its shuffle, so a hot key is a row of each task."""
+    rest = [c for c in frame.columns if c not in key]
+    if not rest:
+        return frame.distinct()
+    row = frame.groupBy(*key).agg(pick(F.struct(*rest)).alias("__row"))
+    return row.select(*(F.col(c) if c in key else F.col("__row")[c].alias(c) for c in frame.columns))
+
+
 def last_wins(frame: DataFrame, key: str, *order: Column) -> DataFrame:
     """The row of each key that comes last."""
-    return frame.withColumn("__rn", F.row_number().over(Window.partitionBy(key).orderBy(*(o.desc() for o in order)))).where("__rn = 1").drop("__rn")
+    return _one_of_each(frame, [key], lambda row: F.max_by(row, F.struct(*order)))
 
 
 def first_wins(frame: DataFrame, key: list[str], *order: Column) -> DataFrame:
-    return frame.withColumn("__rn", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("__rn = 1").drop("__rn")
+    return _one_of_each(frame, key, lambda row: F.min_by(row, F.struct(*order)))
 
 
 def merge_reasons(frame: DataFrame, key: list[str], order: list[Column], invalid: Column, held_out: Column) -> DataFrame:
     """Add ``reason``: the invalidity, "duplicate", "held-out" or null for kept rows.
 
     Only a kept row is remembered, so the first valid row of a key that is not held out is kept; every valid row after
-    it is a duplicate; what else is held out gets that reason. One window, by key.
+    it is a duplicate; what else is held out gets that reason. ``order`` must tell the rows of a key apart. Keys meet by their SHA-256,
+    so no long key is shuffled; the first kept row of each is an aggregation that combines before its shuffle, checkpointed so that AQE
+    splits a hot key when it is joined back.
     """
-    eligible = invalid.isNull() & ~held_out
-    by = Window.partitionBy(*key).orderBy(*order)
-    before = F.coalesce(F.sum(eligible.cast("int")).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return frame.withColumn("__before", before).withColumn("reason", F.when(invalid.isNotNull(), invalid).when(F.col("__before") > 0, "duplicate").when(held_out, "held-out")).drop("__before")
+    marked = frame.withColumns({"__key": F.sha2(F.to_json(F.struct(*key)), 256), "__at": F.struct(*order), "__invalid": invalid, "__held": F.coalesce(held_out, F.lit(False))})
+    kept = marked.where(F.col("__invalid").isNull() & ~F.col("__held")).groupBy("__key").agg(F.min("__at").alias("__first"))
+    joined = marked.join(checkpointed(kept), "__key", "left")
+    reason = F.when(F.col("__invalid").isNotNull(), F.col("__invalid")).when(F.col("__at") > F.col("__first"), "duplicate").when(F.col("__held"), "held-out")
+    return joined.withColumn("reason", reason).drop("__key", "__at", "__invalid", "__held", "__first")
 
 
 def with_verdicts(rows: DataFrame, verdicts: DataFrame, keys: list[str], flag: str) -> DataFrame:

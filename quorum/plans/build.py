@@ -95,9 +95,10 @@ FAMILY = (
 )
 
 
-def id_crosswalk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nations = table(spark, sf_dir, "nation").where("n_nationkey < 20").select(F.col("n_nationkey").alias("c_nationkey"), "n_regionkey")
-    return builders.crosswalk(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), "c_nationkey", nations, "n_regionkey", "coco_%012d", "vg_%d").select("c_custkey", "mapped")
+def supplier_crosswalk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users of all events as suppliers of nations: those of nation 0 have no target, users beyond the suppliers are unknown."""
+    known = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("user_id"), "s_nationkey")
+    return builders.crosswalk(table(spark, sf_dir, "events").select("event_id", "user_id"), "user_id", known, "s_nationkey", "coco_%012d", "vg_%d").select("event_id", "mapped")
 
 
 def hash_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -204,7 +205,7 @@ with pool as (select distinct p_name, string_split(p_name, ' ') as words from pa
 own as (select l_orderkey, list_distinct(flatten(list(string_split(p_name, ' ')))) as own from lineitem join part on l_partkey = p_partkey group by 1)
 select l_orderkey, count(*) as n, min(p_name) as first_name from own join pool on not list_has_any(own.own, pool.words) group by 1"""
 
-QUERIES = {f.__name__: f for f in (vote_spread_bool, split_by_hash, vote_spread_choice, vote_histogram_score, one_hot_targets, family_rules, id_crosswalk, hash_pick, unanswerable_filter, url_parse, unique_name_pairs, attribute_choice, cooccurrence, absent_items, presence_pairs, word_overlap_exclusion)}
+QUERIES = {f.__name__: f for f in (vote_spread_bool, split_by_hash, vote_spread_choice, vote_histogram_score, one_hot_targets, family_rules, supplier_crosswalk, hash_pick, unanswerable_filter, url_parse, unique_name_pairs, attribute_choice, cooccurrence, absent_items, presence_pairs, word_overlap_exclusion)}
 SQL = {
     "vote_spread_bool": VOTES,
     "split_by_hash": f"select doc_id, {split_of("'doc_' || doc_id")} as split, {h32("'doc_' || doc_id")} as h from documents",
@@ -212,7 +213,7 @@ SQL = {
     "vote_histogram_score": HISTOGRAM,
     "one_hot_targets": "select vec_id, array_to_string(list_transform(range(10), lambda i: case when i = label then '1' else '0' end), '') as target from embeddings where label between 0 and 9",
     "family_rules": FAMILY,
-    "id_crosswalk": "select c_custkey, case when coalesce(n_regionkey, 0) <> 0 then format('coco_{:012d}', n_regionkey) when n_nationkey is not null then 'vg_' || c_nationkey end as mapped from customer left join nation on n_nationkey = c_nationkey and n_nationkey < 20",
+    "supplier_crosswalk": "select event_id, case when coalesce(s_nationkey, 0) <> 0 then format('coco_{:012d}', s_nationkey) when s_suppkey is not null then 'vg_' || user_id end as mapped from events left join supplier on s_suppkey = user_id",
     "hash_pick": f"select doc_id, ['How good is it?', 'Rate it.', 'What is its quality?'][{h32('doc_id::VARCHAR')} % 3 + 1] as q from documents",
     "unanswerable_filter": "select conv_id, turn, length(text) - length(replace(text, '?', '')) as marks from conversations where regexp_matches(lower(text), '^(is|are|the|in|of|on) ') and not regexp_matches(lower(text), '(^| )(what|which|how|why)( |$)') and length(text) - length(replace(text, '?', '')) <= 1",
     "url_parse": r"select page_id, regexp_extract(url, '^https?://([^/]+)/', 1) as host, regexp_extract(url, '/([a-z]{2})/', 1) as folder, regexp_extract(url, '/(\d+)(?:[?#].*)?$', 1) as number from pages",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import hashing, rules, text
@@ -80,10 +80,10 @@ def manifest_join_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy(F.coalesce("known", F.lit(False)).alias("matched")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("source").alias("sources"))
 
 
-def manifest_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "customer")
-    first = c.where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("v"))
-    second = c.where("c_custkey % 2 = 0").select((F.col("c_custkey")).alias("id"), F.lower("c_name").alias("v"))
+def manifest_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The segment of each customer, or else the priority of an order of theirs, as the later manifest."""
+    first = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("v"))
+    second = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderpriority").alias("v"))
     return integrate.last_wins(integrate.union_ranked([first, second]), "id", F.col("src_rank"), F.col("v")).select("id", "v", "src_rank")
 
 
@@ -147,13 +147,13 @@ def near_duplicate_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates_of.pairs(table(spark, sf_dir, "documents"), "source", "doc_id", "text")
 
 
-def full_outer_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Metrics of two halves side by side; those of the second come first in the order."""
-    docs = table(spark, sf_dir, "documents")
-    a = docs.where("doc_id % 2 = 0 and lang <> 'es'").groupBy("lang").agg(F.count(F.lit(1)).alias("v1"))
-    b = docs.where("doc_id % 2 = 1 and lang <> 'fr'").groupBy("lang").agg(F.count(F.lit(1)).alias("v2"))
-    joined = a.join(b, "lang", "full_outer")
-    return joined.select("lang", "v1", "v2", (F.coalesce("v2", F.lit(0)) - F.coalesce("v1", F.lit(0))).alias("delta"), F.row_number().over(Window.orderBy(F.col("v2").isNull(), "lang")).alias("place"))
+def full_outer_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders and shipments of each day side by side; days with shipments come first in the order."""
+    a = table(spark, sf_dir, "orders").groupBy(F.to_date("o_orderdate").alias("day")).agg(F.count(F.lit(1)).alias("v1"))
+    b = table(spark, sf_dir, "lineitem").groupBy(F.to_date("l_shipdate").alias("day")).agg(F.count(F.lit(1)).alias("v2"))
+    joined = a.join(b, "day", "full_outer").withColumn("without", F.col("v2").isNull())
+    placed = numbered(joined, ["without", "day"], "place")
+    return placed.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "v1", "v2", (F.coalesce("v2", F.lit(0)) - F.coalesce("v1", F.lit(0))).alias("delta"), "place")
 
 
 def first_wins_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -207,21 +207,21 @@ def nested_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nested.select("conv_id", F.posexplode("turns").alias("pos", "t")).select("conv_id", "pos", "t.turn", "t.role", F.col("t.n").cast("long").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (denial_to_na, validity_reasons, either_or_verdicts, forced_test_split, manifest_join_missing, manifest_last_wins, merge_dedup, merge_counts, semi_filter, anti_resume, positional_zip, near_duplicates, near_duplicate_documents, full_outer_checks, first_wins_lookup, calibration_by_type, visibility_mask, topic_matrix, dimension_joins, json_scalar, nested_round_trip)}
+QUERIES = {f.__name__: f for f in (denial_to_na, validity_reasons, either_or_verdicts, forced_test_split, manifest_join_missing, manifest_overlay, merge_dedup, merge_counts, semi_filter, anti_resume, positional_zip, near_duplicates, near_duplicate_documents, full_outer_days, first_wins_lookup, calibration_by_type, visibility_mask, topic_matrix, dimension_joins, json_scalar, nested_round_trip)}
 SQL = {
     "denial_to_na": DENIAL,
     "validity_reasons": VALIDITY,
     "either_or_verdicts": "select d.doc_id, coalesce(l.quality = 1, false) as tagged, regexp_matches(d.text, '[0-9A-Za-z_] or [0-9A-Za-z_]') as either_or from documents d left join labels l using (doc_id) where coalesce(l.quality = 1, true)",
     "forced_test_split": f"select d.doc_id, case when l.doc_id is not null then 'test' else {split_of("'doc_' || d.doc_id")} end as split from documents d left join labels l on l.doc_id = d.doc_id and l.toxic = 1",
     "manifest_join_missing": "select l.doc_id is not null as matched, count(*) as n, count(distinct source) as sources from documents d left join labels l using (doc_id) group by 1",
-    "manifest_last_wins": "select * from (select c_custkey as id, c_mktsegment as v, 0 as src_rank from customer where c_custkey % 3 <> 0 union all select c_custkey, lower(c_name), 1 from customer where c_custkey % 2 = 0) qualify row_number() over (partition by id order by src_rank desc, v desc) = 1",
+    "manifest_overlay": "select * from (select c_custkey as id, c_mktsegment as v, 0 as src_rank from customer union all select o_custkey, o_orderpriority, 1 from orders) qualify row_number() over (partition by id order by src_rank desc, v desc) = 1",
     "merge_dedup": MERGE,
     "merge_counts": f"select reason, count(*) as n from ({MERGE}) group by 1",
     "semi_filter": "select o_orderstatus, count(*) as n from orders where exists (select 1 from lineitem where l_orderkey = o_orderkey and l_returnflag = 'R') group by 1",
     "anti_resume": "select o_orderkey, o_orderpriority from orders where not exists (select 1 from lineitem where l_orderkey = o_orderkey)",
     "positional_zip": "select row_id, s_suppkey, n_name from (select s_suppkey, row_number() over (order by s_suppkey) as row_id from supplier) join (select n_name, row_number() over (order by n_nationkey) as row_id from nation) using (row_id)",
     "near_duplicates": NEAR,
-    "full_outer_checks": "select lang, v1, v2, coalesce(v2, 0) - coalesce(v1, 0) as delta, row_number() over (order by v2 is null, lang) as place from (select lang, count(*) as v1 from documents where doc_id % 2 = 0 and lang <> 'es' group by 1) full join (select lang, count(*) as v2 from documents where doc_id % 2 = 1 and lang <> 'fr' group by 1) using (lang)",
+    "full_outer_days": "select strftime(day, '%Y-%m-%d') as day, v1, v2, coalesce(v2, 0) - coalesce(v1, 0) as delta, row_number() over (order by v2 is null, day) as place from (select o_orderdate::DATE as day, count(*) as v1 from orders group by 1) full join (select l_shipdate::DATE as day, count(*) as v2 from lineitem group by 1) using (day)",
     "first_wins_lookup": "select e.event_id, f.value as first_value from events e left join (select user_id, value from events where event_type = 'purchase' qualify row_number() over (partition by user_id order by ts, event_id) = 1) f using (user_id) where e.event_type = 'error'",
     "calibration_by_type": "select event_id, round(value / t + bias, 6) as scaled from events join (values ('click', 1.5::DOUBLE, 0.25::DOUBLE), ('view', 0.8, -0.5), ('error', 2.0, 0.0)) o(event_type, t, bias) using (event_type)",
     "visibility_mask": "with t as (select conv_id, turn, case when turn < 2 then 0 else turn // 2 end as blk from conversations where turn < 12), u as (select *, case when blk > 1 then blk // 2 else 0 end as parent from t) select a.conv_id, a.turn, count(*) as visible from u a join u b on a.conv_id = b.conv_id and b.turn <= a.turn and (b.blk = 0 or b.blk = a.blk or b.blk = a.parent) group by 1, 2",

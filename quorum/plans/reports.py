@@ -95,8 +95,15 @@ def verify_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("yes").agg(F.count_if("mapped").alias("questions"), F.count_if(F.col("mapped").isNull()).alias("skipped"))
 
 
-QUERIES = {f.__name__: f for f in (soft_share, composite_histograms, position_deviation, per_type_report, file_order_limit, event_micro_batches, cache_keys, verify_questions)}
+def capped_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many users have how many events, ten standing for ten or more."""
+    sizes = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    return sizes.groupBy(F.least("n", F.lit(10)).alias("size")).agg(F.count(F.lit(1)).alias("users"))
+
+
+QUERIES = {f.__name__: f for f in (capped_sizes, soft_share, composite_histograms, position_deviation, per_type_report, file_order_limit, event_micro_batches, cache_keys, verify_questions)}
 SQL = {
+    "capped_sizes": "select least(n, 10) as size, count(*) as users from (select count(*) as n from events group by user_id) group by 1",
     "soft_share": f"select p_brand, count(*) as n, round(avg((greatest(p_yes, p_no) < 0.999)::INT), 6) as soft from ({build.VOTES}) v join part on part_id = p_partkey group by 1",
     "composite_histograms": HISTOGRAMS,
     "position_deviation": POSITIONS,
