@@ -95,4 +95,37 @@ r as (select doc_id as x, doc_id as root from documents union select d.y, r.root
 select n.doc_id, n.n as n_shingles, c.root as component_id, coalesce(k.links, 0) as n_links
 from n join (select x, min(root) as root from r group by 1) c on c.x = n.doc_id left join (select x, count(*) as links from d group by 1) k on k.x = n.doc_id
 """
-SQL = {"op1_ngram_join": OP1, "op6_chat_formatting": OP6}
+#: Kinds for an engine without look-around: pattern, groups before the span and of the value, and what a value must be. A vendor's key takes
+#: the character before it into its match; an entropy span is a whole run that holds a digit and letters of both cases.
+_SHAPES = (
+    ("assign", secrets.KINDS[0][1], None, 2, "length(v) >= 6"),
+    ("access", secrets.KINDS[1][1], None, 0, "true"),
+    ("hex", secrets.KINDS[2][1], None, 0, "true"),
+    ("jwt", secrets.KINDS[3][1], None, 0, "true"),
+    ("vendor", "(^|[^A-Za-z0-9])(" + secrets.KINDS[4][1].split(")", 1)[1] + ")", 1, 2, "true"),
+    ("pem", secrets.KINDS[5][1], None, 0, "true"),
+    ("entropy", "[A-Za-z0-9+/_-]+", None, 0, "length(v) >= 32 and regexp_matches(v, '[a-z]') and regexp_matches(v, '[A-Z]') and regexp_matches(v, '[0-9]')"),
+)
+
+
+def _shape(rank: int) -> str:
+    kind, pattern, before, value, test = _SHAPES[rank]
+    quoted = "'" + pattern.replace("'", "''") + "'"
+    taken = f"regexp_extract_all(text, {quoted}, {before})" if before else "[]::VARCHAR[]"
+    return f"""select row_key, rank, kind, finish - length(m) + coalesce(length(b), 0) as start, finish as "end", sha256(v) as hash from (
+  select *, sum(length(g) + length(m)) over (partition by row_key order by nth) as finish from (
+    select row_key, {rank} as rank, '{kind}' as kind, unnest(matches) as m, unnest(list_resize(befores, len(matches))) as b, unnest(vals) as v, unnest(gaps[1:len(matches)]) as g, unnest(range(1, len(matches) + 1)) as nth from (
+      select row_key, regexp_extract_all(text, {quoted}, 0) as matches, regexp_extract_all(text, {quoted}, {value}) as vals, {taken} as befores, string_split_regex(text, {quoted}) as gaps from d where regexp_matches(text, {quoted})))) where {test}"""
+
+
+OP2 = f"""
+with d as (select row_number() over () as row_key, doc_id, coalesce(text, '') as text, coalesce(source, '') as owner, coalesce(lang, '') as lang from documents),
+s as ({" union all ".join(_shape(k) for k in range(len(_SHAPES)))}),
+o as (select hash, count(distinct owner) < 3 and count(distinct (owner, lang)) < 6 as live from s join d using (row_key) group by 1),
+k as (select s.*, live, kind || ':' || start || ':' || "end" as said from s join o using (hash) where rank < {secrets.BASE} or live),
+t as (select row_key, count(*) filter (rank = 0) as n_assign, count(*) filter (rank = 1) as n_access, count(*) filter (rank = 2) as n_hex, count(*) filter (live) as n_live,
+  string_agg(said, ',' order by start, rank) filter (rank < {secrets.BASE}) as base, string_agg(said, ',' order by start, rank) as spans from k group by 1)
+select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex, coalesce(n_live, 0) as n_live, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+from d left join t using (row_key)
+"""
+SQL = {"op1_ngram_join": OP1, "op2_secret_scans": OP2, "op6_chat_formatting": OP6}

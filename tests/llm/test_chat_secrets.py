@@ -88,8 +88,8 @@ def value(span, text):
     return re.search(r"[A-Za-z0-9+/_.=-]+$", text[span[0] : span[2]])[0] if span[3] == "assign" else text[span[0] : span[2]]
 
 
-def test_all_spans_equal_brute_force(spark):
-    """Base and added spans and their verdicts, where one value is in a third of all rows and another in many repositories of two owners."""
+def planted():
+    """Rows of which a third hold one value, and one value is in many repositories of two owners."""
     rng = random.Random(6)
     word = lambda n: "".join(rng.choice("abcXYZ0189_-") for _ in range(n))
     own = ["ghp_" + "Q7w3" * 10, "eyJ" + "abcDEF12345." * 2 + "abcdeF", "-----BEGIN EC PRIVATE KEY-----", "Zz9" * 20, "AIza" + "aB3_" * 8 + "xyz", "token=" + "Aa0" * 12, "x" + "Zz9" * 20]
@@ -99,6 +99,12 @@ def test_all_spans_equal_brute_force(spark):
         parts += [rng.choice([*own, word(40), "é🙂", "deadbeef" * 3, "plain", "glpat-" + word(20)]) for _ in range(rng.randrange(6))]
         rows.append((k if k % 50 else None, " ".join(parts), f"s{rng.randrange(2) if k % 7 else rng.randrange(9)}", f"l{rng.randrange(4)}"))
     rows += [(900, "ghp_" + "N4m5" * 10, f"s{k % 2}", f"l{k}") for k in range(6)] + [(None, None, None, None)]
+    return rows
+
+
+def test_all_spans_equal_brute_force(spark):
+    """Base and added spans and their verdicts."""
+    rows = planted()
     seen, spans = {}, []
     for _, t, owner, lang in rows:
         got = brute(t or "")
@@ -124,6 +130,19 @@ def test_all_spans_equal_brute_force(spark):
     assert masked == {(i, o, g, t if t is None else mask(t, [s for s in found if s[1] < 3 or live[value(s, t)]])) for (i, t, o, g), found in zip(rows, spans, strict=True)}
 
 
+def test_secret_query_equals_sql(spark, tmp_path):
+    """On planted rows with edge texts, every column of the query."""
+    rows = planted() + [(1000 + k, t, "a", "en") for k, t in enumerate(TEXTS)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = queries_corpus.op2_secret_scans(spark, str(tmp_path))
+    duckdb.sql(f"create or replace view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = duckdb.sql(queries_corpus.SQL["op2_secret_scans"])
+    key = lambda r: tuple(str(r[c]) for c in sorted(found.columns))
+    wanted = [dict(zip(want.columns, r, strict=True)) for r in want.fetchall()]
+    assert sorted(map(key, (r.asDict() for r in found.collect()))) == sorted(map(key, wanted))
+    assert any(r["n_live"] for r in wanted) and any("entropy" in r["spans"] for r in wanted) and any("vendor" in r["spans"] for r in wanted)
+
+
 def test_redaction_keeps_rows_and_columns(spark):
     docs = frame(spark, TEXTS).unionByName(frame(spark, TEXTS).where("doc_id = 2")).withColumn("__row_hash", F.lit(1)).withColumnRenamed("spans", "__spans")
     got = secrets.redact(docs)
