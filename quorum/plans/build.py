@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dist, hashing, rules, text
 from ..operators import builders
+from ..operators.ordinal import numbered
 from .common import h32, split_of, table, uniform
 
 ORDER = ["l_orderkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_quantity"]
@@ -192,12 +193,22 @@ qualify row_number() over (partition by ab.l_orderkey order by -ln({uniform("ab.
 
 
 def word_overlap_exclusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Part names that share no word with any part name of the order."""
-    parts = table(spark, sf_dir, "part").select("p_partkey", "p_name", text.words_of(F.col("p_name")).alias("words"))
+    """Part names that share no word with any part name of the order (J20), by subtraction.
+
+    Names have places in their order. Orders with equal sets of words are one set; the places that a set meets by a word are joined by
+    equality, and the smallest place that it does not meet is the first free one. Names are small if the planner's sizes say so.
+    """
+    parts = table(spark, sf_dir, "part").where("p_name is not null").select("p_partkey", "p_name", text.words_of(F.col("p_name")).alias("words"))
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
-    own = lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).groupBy("l_orderkey").agg(F.array_distinct(F.flatten(F.collect_list("words"))).alias("own"))
-    pool = parts.groupBy("p_name").agg(F.min("words").alias("words"))
-    return own.join(F.broadcast(pool), ~F.arrays_overlap("own", "words")).groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"), F.min("p_name").alias("first_name"))
+    own = lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).groupBy("l_orderkey").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("words")))).alias("own"))
+    names = numbered(parts.groupBy("p_name").agg(F.min("words").alias("words")), ["p_name"], "place")
+    sets = own.select("own").distinct()
+    met = sets.select("own", F.explode("own").alias("word")).join(names.select("place", F.explode(F.array_distinct("words")).alias("word")), "word").select("own", "place").distinct()
+    at = met.withColumn("at", F.row_number().over(Window.partitionBy("own").orderBy("place")))
+    gaps = at.groupBy("own").agg(F.count(F.lit(1)).alias("met"), F.min(F.when(F.col("place") != F.col("at"), F.col("at"))).alias("gap"))
+    free = sets.join(gaps, "own", "left").withColumn("met", F.coalesce("met", F.lit(0))).withColumn("place", F.coalesce("gap", F.col("met") + 1))
+    left = free.join(names.select("place", F.col("p_name").alias("first_name")), "place").crossJoin(names.agg(F.count(F.lit(1)).alias("names")))
+    return own.join(left.select("own", (F.col("names") - F.col("met")).alias("n"), "first_name"), "own").select("l_orderkey", "n", "first_name")
 
 
 OVERLAP = """
