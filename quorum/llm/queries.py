@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import queries_corpus, queries_tokens
+from . import queries_corpus, queries_terms, queries_tokens
 
-MODULES = (queries_corpus, queries_tokens)
+MODULES = (queries_corpus, queries_tokens, queries_terms)
 
 
 def queries() -> dict:
