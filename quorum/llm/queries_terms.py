@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import divergence
+from . import collocations, divergence
 
 
 def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -12,7 +12,12 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-QUERIES = {"op11_source_divergence": op11_source_divergence}
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The phrases of each language whose words belong together most."""
+    return collocations.collocations(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+QUERIES = {"op11_source_divergence": op11_source_divergence, "op12_phrase_collocations": op12_phrase_collocations}
 
 LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 OP11 = rf"""
@@ -33,4 +38,19 @@ term as (select lang, source, 'term' as part, term as item, p - q as value from
 ranked as (select *, row_number() over (partition by lang, source, part order by value desc, item) as rank from (select * from pair union all select * from term))
 select lang, source, part, item, value, rank::integer as rank from ranked where part = 'pair' or rank <= 50
 """
-SQL = {"op11_source_divergence": OP11}
+OP12 = rf"""
+with d as (select coalesce(lang, 'und') as lang, translate(coalesce(text, ''), {LOWER}) as t from documents),
+p as (select lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) as piece from d),
+w as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as ws from p),
+n as (select lang, sum(len(ws))::bigint as n from w group by lang),
+g as (select lang, m, unnest(list_transform(range(1, len(ws) - m + 2), lambda i: array_to_string(ws[i:i + m - 1], ' '))) as phrase from w, (values (1), (2), (3), (4)) x(m) where len(ws) >= m),
+f as (select lang, m, phrase, string_split(phrase, ' ') as ws, count(*)::hugeint as f from g group by all having count(*) >= 30),
+cut as (select lang, phrase, f as a, k, array_to_string(ws[1:k], ' ') as first_, array_to_string(ws[k + 1:], ' ') as rest from f, (values (1), (2), (3)) x(k) where k < m),
+c as (select cut.lang, cut.phrase, a, k, l.f as l, r.f as r, (2000000 * a) // (l.f + r.f) as score from cut join f l on l.lang = cut.lang and l.phrase = first_ join f r on r.lang = cut.lang and r.phrase = rest),
+lowest as (select * from c qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+inner_ as (select lang, array_to_string(ws[i:i + s - 1], ' ') as phrase, max(f) as longer from f, (values (2), (3)) y(s), (values (1), (2), (3)) x(i) where s < m and i + s - 1 <= m group by all),
+own as (select lowest.* from lowest left join inner_ using (lang, phrase) where longer is null or 100 * longer < 80 * a),
+ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from own)
+select lang, rank, phrase, a::bigint as a, l::bigint as l, r::bigint as r, n, score::bigint as score from ranked join n using (lang) where rank <= 2000
+"""
+SQL = {"op11_source_divergence": OP11, "op12_phrase_collocations": OP12}
