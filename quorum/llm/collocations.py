@@ -5,7 +5,8 @@ word, then of two, then of four) sorts its suffixes as far as a phrase reaches;
 are the intervals of the phrases of m words, and their lengths are the counts. Spark sums them by phrase.
 
 Phrases of fewer than ``least`` occurrences matter to nobody, and a phrase of that many consists of words and pairs of that many.
-So a first pass counts words and pairs by 64-bit hashes, and those that reach ``least`` are marked in a bit map. The second pass
+So a first pass counts words and pairs by hashes of 40 bits (eight thousand times the cells of the bit map, which could not hold
+more), and those that reach ``least`` are marked in a bit map. The second pass
 counts phrases themselves, but only those whose words and pairs are all marked. Collisions mark too much and never too little:
 counts are by the phrase, and exact.
 
@@ -35,8 +36,8 @@ from .shared import broadcast_bounded, col, staged
 #: Characters that end a piece, all made into the first.
 ENDS = b".,;:!?\n\x0b\x0c\r"
 _TO_END = bytes.maketrans(ENDS, ENDS[:1] * len(ENDS))
-#: Words of the longest phrase.
-LONGEST = 4
+#: Words of the longest phrase, and bits of the hashes that the first pass counts by.
+LONGEST, SIEVE = 4, 40
 
 
 class Shard:
@@ -133,7 +134,8 @@ def _sieve(words: int):
         room = np.where(ids[1:] > 0, 2, 1)
         for m, own in ((1, one), (2, two)):
             place, n = intervals(sa, lcp, room, m)
-            yield pa.RecordBatch.from_arrays([pa.array(own[place].view(np.int64)), pa.array(n, pa.int64())], names=["hash", "n"])
+            kept = own[place] & np.uint64((1 << SIEVE) - 1)
+            yield pa.RecordBatch.from_arrays([pa.array(kept.astype(np.int64)), pa.array(n, pa.int64())], names=["hash", "n"])
 
     return lambda batches: _shards(batches, words, use)
 
@@ -170,7 +172,7 @@ def _marked(marks: np.ndarray, hashed: np.ndarray, bits: int) -> np.ndarray:
 
 
 def bit_map(frequent: DataFrame, bits: int) -> np.ndarray:
-    """The lowest bits of the hashes as a map of 64-bit cells; the cells come to the driver, at most ``1 << bits`` bits."""
+    """The lowest ``bits`` (6 to 40) of the hashes as a map of 64-bit cells; the cells come to the driver, at most ``1 << bits`` bits."""
     bit = F.col("hash").bitwiseAND((1 << bits) - 1)
     cells = frequent.select(F.shiftright(bit, 6).alias("cell"), F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(63).cast("int")).alias("one"))
     got = cells.groupBy("cell").agg(F.bit_or("one").alias("ones")).toArrow()
