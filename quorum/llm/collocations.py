@@ -13,7 +13,7 @@ counts are by the phrase, and exact.
 Scale: the bit map has ``1 << bits`` bits whatever the input (16 MB); where it fills up, more phrases are shuffled, and the result is the
 same. A shard has a bounded number of words; a language of any share of the rows is many shards. Shuffled are a shard's
 distinct hashes, then its distinct marked phrases, then the table of frequent ones (joined with itself by phrase). Ranks of a
-language are cut to ``top`` in each task first.
+language are cut to ``top`` in each of ``parts`` parts of it first.
 
 Cases: a null text is empty, a null language is 'und'; texts without words count for nothing; repeated rows count each; a phrase never
 crosses a piece or a text; equal scores go by the smaller cut, equal ranks by the phrase's bytes; an empty table gives no rows;
@@ -191,7 +191,7 @@ def frequent_phrases(docs: DataFrame, least: int = 30, text_col: str = "text", l
     return table.where("m > 0"), table.where("m = 0").select("lang", F.col("f").alias("n"))
 
 
-def collocations(docs: DataFrame, least: int = 30, top: int = 2000, covered: int = 80, text_col: str = "text", lang_col: str = "lang", words: int = 1 << 21, bits: int = 27) -> DataFrame:
+def collocations(docs: DataFrame, least: int = 30, top: int = 2000, covered: int = 80, text_col: str = "text", lang_col: str = "lang", words: int = 1 << 21, bits: int = 27, parts: int = 64) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: the first ``top`` phrases of each language.
 
     A phrase that a longer one contains goes if the longer one has ``covered`` per cent of its occurrences or more.
@@ -212,5 +212,9 @@ def collocations(docs: DataFrame, least: int = 30, top: int = 2000, covered: int
     inner = F.explode(F.flatten(F.transform(F.sequence(F.lit(2), F.col("m") - 1), lambda size: F.transform(F.sequence(F.lit(1), F.col("m") - size + 1), lambda at: F.array_join(F.slice("of", at, size), " ")))))
     longer = many.where("m > 2").select("lang", inner.alias("phrase"), "a").groupBy("lang", "phrase").agg(F.max("a").alias("longer"))
     own = lowest.join(longer, ["lang", "phrase"], "left").where(F.col("longer").isNull() | (100 * F.col("longer") < covered * F.col("a")))
-    ranked = own.select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score").withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")))
-    return ranked.where(F.col("rank") <= top).join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
+    # Spark cuts ranks in each task only up to its threshold of 1000, so a first ranking in parts of a language bounds what one task gets
+    best = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), F.desc("a"), "phrase"))
+    flat = own.select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score").withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(parts)))
+    ahead = flat.withColumn("rank", best("lang", "part")).where(F.col("rank") <= top).drop("rank", "part")
+    ranked = ahead.withColumn("rank", best("lang")).where(F.col("rank") <= top)
+    return ranked.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
