@@ -188,7 +188,7 @@ def _compare(tile: int) -> Callable[[tuple, pa.Table], pa.Table]:
     return run
 
 
-def audit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", least: int = 30, top: int = 50, entries: int = 1 << 20, tile: int = 256) -> DataFrame:
+def audit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", least: int = 30, top: int = 50, entries: int = 1 << 16, tile: int = 256) -> DataFrame:
     """lang, source, part, item, value, rank: divergences of all pairs of sources, and each source's terms above the language's share."""
     blank = lambda c: F.coalesce(col(c).cast("string"), F.lit(""))
     rows = docs.select(blank(lang_col).alias("lang"), blank(source_col).alias("source"), blank(text_col).alias("text"))
@@ -200,7 +200,9 @@ def audit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sourc
     totals = kept.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("entries"), F.sum(F.col("one").cast("long")).alias("kept"))
     listed = rows.select("lang", "source").distinct().join(totals, ["lang", "source"], "left").fillna(0, ["total", "entries", "kept"])
     of_lang = Window.partitionBy("lang")
-    parts = F.greatest(F.ceil(F.sum("entries").over(of_lang) / entries), F.lit(1)).cast("int")
+    # a shard's result has a row for each pair of sources: it shall have as many entries, as far as they fit
+    own = F.least(F.greatest(F.lit(entries), F.pow(F.count(F.lit(1)).over(of_lang), 2)), F.greatest(F.lit(entries), F.lit(1 << 22)))
+    parts = F.greatest(F.ceil(F.sum("entries").over(of_lang) / own), F.lit(1)).cast("int")
     groups = listed.select("lang", "source", "total", F.sum("kept").over(of_lang).alias("kept"), F.sum("total").over(of_lang).alias("lang_total"), parts.alias("parts"), (F.row_number().over(of_lang.orderBy("source")) - 1).alias("at"))
     groups = staged(groups.withColumn("absent", share(F.lit(0), F.col("total"), F.col("kept"))), "term-groups")
 
