@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import re
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 from weakref import WeakKeyDictionary
 
 import pyarrow as pa
@@ -18,11 +20,33 @@ from pyspark.sql import functions as F
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
-#: Where each staged table that is still referred to lies, and the tables made in each open ``scratch``.
+#: Where each staged table that is still referred to lies.
 _PATHS: WeakKeyDictionary = WeakKeyDictionary()
-_OPEN: list[list[DataFrame]] = []
+#: The tables made in each ``scratch`` that this thread (or other context) has open; no other context sees or removes them.
+_OPEN: ContextVar[tuple[list[DataFrame], ...]] = ContextVar("open_scratches", default=())
 #: Lets Spark delete the shuffle files of a query when it ends; what is staged needs them no more.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: For each session how many writes hold the setting, and what it was before the first.
+_HELD: WeakKeyDictionary = WeakKeyDictionary()
+_LOCK = threading.Lock()
+
+
+@contextmanager
+def _cleaning(spark: SparkSession) -> Iterator[None]:
+    """Hold the setting while at least one write of the session runs; the last puts back what was there."""
+    with _LOCK:
+        writers, before = _HELD.get(spark, (0, spark.conf.get(_CLEANUP, "false")))
+        _HELD[spark] = writers + 1, before
+        spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        with _LOCK:
+            writers, before = _HELD.pop(spark)
+            if writers > 1:
+                _HELD[spark] = writers - 1, before
+            else:
+                spark.conf.set(_CLEANUP, before)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -48,16 +72,12 @@ def staged(frame: DataFrame, name: str) -> DataFrame:
     """
     spark = frame.sparkSession
     path = f"{shared_dir(spark)}/quorum-{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
-    try:
+    with _cleaning(spark):
         frame.write.parquet(path)
-    finally:
-        spark.conf.set(_CLEANUP, before)
     made = spark.read.schema(frame.schema).parquet(path)
     _PATHS[made] = path
-    if _OPEN:
-        _OPEN[-1].append(made)
+    if _OPEN.get():
+        _OPEN.get()[-1].append(made)
     return made
 
 
@@ -72,19 +92,22 @@ def release(*frames: DataFrame) -> None:
 
 @contextmanager
 def scratch() -> Iterator[None]:
-    """Tables staged inside are removed at the end, but those that the body hands on."""
-    _OPEN.append([])
+    """Tables staged inside, in the same thread, are removed at the end, but those that the body hands on."""
+    own: list[DataFrame] = []
+    token = _OPEN.set((*_OPEN.get(), own))
     try:
         yield
     finally:
-        release(*_OPEN.pop())
+        _OPEN.reset(token)
+        release(*own)
 
 
 def hand_on(frame: DataFrame) -> DataFrame:
     """Keep a staged table beyond the innermost ``scratch``, for the one around it."""
-    _OPEN[-1].remove(frame)
-    if len(_OPEN) > 1:
-        _OPEN[-2].append(frame)
+    *around, own = _OPEN.get()
+    own.remove(frame)
+    if around:
+        around[-1].append(frame)
     return frame
 
 
