@@ -84,6 +84,7 @@ class Index:
         sizes = np.diff(begins)
         only, single = members[begins[:-1]], members[begins[:-1]] == members[begins[1:] - 1]  # a vector that one id has is not for that id
         codes, exact_queries, exact_vectors = codes[first], queries.astype(np.float64), vectors[first].astype(np.float64)
+        queries = queries.astype(np.float32, copy=False)
         for begin in range(0, len(queries), 256):
             some = queries[begin : begin + 256]
             scores = np.repeat((some @ self.centres[cell])[:, None], len(first), 1)
@@ -141,7 +142,9 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
 def neighbours(rows: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", share: float = 0.75, rerank: int = 80, sample: int = 8192, block: int = 8192, visitors: int = 32768, most_cells: int = 1024) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row for which ``queries`` holds."""
     spark = rows.sparkSession
-    vectors = rows.select(col(id_col).cast("long").alias("vec_id"), col(vector_col).cast("array<float>").alias("vector"), F.coalesce(queries, F.lit(False)).alias("asked")).where(F.col("vec_id").isNotNull() & usable(F.col("vector")))
+    # floats stay floats; vectors of any other numbers are kept, compared and reranked as doubles
+    kind = "array<float>" if rows.select(col(vector_col)).dtypes[0][1] == "array<float>" else "array<double>"
+    vectors = rows.select(col(id_col).cast("long").alias("vec_id"), col(vector_col).cast(kind).alias("vector"), F.coalesce(queries, F.lit(False)).alias("asked")).where(F.col("vec_id").isNotNull() & usable(F.col("vector")))
     lengths = vectors.groupBy(F.size("vector").alias("dim")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "dim").limit(1).collect()
     none = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if not lengths:
@@ -158,7 +161,7 @@ def neighbours(rows: DataFrame, queries: Column, k: int = 20, id_col: str = "vec
                 cell, codes = index.value.assign(_matrix(batch.column("vector"), dim))
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype("int32")), pa.array([c.tobytes() for c in codes], pa.binary())], names=["vec_id", "vector", "asked", "cell", "code"])
 
-    table = staged(vectors.mapInArrow(assign, "vec_id long, vector array<float>, asked boolean, cell int, code binary"), "vectors")
+    table = staged(vectors.mapInArrow(assign, f"vec_id long, vector {kind}, asked boolean, cell int, code binary"), "vectors")
     counts = np.zeros(cells, np.int64)
     for r in table.groupBy("cell").count().collect():  # one row for each cell, most_cells at most
         counts[r["cell"]] = r["count"]
@@ -171,7 +174,7 @@ def neighbours(rows: DataFrame, queries: Column, k: int = 20, id_col: str = "vec
                 yield pa.RecordBatch.from_arrays([some.column("query_id"), some.column("query"), pa.array(got, pa.list_(pa.int32()))], names=["query_id", "query", "cells"])
 
     asked = table.where("asked").select(F.col("vec_id").alias("query_id"), F.col("vector").alias("query")).dropDuplicates(["query_id"])
-    visits = asked.mapInArrow(visit, "query_id long, query array<float>, cells array<int>")
+    visits = asked.mapInArrow(visit, f"query_id long, query {kind}, cells array<int>")
     blocks = np.maximum(1, -(-counts // block))
     n_asked = table.where("asked").count()
     parts = max(1, -(-n_asked // visitors))
