@@ -5,12 +5,13 @@ ends, and counts its characters and its tags. Navigation, headers of the page, f
 markup by their element: they add tags to lines and no text, and an inline one (a button, say) does not end the line around it. The ratio
 of characters to tags is smoothed over neighbouring lines, and the lines are split into content and the rest where two clusters of the
 smoothed ratios part. The content region is the innermost element that holds all clustered content, but not a list or table, what is
-in one, or one of several sibling sections or articles; all its lines that are not markup are the text, short ones too.
+in one, one of several sibling sections or articles, or a mere part of an article; all its lines that are not markup are the text, short ones too.
 
 Class and id names only hint. A name counts if it consists of words for boilerplate ("sidebar", "related-posts") and of neutral ones
 beside them, so "has-sidebar" and "related-work" do not. A hinted element is markup unless it holds the articles of the page, or half of
-the page's text where no article lies elsewhere: there the clusters decide. Comments are markup wherever there is other text, forms
-unless they hold the article. A page that would have no text is read again without hints.
+the page's text where no other article lies elsewhere: there the clusters decide. Comments are markup wherever there is other text, forms
+unless they hold the article. A page that would have no text is read again without hints, and then with containers whose end tag is
+missing (navigation, headers, footers, asides, menus) as plain blocks; in any reading such a one ends where an article begins.
 
 Scale: one narrow pass over whole pages, no shuffle; memory is bounded by one page and its lines.
 
@@ -37,7 +38,9 @@ BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-MARKUP = frozenset("nav footer aside button select script style noscript template svg iframe object dialog menu head title".split())
+MARKUP = frozenset("nav footer aside button select textarea label datalist script style noscript template svg iframe object dialog menu head title".split())
+#: Containers that may lack their end tag; one that does ends where an article or the main part begins.
+CONTAINERS = frozenset("nav header footer aside menu".split())
 #: Elements that an open element of the same kind ends before it begins; a paragraph ends before any block.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = frozenset("ul ol dl table article main section div body nav aside header footer form".split())
@@ -75,9 +78,12 @@ def hint(names: str) -> str | None:
 class Lines(HTMLParser):
     """Collects lines (text, tags, markup, path); a path is the numbers of the open block elements."""
 
-    def __init__(self, hints: bool = True):
+    def __init__(self, hints: bool = True, lacking: frozenset[int] = frozenset(), soft: bool = False):
         super().__init__(convert_charrefs=True)
-        self.hints = hints
+        self.hints, self.lacking, self.soft = hints, lacking, soft
+        self.containers = 0  # begun so far; each has the number of its start tag
+        self.begun: list[tuple[int, int]] = []  # container, element
+        self.ended: set[int] = set()  # elements that their own end tag ended
         self.open: list[tuple[str, bool, int]] = []  # tag, whether markup from here on, number
         self.held: Counter = Counter()  # open elements by tag
         self.lines: list[tuple[str, int, bool, tuple[int, ...]]] = []
@@ -117,11 +123,25 @@ class Lines(HTMLParser):
 
     def _push(self, tag: str, markup: bool):
         self.made += 1
+        if tag in CONTAINERS:
+            self.begun.append((self.containers, self.made))
+            markup = markup and not (self.soft and self.containers in self.lacking and not (self.open and self.open[-1][1]))
         self.names[self.made] = tag
         self.held[tag] += 1
         self.open.append((tag, markup, self.made))
 
+    def without_end(self) -> frozenset[int]:
+        """The containers that no end tag of their own has ended."""
+        return frozenset(n for n, e in self.begun if e not in self.ended)
+
     def handle_starttag(self, tag: str, attrs: list):
+        self.containers += tag in CONTAINERS
+        if tag in ("article", "main") and self.open and self.open[-1][1]:
+            place = {e: n for n, e in self.begun}
+            at = next(k for k, (_, markup, _) in enumerate(self.open) if markup)
+            if place.get(self.open[at][2]) in self.lacking:
+                self._end_line()
+                self._cut(at)
         inside = bool(self.open) and self.open[-1][1]
         if inside:  # every element counts, so that the markup ends with its own end tag
             self.tags += 1
@@ -155,6 +175,7 @@ class Lines(HTMLParser):
         blocks = any(t in BLOCKS for t, _, _ in self.open[k:])
         if blocks and (k == 0 or not self.open[k - 1][1]):
             self._end_line()
+        self.ended.add(self.open[k][2])
         self._cut(k)
 
     def handle_data(self, data: str):
@@ -168,19 +189,22 @@ def marked(parser: Lines) -> list[bool]:
     if not hinted:
         return [markup for _, _, markup, _ in lines]
     total = articles = 0
-    size, in_article, holds, within = Counter(), Counter(), set(), set()
+    size, in_article, holds = Counter(), Counter(), set()
+    of_article, around, own = Counter(), {}, Counter()  # text by its innermost article; the article around a hinted element, and text of that in it
     for text, _, markup, path in lines:
         if not text or markup:
             continue
         n, last = len(text), max((i for i, e in enumerate(path) if parser.names[e] in ("article", "main")), default=-1)
-        first = next((i for i, e in enumerate(path) if parser.names[e] in ("article", "main")), len(path))
         total, articles = total + n, articles + n * (last >= 0)
         for i, e in enumerate(path):
             if e in hinted:
                 size[e] += n
                 in_article[e] += n * (last >= 0)
                 holds.update([e] if last > i else [])
-                within.update([e] if first < i else [])
+                around[e] = next((a for a in reversed(path[:i]) if parser.names[a] in ("article", "main")), None)
+                own[e] += n * (last >= 0 and path[last] == around[e])
+        if last >= 0:
+            of_article[path[last]] += n
 
     def is_markup(e: int) -> bool:
         kind, elsewhere = hinted[e], articles - in_article[e]
@@ -188,7 +212,8 @@ def marked(parser: Lines) -> list[bool]:
             return total > size[e]
         if e in holds and not elsewhere:
             return False
-        return kind == "form" or 2 * size[e] < total or (4 * elsewhere >= size[e] if e in within else elsewhere > 0)
+        apart = elsewhere - (of_article[around[e]] - own[e] if around[e] else 0)  # what the article around it says besides is not elsewhere
+        return kind == "form" or 2 * size[e] < total or (4 * apart >= size[e] if around[e] else apart > 0)
 
     drop = {e for e in hinted if is_markup(e)}
     return [markup or not drop.isdisjoint(path) for _, _, markup, path in lines]
@@ -217,7 +242,7 @@ def threshold(values: np.ndarray) -> float:
 
 
 def content_region(lines: list, markup: list[bool], content: np.ndarray, names: dict[int, str]) -> int | None:
-    """The innermost element that holds all clustered content, not (in) a list or table nor one of sibling sections or articles."""
+    """The innermost element that holds all clustered content, not (in) a list or table, one of sibling sections or articles, or a part of an article."""
     common = lines[content[0]][3]
     for k in content[1:]:
         path = lines[k][3]
@@ -231,24 +256,36 @@ def content_region(lines: list, markup: list[bool], content: np.ndarray, names:
             text and not out and len(path) > i and path[i] != n and names[path[i]] == names[n] and path[:i] == common[:i] for (text, _, _, path), out in zip(lines, markup, strict=True)
         ):
             break
-        if names[n] in REGIONS:
+        if names[n] in REGIONS and (region is None or names[region] != "article" or names[n] == "article"):
             region = n
     return region
 
 
-def main_text(html: str | None, sigma: float = 1.0, piece: int = 1 << 16, hints: bool = True) -> str:
-    """The blocks of the main content, joined by line feeds."""
-    if not html:
-        return ""
-    parser = Lines(hints)
+def _read(html: str, piece: int, hints: bool, lacking: frozenset[int] = frozenset(), soft: bool = False) -> Lines:
+    parser = Lines(hints, lacking, soft)
     for k in range(0, len(html), piece):
         parser.feed(html[k : k + piece])
     parser.close()
     parser._end_line()
+    return parser
+
+
+def main_text(html: str | None, sigma: float = 1.0, piece: int = 1 << 16) -> str:
+    """The blocks of the main content, joined by line feeds."""
+    if not html:
+        return ""
+    first = _read(html, piece, True)
+    lacking = first.without_end()
+    if lacking:
+        first = _read(html, piece, True, lacking)
+    return _content(first, sigma) or _content(_read(html, piece, False, lacking), sigma) or (_content(_read(html, piece, False, lacking, True), sigma) if lacking else "")
+
+
+def _content(parser: Lines, sigma: float) -> str:
     lines, markup = parser.lines, marked(parser)
     ratios = np.array([0.0 if out else len(text) / max(tags, 1) for (text, tags, _, _), out in zip(lines, markup, strict=True)])
     if not len(ratios) or not ratios.any():
-        return main_text(html, sigma, piece, False) if hints else ""
+        return ""
     smooth = smoothed(ratios, sigma)
     content = (smooth >= threshold(smooth)) & (ratios > 0)
     if not content.any():

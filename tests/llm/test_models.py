@@ -1,5 +1,6 @@
 import random
 import zlib
+from decimal import Decimal
 
 import numpy as np
 import pytest
@@ -190,6 +191,22 @@ def test_html_hints_and_inline_markup():
     assert text("<span class=ad>all</span>") == "all"
 
 
+def test_html_unclosed_containers_and_large_hinted_sections():
+    long = [f"Sentence {k} of the text, which goes on for quite a while to be dense." for k in range(8)]
+    text, body = html_text.main_text, "".join(f"<p>{x}</p>" for x in long)
+    for tag in ("nav", "aside", "footer", "menu", "header"):
+        assert text(f"<body><{tag}><a>Home</a><article>{body}</article></body>").split("\n") == long
+        assert text(f"<body><{tag}><a>Home</a><{tag}><main>{body}</main></body>").split("\n") == long
+        assert text(f"<body><{tag}><div><p>{long[0]}</p></div></body>") == long[0]  # otherwise the page would be empty
+        assert text(f"<body><{tag}>Home</{tag}></body>") == ""
+    assert text(f"<aside><article>{long[0]}</article></aside><article>{body}</article>").split("\n") == long
+    for name in ("share", "related", "social", "side", "promotion"):
+        assert text(f'<article><p>{long[0]}</p><section class="{name}">{body}</section></article>').split("\n") == [long[0], *long]
+        assert text(f'<main><article>{body}</article><div class="{name}">{body * 2}</div></main>').split("\n") == long
+        assert text(f'<article>{body}<div class="{name}"><p>{long[0]}</p></div></article>').split("\n") == long
+    assert text(f"<p>{long[0]}</p><textarea>hidden</textarea><label>pick <select><option>a</select></label><p>{long[1]}</p>").split("\n") == long[:2]
+
+
 def test_html_frames(spark):
     rows = [(1, "u", "<p>a", "x"), (1, "u", "<p>a", "x"), (None, None, None, None), (2, "v", "", "y")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
@@ -225,6 +242,14 @@ def test_html_query(spark):
         assert r.text == "\n".join(b for b in blocks if b) and r.n_chars == len(r.text)
 
 
+def test_neighbours_of_doubles_are_told_apart(spark):
+    rows = [(k, [1 + k * 1e-9, 0.5]) for k in range(60)]
+    for kind, v in (("double", rows), ("decimal(20,12)", [(k, [Decimal(str(round(x, 12))) for x in e]) for k, e in rows])):
+        got = nearest.neighbours(spark.createDataFrame(v, f"vec_id long, embedding array<{kind}>"), F.col("vec_id") == 0, k=3).collect()
+        assert [r.vec_id for r in sorted(got, key=lambda r: r["rank"])] == [59, 58, 57]
+        assert all(r.score == rows[0][1][0] * rows[r.vec_id][1][0] + 0.25 for r in got)
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(2)
     v = rng.normal(size=(3000, 16)).astype("float32")
