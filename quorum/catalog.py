@@ -6,7 +6,7 @@ import importlib
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("build", "merge", "select", "calibrate", "evaluate", "check", "stateful", "targets", "reports", "written", "recalibrate")
+MODULES = ("build", "merge", "select", "calibrate", "evaluate", "check", "stateful", "targets", "reports", "written", "recalibrate", "selection")
 
 
 def _modules():

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from ..checkpoints import checkpointed
 from ..functions import hashing
+from ..names import fresh
+from . import order_statistics
 from .ordinal import numbered
 
 
@@ -44,31 +46,36 @@ def merge_reasons(frame: DataFrame, key: list[str], order: list[Column], invalid
     so no long key is shuffled; the first kept row of each is an aggregation that combines before its shuffle, checkpointed so that AQE
     splits a hot key when it is joined back.
     """
-    marked = frame.withColumns({"__key": F.sha2(F.to_json(F.struct(*key)), 256), "__at": F.struct(*order), "__invalid": invalid, "__held": F.coalesce(held_out, F.lit(False))})
-    kept = marked.where(F.col("__invalid").isNull() & ~F.col("__held")).groupBy("__key").agg(F.min("__at").alias("__first"))
-    joined = marked.join(checkpointed(kept), "__key", "left")
-    reason = F.when(F.col("__invalid").isNotNull(), F.col("__invalid")).when(F.col("__at") > F.col("__first"), "duplicate").when(F.col("__held"), "held-out")
-    return joined.withColumn("reason", reason).drop("__key", "__at", "__invalid", "__held", "__first")
+    k, at, bad, held, first = fresh([*frame.columns, "reason"], "key", "at", "bad", "held", "first")
+    marked = frame.withColumns({k: F.sha2(F.to_json(F.struct(*key)), 256), at: F.struct(*order), bad: invalid, held: F.coalesce(held_out, F.lit(False))})
+    kept = marked.where(F.col(bad).isNull() & ~F.col(held)).groupBy(k).agg(F.min(at).alias(first))
+    joined = marked.join(checkpointed(kept), k, "left")
+    reason = F.when(F.col(bad).isNotNull(), F.col(bad)).when(F.col(at) > F.col(first), "duplicate").when(F.col(held), "held-out")
+    return joined.withColumn("reason", reason).drop(k, at, bad, held, first)
 
 
 def with_verdicts(rows: DataFrame, verdicts: DataFrame, keys: list[str], flag: str) -> DataFrame:
-    """Left join to three-valued verdicts: false drops, true tags, missing keeps without a tag."""
+    """Left join to three-valued verdicts: false drops, true tags, missing keeps without a tag.
+
+    Of repeated verdicts on a key one counts: no before yes, and either before none, so that no row multiplies.
+    """
+    verdicts = verdicts.groupBy(*keys).agg(F.min(flag).alias(flag))
     return rows.join(verdicts, keys, "left").where(F.coalesce(flag, F.lit(True)))
 
 
 def bottom_k(frame: DataFrame, group: str, k: Column | int, *key: Column | str) -> DataFrame:
-    """The k rows of each group with the smallest hashes; a row's fate depends on its own hash and few others."""
+    """The k rows of each group with the smallest hashes, numbered as ``rk``; a row's fate depends on its own hash and few others."""
     limit = k if isinstance(k, Column) else F.lit(k)
-    return frame.withColumn("rk", F.row_number().over(Window.partitionBy(group).orderBy(hashing.order_key(*key)))).where(F.col("rk") <= limit)
+    return order_statistics.bottom_k(frame, [group], hashing.order_key(*key), limit, rank="rk")
 
 
 def stratified(frame: DataFrame, strata: list[str], n: int, *key: Column | str) -> DataFrame:
-    """A proportional sample with at least one row of each stratum, cut to n in hash order."""
-    by = Window.partitionBy(*strata)
-    sized = frame.withColumn("__own", F.count(F.lit(1)).over(by)).crossJoin(F.broadcast(frame.agg(F.count(F.lit(1)).alias("__all"))))
-    ranked = sized.withColumn("__h", hashing.order_key(*key)).withColumn("__rk", F.row_number().over(by.orderBy("__h")))
-    chosen = ranked.where(F.col("__rk") <= F.greatest(F.lit(1), F.bround(n * F.col("__own") / F.col("__all"), 0)))
-    return chosen.orderBy("__h").limit(n).drop("__own", "__all", "__rk", "__h")
+    """A proportional sample with at least one row of each stratum, cut to n in hash order (O9). Strata are counted, not gathered."""
+    own, every, quota, h = fresh(frame.columns, "own", "every", "quota", "h")
+    sizes = frame.groupBy(*strata).agg(F.count(F.lit(1)).alias(own))
+    shares = sizes.crossJoin(F.broadcast(sizes.agg(F.sum(own).alias(every)))).select(*strata, F.greatest(F.lit(1), F.bround(n * F.col(own) / F.col(every), 0)).cast("long").alias(quota))
+    chosen = order_statistics.bottom_k(order_statistics.with_group(frame, shares, strata), strata, hashing.order_key(*key), F.col(quota))
+    return chosen.withColumn(h, hashing.order_key(*key)).orderBy(h).limit(n).drop(h, quota)
 
 
 def prefix_until(frame: DataFrame, order: list[Column], value: Column, total: Column, count: Column, goal: float) -> DataFrame:
@@ -76,11 +83,13 @@ def prefix_until(frame: DataFrame, order: list[Column], value: Column, total: Co
 
     ``total`` and ``count`` are those before any drop. Running sums come from ranges of the order and the sums of those before.
     """
-    names = [f"__o{k}" for k in range(len(order))]
+    dropped, mean, stop, *names = fresh(frame.columns, "dropped", "mean_after", "stop", *(f"o{k}" for k in range(len(order))))
     keyed = frame.withColumns(dict(zip(names, order, strict=True)))
-    run = numbered(keyed, names, "rn", value, "__dropped").withColumn("mean_after", (total - F.col("__dropped")) / (count - F.col("rn")))
-    stop = run.agg(F.min(F.when(F.col("mean_after") <= goal, F.col("rn"))).alias("stop"))
-    return run.crossJoin(F.broadcast(stop)).where(F.col("stop").isNull() | (F.col("rn") <= F.col("stop"))).drop("stop", "__dropped", *names)
+    left = F.try_divide(total - F.col(dropped), (count - F.col("rn")).cast("double"))  # nothing may be left
+    run = numbered(keyed, names, "rn", value, dropped).withColumn(mean, left)
+    first = run.agg(F.min(F.when(F.col(mean) <= goal, F.col("rn"))).alias(stop))
+    out = run.crossJoin(F.broadcast(first)).where(F.col(stop).isNull() | (F.col("rn") <= F.col(stop))).drop(stop, dropped, *names)
+    return out.withColumnRenamed(mean, "mean_after")
 
 
 def resume(work: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order_statistics import ranked_value
+
 BINS = 15
 
 
@@ -26,13 +28,6 @@ def auroc(frame: DataFrame, score: Column, positive: Column, *by: str) -> DataFr
     return counts.withColumn("below", below).groupBy(*by).agg((u / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0))).alias("auroc"), F.sum("pos").alias("positives"))
 
 
-def ranked_value(frame: DataFrame, value: str, share: float, *by: str) -> DataFrame:
-    """The value at index int(share * n) of the sorted values (W7); one above what percentile_disc gives."""
-    w = Window.partitionBy(*by)
-    ranked = frame.withColumn("__rn", F.row_number().over(w.orderBy(value))).withColumn("__n", F.count(F.lit(1)).over(w))
-    return ranked.where(F.col("__rn") == F.floor(F.col("__n") * share) + 1).select(*by, value)
-
-
 def in_groups(frame: DataFrame, groups: Column) -> DataFrame:
     """One row for each group that a row belongs to."""
     return frame.withColumn("grp", F.explode(F.filter(groups, lambda g: g.isNotNull())))
@@ -43,3 +38,6 @@ def grid_fit(frame: DataFrame, grid: DataFrame, loss: Column, by: list[str], key
     mean = frame.crossJoin(F.broadcast(grid)).groupBy(*by, "idx", *keys).agg(F.avg(loss).alias("loss"))
     best = F.min(F.struct(F.round("loss", 9).alias("loss"), "idx", *keys)).alias("best")
     return mean.groupBy(*by).agg(best).select(*by, *(F.col(f"best.{k}").alias(k) for k in keys), F.col("best.loss").alias("loss"))
+
+
+__all__ = ["BINS", "auroc", "ece", "grid_fit", "in_groups", "ranked_value"]

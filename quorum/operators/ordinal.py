@@ -6,25 +6,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..checkpoints import checkpointed
+from ..names import fresh
 
 
 def numbered(frame: DataFrame, order: list[str], name: str = "rn", total: Column | None = None, running: str = "running") -> DataFrame:
     """Add ``name``, from 1 in the order of the columns (which must tell all rows apart), and the running sum of ``total`` if given.
 
     Rows are dealt out by ranges of the order and checkpointed, so that the ranges are drawn once; rows are numbered inside
-    their range, and the counts of the ranges before (one row for each partition, broadcast) are added.
+    their range, and the counts of the ranges before (one row for each partition, broadcast) are added. Helper columns take free names;
+    ``name`` and, with a total, ``running`` replace columns of these names.
     """
-    dealt = checkpointed(frame.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()))
-    own = Window.partitionBy("__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    value = total if total is not None else F.lit(0)
-    sums = dealt.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"), F.sum(value).alias("__s"))
-    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select("__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__first"), F.coalesce(F.sum("__s").over(before), F.lit(0)).alias("__sum"))
-    out = dealt.withColumn(name, F.count(F.lit(1)).over(own))
-    out = out.withColumn(running, F.sum(value).over(own)) if total is not None else out
-    out = out.join(F.broadcast(starts), "__range").withColumn(name, F.col(name) + F.col("__first"))
-    out = out.withColumn(running, F.col(running) + F.col("__sum")) if total is not None else out
-    return out.drop("__range", "__first", "__sum")
+    part, n, s, first, start, value = fresh([*frame.columns, name, running], "range", "n", "s", "first", "start", "value")
+    weighed = frame.withColumn(value, total) if total is not None else frame.withColumn(value, F.lit(0))
+    dealt = checkpointed(weighed.repartitionByRange(*order).withColumn(part, F.spark_partition_id()))
+    own = Window.partitionBy(part).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = dealt.groupBy(part).agg(F.count(F.lit(1)).alias(n), F.sum(value).alias(s))
+    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select(part, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(first), F.coalesce(F.sum(s).over(before), F.lit(0)).alias(start))
+    made = {name: F.count(F.lit(1)).over(own) + F.col(first)} | ({running: F.sum(value).over(own) + F.col(start)} if total is not None else {})
+    return dealt.join(F.broadcast(starts), part).withColumns(made).drop(part, first, start, value)
 
 
 def micro_batches(frame: DataFrame, order: list[str], size: int) -> DataFrame:

@@ -75,7 +75,7 @@ def forced_test_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def manifest_join_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many rows and sources have a manifest entry, and how many lack one."""
-    known = table(spark, sf_dir, "labels").select("doc_id", F.lit(True).alias("known"))
+    known = table(spark, sf_dir, "labels").select("doc_id").distinct().withColumn("known", F.lit(True))  # a repeated entry counts once
     rows = table(spark, sf_dir, "documents").select("doc_id", "source").join(known, "doc_id", "left")
     return rows.groupBy(F.coalesce("known", F.lit(False)).alias("matched")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("source").alias("sources"))
 

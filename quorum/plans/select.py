@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dist, hashing, rules, text
 from ..operators import balance, builders, integrate
+from ..operators.order_statistics import grouped_running
 from ..operators.ordinal import numbered
 from . import build
 from .common import h32, split_of, table, uniform
@@ -83,8 +84,8 @@ def weighted_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 def epoch_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each epoch's own order of the suppliers."""
     rows = table(spark, sf_dir, "supplier").select("s_suppkey").crossJoin(spark.range(3).withColumnRenamed("id", "epoch"))
-    by = Window.partitionBy("epoch").orderBy(hashing.order_key(F.lit("perm"), F.col("epoch").cast("string"), F.col("s_suppkey").cast("string")))
-    return rows.select("epoch", "s_suppkey", (F.row_number().over(by) - 1).alias("step"))
+    keyed = rows.withColumn("h", hashing.order_key(F.lit("perm"), F.col("epoch").cast("string"), F.col("s_suppkey").cast("string")))
+    return grouped_running(keyed, ["epoch"], ["h", "s_suppkey"], F.lit(1), "step").select("epoch", "s_suppkey", "step")
 
 
 def shard_stride(spark: SparkSession, sf_dir: str) -> DataFrame:
