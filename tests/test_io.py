@@ -88,18 +88,62 @@ def test_seams(spark):
 
 
 def test_streaming_limiter_equals_the_batch_one(spark, tmp_path):
+    """Requests come out of order, the stream stalls and is started again from its checkpoint; a last request moves the watermark on."""
+    import random
+
     from quorum.operators.stateful import rate_limit
 
-    rows = pd.DataFrame({"user": [k % 4 for k in range(120)], "t": [float(k) for k in range(120)], "event_id": range(120)})
-    batch = {r.event_id: r.accepted for r in rate_limit(spark.createDataFrame(rows), "user", "t", "event_id", 2, 30.0).collect()}
-    for part in range(3):
-        spark.createDataFrame(rows[part * 40 : part * 40 + 40]).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")  # a pending timeout would start batches for ever
-    stream = spark.readStream.schema("user long, t double, event_id long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    query = limiter.stream_rate_limit(stream, "user", 2, 30.0).writeStream.format("memory").queryName("limited").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    assert query.awaitTermination(90)
-    got = {r.event_id: r.accepted for r in spark.sql("select * from limited").collect()}
-    assert got == batch
+    rng = random.Random(8)
+    rows = [(k % 4, 100 + k + 0.25 * (k % 3), k) for k in range(120)]  # no request is as old as the first watermark, 1970
+    come = sorted(rows, key=lambda r: r[1] + rng.uniform(0, 15))  # up to fifteen seconds late
+    schema = "user long, t double, event_id long"
+    batch = {r.event_id: r.accepted for r in rate_limit(spark.createDataFrame(rows, schema), "user", "t", "event_id", 2, 30.0).collect()}
+    source, got = str(tmp_path / "in"), {}
+
+    def run(name, parts):
+        for part in parts:
+            spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+        limited = limiter.stream_rate_limit(stream, "user", 2, 30.0, late="20 seconds")
+        query = limited.writeStream.foreachBatch(lambda rows, _: got.update({(r.event_id, name): r.accepted for r in rows.collect()})).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        assert query.awaitTermination(120)
+
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "true")
+    run("first", [come[:30], come[30:60]])
+    run("second", [come[60:]])  # long after in processing time, as far as the state can tell
+    run("third", [[(0, 1000.0, 999)], [(1, 2000.0, 1000)]])
+    said = {}
+    for (event, _), accepted in got.items():
+        assert event not in said  # none is decided twice
+        said[event] = accepted
+    assert {k: v for k, v in said.items() if k < 999} == batch
+
+
+def test_label_loop_writes_a_replayed_batch_once(spark, tmp_path):
+    from quorum.streaming import labels
+
+    source, out, cp = (str(tmp_path / x) for x in ("in", "out", "cp"))
+    for k in range(3):
+        spark.range(10 * k, 10 * k + 10).coalesce(1).write.mode("append").parquet(source)
+    stream = lambda: spark.readStream.schema("id long").option("maxFilesPerTrigger", 1).parquet(source)
+    mark = lambda rows: rows.withColumn("label", F.col("id") * 2)
+    calls = []
+
+    def killed(batch_id):
+        calls.append(batch_id)
+        if batch_id == 1 and calls.count(1) == 1:
+            raise RuntimeError("killed between write and commit")
+
+    with pytest.raises(Exception, match="killed"):
+        labels.label_loop(stream(), mark, out, cp, after=killed).awaitTermination(90)
+    assert labels.labelled(spark, out).count() == 20  # the batch is whole, though the engine doesn't know yet
+    labels.label_loop(stream(), mark, out, cp, after=killed).awaitTermination(90)
+    rows = labels.labelled(spark, out).collect()
+    assert sorted(r.id for r in rows) == list(range(30)) and all(r.label == 2 * r.id for r in rows) and calls == [0, 1, 1, 2]
+    spark.range(5).write.parquet(f"{out}/batch=7")
+    (tmp_path / "out" / "batch=7" / "_SUCCESS").unlink()
+    assert labels.labelled(spark, out).count() == 30  # what was never finished doesn't count
+    assert labels.labelled(spark, str(tmp_path / "none")) is None
 
 
 def test_streaming_windows(spark, tmp_path):
