@@ -10,7 +10,10 @@ PNG = "89504E470D0A1A0A"
 
 
 def file_listing(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """image_id (the name without suffix), path, length of all files below a folder. Only the listing is read, no contents."""
+    """image_id (the name without suffix), path, length of all files below a folder. Only the listing is read, no contents.
+
+    The engine lists no empty files, so these count as missing.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(folder)
     return files.select(F.regexp_extract("path", r"([^/]+?)(\.[^/.]*)?$", 1).alias("image_id"), "path", "length")
 
@@ -34,7 +37,7 @@ def _number(header: Column, at: int) -> Column:
 
 
 def png_sizes(spark: SparkSession, folder: str) -> DataFrame:
-    """path, width, height of PNG files by their headers; null for files that are none or are cut short."""
+    """path, width, height of PNG files by their headers; null for files that are none or are cut short (empty ones are not listed)."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
     header = F.hex(F.substring("content", 1, 24))
     whole = (F.length(header) == 48) & header.startswith(PNG)
