@@ -4,11 +4,11 @@ A shard of texts becomes one row of word ids for each language, with an id of it
 word, then of two, then of four) sorts its suffixes as far as a phrase reaches; runs of neighbours with a common prefix of m words
 are the intervals of the phrases of m words, and their lengths are the counts. Spark sums them by phrase.
 
-Phrases of fewer than ``least`` occurrences matter to nobody, and a phrase of that many consists of words and pairs of that many.
-So a first pass counts words and pairs by hashes of 40 bits (eight thousand times the cells of the bit map, which could not hold
-more), and those that reach ``least`` are marked in a bit map. The second pass
-counts phrases themselves, but only those whose words and pairs are all marked. Collisions mark too much and never too little:
-counts are by the phrase, and exact.
+Phrases of fewer than ``least`` occurrences matter to nobody, and a phrase of that many consists of words and shorter phrases of that
+many. So a first pass counts words and pairs by hashes of 40 bits (eight thousand times the cells of the bit map, which could not hold
+more), and those that reach ``least`` are marked in a bit map. A second does the same with phrases of three and four words whose words
+and pairs are all marked. The last pass counts phrases themselves, those that are marked with all their parts. Collisions mark too
+much and never too little: counts are by the phrase, and exact.
 
 Scale: the bit map has ``1 << bits`` bits whatever the input (16 MB); where it fills up, more phrases are shuffled, and the result is the
 same. A shard has a bounded number of words; a language of any share of the rows is many shards. Shuffled are a shard's
@@ -99,15 +99,31 @@ def intervals(sa: np.ndarray, lcp: np.ndarray, room: np.ndarray, m: int) -> tupl
     return sa[starts][keep], counts[keep]
 
 
-def hashes(shard: Shard, lang: str, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the word at each place and of it with the next."""
+def hashes(shard: Shard, lang: str, ids: np.ndarray) -> list[np.ndarray]:
+    """64-bit hashes of the phrases of one word, two and so on that begin at each place."""
     import xxhash
 
     seed = xxhash.xxh3_64_intdigest(lang.encode())
-    word = np.array([xxhash.xxh3_64_intdigest(w, seed) for w in shard.number], np.uint64)[ids[:-LONGEST]]
-    following = np.append(word[1:], np.uint64(0))
-    pair = (word * np.uint64(0x9E3779B97F4A7C15) ^ (following >> np.uint64(29))) + following * np.uint64(0xC2B2AE3D27D4EB4F)
-    return word, pair ^ (pair >> np.uint64(32))
+    word = np.array([xxhash.xxh3_64_intdigest(w, seed) for w in shard.number], np.uint64)[ids]
+    out = [word[:-LONGEST]]
+    for m in range(1, LONGEST):
+        following = word[m : m - LONGEST]
+        mixed = (out[-1] * np.uint64(0x9E3779B97F4A7C15) ^ (following >> np.uint64(29))) + following * np.uint64(0xC2B2AE3D27D4EB4F)
+        out.append(mixed ^ (mixed >> np.uint64(32)))
+    return out
+
+
+def rooms(ids: np.ndarray, hashed: list[np.ndarray], marks: np.ndarray | None, known: int, bits: int) -> np.ndarray:
+    """How long phrases at each place may get: inside their piece, and with all parts of up to ``known`` words marked."""
+    fine = ids > 0
+    room = np.zeros(len(ids), np.int64)
+    for m in range(1, LONGEST + 1):
+        if m > 1:
+            fine = fine & np.append(fine[1:], False)  # both phrases that are a word shorter
+        if m <= known:
+            fine[:-LONGEST] &= _marked(marks, hashed[m - 1], bits)
+        room += fine
+    return room
 
 
 def _shards(batches: Iterator[pa.RecordBatch], words: int, use: Callable[[str, Shard], Iterator[pa.RecordBatch]]) -> Iterator[pa.RecordBatch]:
@@ -124,17 +140,17 @@ def _shards(batches: Iterator[pa.RecordBatch], words: int, use: Callable[[str, S
         yield from use(key, shard)
 
 
-def _sieve(words: int):
-    """Hashes of words and pairs with their counts."""
+def _sieve(words: int, marks, known: int, bits: int):
+    """Hashes of the phrases of the next two lengths whose parts are marked, with their counts."""
 
     def use(lang: str, shard: Shard) -> Iterator[pa.RecordBatch]:
         ids = shard.ids()
-        one, two = hashes(shard, lang, ids)
-        sa, lcp = suffixes(ids, np.flatnonzero(ids), 2)
-        room = np.where(ids[1:] > 0, 2, 1)
-        for m, own in ((1, one), (2, two)):
+        hashed = hashes(shard, lang, ids)
+        room = rooms(ids, hashed, marks.value if marks else None, known, bits)
+        sa, lcp = suffixes(ids, np.flatnonzero(room > known), known + 2)
+        for m in (known + 1, known + 2):
             place, n = intervals(sa, lcp, room, m)
-            kept = own[place] & np.uint64((1 << SIEVE) - 1)
+            kept = hashed[m - 1][place] & np.uint64((1 << SIEVE) - 1)
             yield pa.RecordBatch.from_arrays([pa.array(kept.astype(np.int64)), pa.array(n, pa.int64())], names=["hash", "n"])
 
     return lambda batches: _shards(batches, words, use)
@@ -147,14 +163,8 @@ def _phrases(words: int, marks, bits: int):
     def use(lang: str, shard: Shard) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((lang, 0, None, shard.words), kinds, strict=True)], names=names)
         ids = shard.ids()
-        marked = [_marked(marks.value, h, bits) for h in hashes(shard, lang, ids)]
-        some = np.append(marked[0] & (ids[:-LONGEST] > 0), np.zeros(LONGEST, bool))
-        follows = some.copy()  # this word and the next are a marked pair
-        follows[:-LONGEST] &= marked[1] & some[1 : 1 - LONGEST]
-        room = some.astype(np.int64)
-        for t in range(LONGEST - 1):
-            room[: len(room) - t] += (room[: len(room) - t] == t + 1) & follows[t:]
-        sa, lcp = suffixes(ids, np.flatnonzero(some), LONGEST)
+        room = rooms(ids, hashes(shard, lang, ids), marks.value, LONGEST, bits)
+        sa, lcp = suffixes(ids, np.flatnonzero(room), LONGEST)
         spelled = pa.array(list(shard.number), pa.binary()).cast(pa.string())
         for m in range(1, LONGEST + 1):
             place, n = intervals(sa, lcp, room, m)
@@ -181,17 +191,20 @@ def bit_map(frequent: DataFrame, bits: int) -> np.ndarray:
     return marks
 
 
-def frequent_phrases(docs: DataFrame, least: int = 30, text_col: str = "text", lang_col: str = "lang", words: int = 1 << 21, bits: int = 27) -> tuple[DataFrame, DataFrame]:
+def frequent_phrases(docs: DataFrame, least: int = 30, text_col: str = "text", lang_col: str = "lang", words: int = 1 << 20, bits: int = 27) -> tuple[DataFrame, DataFrame]:
     """(lang, m, phrase, f) of all phrases of up to four words with ``least`` occurrences, staged; (lang, n) with all words."""
     rows = docs.select(F.coalesce(col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(col(text_col), F.lit("")).alias("text"))
-    hashed = rows.mapInArrow(_sieve(words), "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
-    marks = broadcast_bounded(docs.sparkSession, bit_map(hashed.where(F.col("n") >= least), bits), "the bit map", (1 << bits) // 8 + 4096)
+    found, marks = np.zeros(1 << (bits - 6), np.uint64), None
+    for known in range(0, LONGEST, 2):
+        hashed = rows.mapInArrow(_sieve(words, marks, known, bits), "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
+        found = found | bit_map(hashed.where(F.col("n") >= least), bits)
+        marks = broadcast_bounded(docs.sparkSession, found, "the bit map", (1 << bits) // 8 + 4096)
     counted = rows.mapInArrow(_phrases(words, marks, bits), "lang string, m int, phrase string, n long").groupBy("lang", "m", "phrase").agg(F.sum("n").alias("f"))
     table = staged(counted.where((F.col("f") >= least) | (F.col("m") == 0)), "phrases")
     return table.where("m > 0"), table.where("m = 0").select("lang", F.col("f").alias("n"))
 
 
-def collocations(docs: DataFrame, least: int = 30, top: int = 2000, covered: int = 80, text_col: str = "text", lang_col: str = "lang", words: int = 1 << 21, bits: int = 27, parts: int = 64) -> DataFrame:
+def collocations(docs: DataFrame, least: int = 30, top: int = 2000, covered: int = 80, text_col: str = "text", lang_col: str = "lang", words: int = 1 << 20, bits: int = 27, parts: int = 64) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: the first ``top`` phrases of each language.
 
     A phrase that a longer one contains goes if the longer one has ``covered`` per cent of its occurrences or more.
@@ -201,20 +214,19 @@ def collocations(docs: DataFrame, least: int = 30, top: int = 2000, covered: int
     wide = lambda c, d: c.cast(f"decimal({d},0)")
     many = table.where("m > 1").select("lang", "phrase", "m", F.col("f").alias("a"), split("phrase").alias("of"))
 
-    k = F.explode(F.sequence(F.lit(1), F.col("m") - 1)).alias("k")
-    cuts = many.select("lang", "phrase", "a", "of", "m", k)
-    cuts = cuts.select("lang", "phrase", "a", "k", F.array_join(F.slice("of", F.lit(1), F.col("k")), " ").alias("first"), F.array_join(F.slice("of", F.col("k") + 1, F.col("m") - F.col("k")), " ").alias("rest"))
-    side = lambda key, value: table.select("lang", F.col("phrase").alias(key), F.col("f").alias(value))
-    joined = cuts.join(side("first", "l"), ["lang", "first"]).join(side("rest", "r"), ["lang", "rest"])
-    score = F.call_function("div", wide(F.lit(2_000_000), 7) * wide(F.col("a"), 20), wide(F.col("l"), 19) + wide(F.col("r"), 19)).cast("long")
-    lowest = joined.groupBy("lang", "phrase").agg(F.first("a").alias("a"), F.min(F.struct(score.alias("score"), "k", "l", "r")).alias("cut"))
-
     inner = F.explode(F.flatten(F.transform(F.sequence(F.lit(2), F.col("m") - 1), lambda size: F.transform(F.sequence(F.lit(1), F.col("m") - size + 1), lambda at: F.array_join(F.slice("of", at, size), " ")))))
     longer = many.where("m > 2").select("lang", inner.alias("phrase"), "a").groupBy("lang", "phrase").agg(F.max("a").alias("longer"))
-    own = lowest.join(longer, ["lang", "phrase"], "left").where(F.col("longer").isNull() | (100 * F.col("longer") < covered * F.col("a")))
+    own = many.join(longer, ["lang", "phrase"], "left").where(F.col("longer").isNull() | (100 * F.col("longer") < covered * F.col("a")))
+
+    cuts = own.select("lang", "phrase", "a", F.explode(F.sequence(F.lit(1), F.col("m") - 1)).alias("k"), "of").select("lang", "phrase", "a", "k", F.array_join(F.slice("of", F.lit(1), F.col("k")), " ").alias("first"))
+    side = lambda key, value: table.select("lang", F.col("phrase").alias(key), F.col("f").alias(value))
+    rest = F.expr("substring(phrase, length(first) + 2)")
+    joined = cuts.join(side("first", "l"), ["lang", "first"]).select("lang", "phrase", "a", "k", "l", rest.alias("rest")).join(side("rest", "r"), ["lang", "rest"])
+    score = F.call_function("div", wide(F.lit(2_000_000), 7) * wide(F.col("a"), 20), wide(F.col("l"), 19) + wide(F.col("r"), 19)).cast("long")
+    scored = joined.groupBy("lang", "phrase").agg(F.first("a").alias("a"), F.min(F.struct(score.alias("score"), "k", "l", "r")).alias("cut"))
     # Spark cuts ranks in each task only up to its threshold of 1000, so a first ranking in parts of a language bounds what one task gets
     best = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), F.desc("a"), "phrase"))
-    flat = own.select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score").withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(parts)))
+    flat = scored.select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score").withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(parts)))
     ahead = flat.withColumn("rank", best("lang", "part")).where(F.col("rank") <= top).drop("rank", "part")
     ranked = ahead.withColumn("rank", best("lang")).where(F.col("rank") <= top)
     return ranked.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
