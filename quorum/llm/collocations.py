@@ -99,14 +99,14 @@ def intervals(sa: np.ndarray, lcp: np.ndarray, room: np.ndarray, m: int) -> tupl
     return sa[starts][keep], counts[keep]
 
 
-def hashes(shard: Shard, lang: str, ids: np.ndarray) -> list[np.ndarray]:
-    """64-bit hashes of the phrases of one word, two and so on that begin at each place."""
+def hashes(shard: Shard, lang: str, ids: np.ndarray, longest: int = LONGEST) -> list[np.ndarray]:
+    """64-bit hashes of the phrases of one word, two and so on to ``longest`` that begin at each place."""
     import xxhash
 
     seed = xxhash.xxh3_64_intdigest(lang.encode())
     word = np.array([xxhash.xxh3_64_intdigest(w, seed) for w in shard.number], np.uint64)[ids]
     out = [word[:-LONGEST]]
-    for m in range(1, LONGEST):
+    for m in range(1, longest):
         following = word[m : m - LONGEST]
         mixed = (out[-1] * np.uint64(0x9E3779B97F4A7C15) ^ (following >> np.uint64(29))) + following * np.uint64(0xC2B2AE3D27D4EB4F)
         out.append(mixed ^ (mixed >> np.uint64(32)))
@@ -145,7 +145,7 @@ def _sieve(words: int, marks, known: int, bits: int):
 
     def use(lang: str, shard: Shard) -> Iterator[pa.RecordBatch]:
         ids = shard.ids()
-        hashed = hashes(shard, lang, ids)
+        hashed = hashes(shard, lang, ids, known + 2)
         room = rooms(ids, hashed, marks.value if marks else None, known, bits)
         sa, lcp = suffixes(ids, np.flatnonzero(room > known), known + 2)
         for m in (known + 1, known + 2):
@@ -191,7 +191,7 @@ def bit_map(frequent: DataFrame, bits: int) -> np.ndarray:
     return marks
 
 
-def frequent_phrases(docs: DataFrame, least: int = 30, text_col: str = "text", lang_col: str = "lang", words: int = 1 << 20, bits: int = 27) -> tuple[DataFrame, DataFrame]:
+def frequent_phrases(docs: DataFrame, least: int = 30, text_col: str = "text", lang_col: str = "lang", words: int = 1 << 19, bits: int = 27) -> tuple[DataFrame, DataFrame]:
     """(lang, m, phrase, f) of all phrases of up to four words with ``least`` occurrences, staged; (lang, n) with all words."""
     rows = docs.select(F.coalesce(col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(col(text_col), F.lit("")).alias("text"))
     found, marks = np.zeros(1 << (bits - 6), np.uint64), None
@@ -204,7 +204,7 @@ def frequent_phrases(docs: DataFrame, least: int = 30, text_col: str = "text", l
     return table.where("m > 0"), table.where("m = 0").select("lang", F.col("f").alias("n"))
 
 
-def collocations(docs: DataFrame, least: int = 30, top: int = 2000, covered: int = 80, text_col: str = "text", lang_col: str = "lang", words: int = 1 << 20, bits: int = 27, parts: int = 64) -> DataFrame:
+def collocations(docs: DataFrame, least: int = 30, top: int = 2000, covered: int = 80, text_col: str = "text", lang_col: str = "lang", words: int = 1 << 19, bits: int = 27, parts: int = 64) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: the first ``top`` phrases of each language.
 
     A phrase that a longer one contains goes if the longer one has ``covered`` per cent of its occurrences or more.
