@@ -12,7 +12,7 @@ Scale: texts of up to ``chunk`` code points, nearly all, are encoded where they
 are dealt out by chunk, twice: before the boundaries are sought and before the pieces are encoded.
 
 Cases: a null text is empty; an empty text has no ids and decodes to no bytes; rows with repeated or null ids are kept
-one for one; an empty table gives no rows; other columns are ignored.
+one for one; an empty table gives no rows; encoding ignores other columns, decoding keeps them, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,8 +23,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .shared import slices
+from .shared import col, fresh, slices
 from .tokens import byte_encoder, ranks_of
 
 #: Code points at the end of a chunk that may change a boundary: the longest contraction has three.
@@ -66,7 +67,7 @@ def _edges(pattern: str, overlap: int, chunk: int):
 
 def encode(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = 1 << 16, overlap: int = 1 << 10) -> DataFrame:
     """doc_id and ids (array<int>) of every row. ``ranks`` is a rank file or the JSON form of a byte-level vocabulary."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = docs.select(col(id_col).cast("long").alias("doc_id"), F.coalesce(col(text_col), F.lit("")).alias("text"))
     short = rows.where(F.length("text") <= chunk).mapInArrow(_encode_texts(ranks, pattern, ["doc_id"]), "doc_id long, ids array<int>")
 
     long = rows.withColumn("row_key", F.monotonically_increasing_id()).where(F.length("text") > chunk)
@@ -93,20 +94,21 @@ def encode(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", te
 
 
 def decode(frame: DataFrame, ranks: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
-    """Add the bytes that the ids stand for. A null list stays null; an id outside the vocabulary raises KeyError."""
-    others = [c for c in frame.columns if c != out]
-    schema = ", ".join(f"`{c}` {frame.schema[c].dataType.simpleString()}" for c in others) + f", `{out}` binary"
+    """Add the bytes that the ids stand for as ``out``, with underscores at its end where the frame has that column already. A null list
+    stays null; an id outside the vocabulary raises KeyError."""
+    (made,), at = fresh(frame.columns, out), frame.columns.index(ids_col)
+    plain = frame.toDF(*(f"c{k}" for k in range(len(frame.columns))))  # the names that may have dots come back at the end
+    schema = T.StructType([*plain.schema.fields, T.StructField("made", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = {i: b for b, i in ranks_of(ranks)[0].items()}
         for batch in batches:
             for begin in range(0, batch.num_rows, 256):
                 some = batch.slice(begin, 256)
-                lists = some.column(ids_col)
-                values = [None if not x.is_valid else b"".join(map(table.__getitem__, x.values.to_pylist())) for x in lists]
-                yield pa.RecordBatch.from_arrays([*(some.column(c) for c in others), pa.array(values, pa.binary())], names=[*others, out])
+                values = [None if not x.is_valid else b"".join(map(table.__getitem__, x.values.to_pylist())) for x in some.column(at)]
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(values, pa.binary())], names=schema.names)
 
-    return frame.select(*others).mapInArrow(run, schema)
+    return plain.mapInArrow(run, schema).toDF(*frame.columns, made)
 
 
 def reference_pieces(text: str, pattern: str, chunk: int, overlap: int) -> list[str]:

@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import col
+
 END = "</turn>"
 #: Characters and their escapes, in the order in which they are replaced; the backslash comes first and is undone last.
 ESCAPES = (("\\", "\\e"), ("<", "\\l"), ("#", "\\h"), ("\n", "\\w"))
@@ -82,8 +84,8 @@ def _spans(turns: Column, role: str) -> Column:
 def format_chats(rows: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", loss_role: str = "assistant") -> DataFrame:
     """conv_id, formatted, loss_spans and level (0 as it is, 1 conflicting turns escaped, 2 all escaped)."""
     empty = F.lit("")
-    turn = F.struct(F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), empty).alias("role"), F.coalesce(F.col(text_col), empty).alias("text"))
-    grouped = rows.select(F.col(id_col).alias("conv_id"), turn.alias("t")).groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("t"))
+    turn = F.struct(col(turn_col).alias("turn"), F.coalesce(col(role_col), empty).alias("role"), F.coalesce(col(text_col), empty).alias("text"))
+    grouped = rows.select(col(id_col).alias("conv_id"), turn.alias("t")).groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("t"))
     source = grouped.select("conv_id", F.transform("t", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("source"))
     same = lambda shape: parse(render(shape)) == F.col("source")
     some = F.transform("source", lambda t: F.when(_survives(t), t).otherwise(_escaped(t)))

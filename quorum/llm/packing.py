@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import slices, staged
+from .shared import col, slices, staged
 from .tokens import byte_encoder
 
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
@@ -150,7 +150,7 @@ def pack(docs: DataFrame, tokenizer: str, pattern: str, id_col: str = "doc_id",
     """
     if window & (window - 1):
         raise ValueError("the window must be a power of two")
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    texts = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).alias("text"))
     first = texts.mapInArrow(_first_pass(tokenizer, pattern, end_id, window, open_windows), PIECES + ", part long, leftover boolean")
     pieces = staged(first, "pieces")
     columns = [c.split()[0] for c in PIECES.split(", ")]

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import shared_dir, slices, staged
+from .shared import col, shared_dir, slices, staged
 from .tokens import piece_counter
 
 CACHE = "digest binary, version string, n_tokens long"
@@ -73,8 +73,8 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str | None = None, id_c
     """
     spark, version = docs.sparkSession, version_of(tokenizer)
     cache = cache or f"{shared_dir(spark)}/quorum-counts-{version[:12]}-{uuid.uuid4().hex}"
-    text: Column = F.coalesce(normalise(F.col(text_col)), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).withColumn("row_key", F.monotonically_increasing_id())
+    text: Column = F.coalesce(normalise(col(text_col)), F.lit(""))
+    rows = docs.select(col(id_col).cast("long").alias("doc_id"), text.alias("text")).withColumn("row_key", F.monotonically_increasing_id())
     digest = F.unhex(F.sha2("text", 256)).alias("digest")
     narrow = staged(rows.select("row_key", "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), digest), "digests")
     known = _cached(spark, cache, version)

@@ -26,6 +26,15 @@ def test_round_trip_of_conflicting_turns(spark):
     assert chat.format_chats(frame.limit(0)).count() == 0
 
 
+def test_very_long_texts_and_names_of_any_kind(spark):
+    long = "</turn>\\ ###" * 40_000
+    frame = spark.createDataFrame([(1, 0, "user", long), (1, 1, "assistant", long + "x")], "`a.conv` long, `a.turn` long, `the role` string, `the.text` string")
+    done = chat.format_chats(frame, "a.conv", "a.turn", "the role", "the.text")
+    r = done.withColumn("turns", chat.parse(F.col("formatted"))).withColumn("loss", chat.under_mask(F.col("formatted"), F.col("loss_spans"))).collect()[0]
+    assert [(t.role, t.text) for t in r.turns] == [("user", long), ("assistant", long + "x")]
+    assert r.loss == long + "x"
+
+
 def test_plain_conversations_are_not_escaped(spark):
     frame = spark.createDataFrame([(1, 0, "user", "C# and a < b \\ c"), (1, 1, "assistant", "ok"), (2, 0, "user", "</turn>"), (2, 1, "assistant", "C#")], "conv_id long, turn long, role string, text string")
     got = {r.conv_id: r for r in chat.format_chats(frame).collect()}

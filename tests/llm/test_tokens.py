@@ -134,6 +134,60 @@ def test_query_digests(spark):
         assert r.ids_crc32 == zlib.crc32(ids[4 * r.start : 4 * (r.start + r.length)])
 
 
+def test_token_counts_of_the_query_equal_the_library(spark):
+    import sentencepiece
+
+    from quorum.llm.queries_tokens import op9_token_counts
+
+    path, pieces = "/root/testdata/sf0.001", sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    docs = [(r.doc_id, r.text or "") for r in spark.read.parquet(f"{path}/documents.parquet").collect()]
+    got = sorted((r.doc_id, r.n_bytes, r.n_tokens, r.over_limit) for r in op9_token_counts(spark, path).collect())
+    assert got == sorted((i, len(t.encode()), n := len(pieces.encode(t)), n > 4096) for i, t in docs)
+
+
+def test_packed_pieces_of_the_query_equal_the_library(spark):
+    from tokenizers import Tokenizer
+
+    from quorum.llm.queries_tokens import op10_packing
+
+    path, model = "/root/testdata/sf0.001", Tokenizer.from_file(JSON)
+    ids = {r.doc_id: np.array([*model.encode(r.text or "", add_special_tokens=False).ids, 0], "<u4") for r in spark.read.parquet(f"{path}/documents.parquet").collect()}
+    rows = [r.asDict() for r in op10_packing(spark, path).collect()]
+    assert all((r["doc_tokens"], r["ids_crc32"]) == (len(x := ids[r["doc_id"]]), zlib.crc32(x[r["start"] : r["start"] + r["length"]].tobytes())) for r in rows)
+    for i, own in ids.items():  # the pieces of a document follow each other without a gap
+        at = 0
+        for r in sorted((r for r in rows if r["doc_id"] == i), key=lambda r: r["start"]):
+            assert r["start"] == at
+            at += r["length"]
+        assert at == len(own)
+    assert all(n == 1024 or n & (n - 1) == 0 for n in sequences(rows).values())
+
+
+def test_names_of_any_kind_very_long_and_repeated_rows(spark):
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    rows = [(1, "a b", b"x", 0), (1, "a b", b"x", 0), (2, "wort und text " * 60_000, None, 1), (3, None, b"", 2), (4, "q" * 50_000, b"", 2)]
+    frame = spark.createDataFrame(rows, "`d.id` long, `the.text` string, decoded binary, `row key` long")
+    at, texts_of, theirs = dict(id_col="d.id", text_col="the.text"), {r[0]: r[1] or "" for r in rows}, library()
+    coded = encode(frame, RANKS, PATTERN, **at).collect()
+    assert sorted((r.doc_id, len(r.ids)) for r in coded) == sorted((r[0], len(theirs.encode_ordinary(r[1] or ""))) for r in rows)
+    count = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    assert sorted((r.doc_id, r.n_tokens) for r in count_tokens(frame, PIECES, **at).collect()) == sorted((r[0], len(count.encode(r[1] or ""))) for r in rows)
+    model, packed = Tokenizer.from_file(JSON), [r.asDict() for r in pack(frame, JSON, PATTERN, **at).collect()]
+    sequences(packed)
+    for i, t in texts_of.items():
+        copies = sum(r[0] == i for r in rows)  # each repeated row is packed for itself
+        assert sum(r["length"] for r in packed if r["doc_id"] == i) == copies * (len(model.encode(t, add_special_tokens=False).ids) + 1)
+
+
+def test_decoding_keeps_all_columns(spark):
+    frame = spark.createDataFrame([([0, 1], "mine", 3), (None, None, None)], "`an.id list` array<int>, decoded string, `x.y` int")
+    got = decode(frame, RANKS, ids_col="an.id list")
+    assert got.columns == ["an.id list", "decoded", "x.y", "decoded_"]
+    assert [(r["decoded"], r["x.y"], r["decoded_"]) for r in got.collect()] == [("mine", 3, library().decode_bytes([0, 1])), (None, None, None)]
+
+
 @given(st.lists(st.integers(1, 200), max_size=60), st.integers(1, 5))
 def test_packer_keeps_order_and_bounds(sizes, limit):
     packer, done = Packer(32, limit), []
