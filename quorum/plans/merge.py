@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import hashing, rules, text
-from ..operators import integrate
+from ..operators import increments, integrate
 from ..operators import near_duplicates as near_duplicates_of
 from ..operators.ordinal import numbered
-from .common import split_of, table
+from .common import h32, split_of, table
 
 TYPES = ("click", "error", "purchase", "signup", "view")
 
@@ -102,6 +102,16 @@ f as (select *, coalesce(sum((invalid is null and not held)::int) over (partitio
 select doc_id, case when invalid is not null then invalid when before > 0 then 'duplicate' when held then 'held-out' else 'kept' end as reason from f"""
 
 
+def merge_increments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """merge_dedup in two merges, the second against the keys that the first kept (D7): the halves of the documents by hash."""
+    docs = table(spark, sf_dir, "documents").withColumn("key", text.dedup_key(F.col("text"))).withColumn("batch", hashing.h32(F.lit("merge"), F.col("doc_id").cast("string")) % 2)
+    invalid, kept = F.when(F.col("n_chars") < 40, "too short"), increments.KeptKeys(spark)
+    merge = lambda b: increments.merge_increment(docs.where(F.col("batch") == b), ["source", "key"], [F.col("doc_id")], invalid, F.col("lang") == "es", kept, b)
+    both = merge(0).unionByName(merge(1))
+    kept.drop()  # what the reasons need of it is checkpointed
+    return both.select("doc_id", "batch", F.coalesce("reason", F.lit("kept")).alias("reason"))
+
+
 def merge_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge_dedup(spark, sf_dir).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
@@ -207,7 +217,7 @@ def nested_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nested.select("conv_id", F.posexplode("turns").alias("pos", "t")).select("conv_id", "pos", "t.turn", "t.role", F.col("t.n").cast("long").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (denial_to_na, validity_reasons, either_or_verdicts, forced_test_split, manifest_join_missing, manifest_overlay, merge_dedup, merge_counts, semi_filter, anti_resume, positional_zip, near_duplicates, near_duplicate_documents, full_outer_days, first_wins_lookup, calibration_by_type, visibility_mask, topic_matrix, dimension_joins, json_scalar, nested_round_trip)}
+QUERIES = {f.__name__: f for f in (denial_to_na, validity_reasons, either_or_verdicts, forced_test_split, manifest_join_missing, manifest_overlay, merge_dedup, merge_increments, merge_counts, semi_filter, anti_resume, positional_zip, near_duplicates, near_duplicate_documents, full_outer_days, first_wins_lookup, calibration_by_type, visibility_mask, topic_matrix, dimension_joins, json_scalar, nested_round_trip)}
 SQL = {
     "denial_to_na": DENIAL,
     "validity_reasons": VALIDITY,
@@ -216,6 +226,7 @@ SQL = {
     "manifest_join_missing": "select l.doc_id is not null as matched, count(*) as n, count(distinct source) as sources from documents d left join labels l using (doc_id) group by 1",
     "manifest_overlay": "select * from (select c_custkey as id, c_mktsegment as v, 0 as src_rank from customer union all select o_custkey, o_orderpriority, 1 from orders) qualify row_number() over (partition by id order by src_rank desc, v desc) = 1",
     "merge_dedup": MERGE,
+    "merge_increments": MERGE.replace("select doc_id, source,", f"select doc_id, {h32("'merge|' || doc_id")} % 2 as batch, source,").replace("order by doc_id rows", "order by batch, doc_id rows").replace("select doc_id, case", "select doc_id, batch, case"),
     "merge_counts": f"select reason, count(*) as n from ({MERGE}) group by 1",
     "semi_filter": "select o_orderstatus, count(*) as n from orders where exists (select 1 from lineitem where l_orderkey = o_orderkey and l_returnflag = 'R') group by 1",
     "anti_resume": "select o_orderkey, o_orderpriority from orders where not exists (select 1 from lineitem where l_orderkey = o_orderkey)",
