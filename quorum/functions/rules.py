@@ -25,6 +25,16 @@ FAMILIES = (
     ("presence", r"^(is|are) there\b"),
 )
 HELD_OUT = ("open_closed", "material")
+#: Words for materials and the material that each stands for.
+MATERIALS = {
+    "wooden": "wood", "wood": "wood", "metal": "metal", "metallic": "metal", "plastic": "plastic", "glass": "glass", "brick": "brick", "leather": "leather",
+    "concrete": "concrete", "cement": "concrete", "stone": "stone", "paper": "paper", "ceramic": "ceramic", "cloth": "fabric", "fabric": "fabric",
+}
+
+
+def material(attribute: Column) -> Column:
+    """The material that an attribute stands for, null for any other attribute."""
+    return F.element_at(F.create_map(*(F.lit(x) for kv in MATERIALS.items() for x in kv)), F.lower(text.stripped(attribute)))
 
 
 def family(question: Column) -> Column:

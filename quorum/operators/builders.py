@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import hashing
+from ..functions import hashing, text
 
 
 def vote_spread_bool(votes: DataFrame, key: str, answer: str, yes: str, no: str, least: int = 8) -> DataFrame:
@@ -51,6 +53,25 @@ def cooccurrence(members: DataFrame, group: str, item: str) -> DataFrame:
     return once.withColumnRenamed(item, "a").join(other, group).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
 
 
+def attribute_questions(objects: DataFrame, image: str, name: str, attributes: str, value: Callable[[Column], Column], vocabulary: list[str], leaks: list[str], opening: str, ending: str) -> DataFrame:
+    """image, name, answer, options and q: one question about an attribute for each image that can have one.
+
+    Of the objects whose name is unique in the image and whose attributes stand for exactly one value, one is drawn by hash. Three other
+    values of the vocabulary join the answer, in an order by hash. Names that hold one of the words of ``leaks`` give no question, but
+    only after the draw, so that they change no other image's question. Objects of an image are never gathered: they are counted by
+    name, and one is kept by an aggregation.
+    """
+    words = lambda c: F.regexp_extract_all(c, F.lit("[a-z]+"), F.lit(0))
+    named = objects.select(image, F.lower(F.trim(name)).alias(name), F.array_distinct(F.array_compact(F.transform(attributes, value))).alias("values"))
+    unique = named.groupBy(image, name).agg(F.count(F.lit(1)).alias("n"), F.first("values").alias("values")).where("n = 1 and size(values) = 1")
+    key = lambda *parts: hashing.order_key(F.col(image).cast("string"), *parts)
+    drawn = unique.groupBy(image).agg(F.min_by(F.struct(name, F.element_at("values", 1).alias("answer")), F.struct(key(F.col(name)), F.col(name))).alias("of")).select(image, f"of.{name}", "of.answer")
+    others = F.array_sort(F.transform(F.array_remove(F.array(*(F.lit(v) for v in vocabulary)), F.col("answer")), lambda v: F.struct(key(v).alias("h"), v.alias("v"))))
+    options = F.array_sort(F.transform(F.array_append(F.transform(F.slice(others, 1, 3), lambda x: x["v"]), F.col("answer")), lambda v: F.struct(key(F.lit("place"), v).alias("h"), v.alias("v"))))
+    q = F.concat(F.lit(opening), text.agreement(F.col(name)), F.lit(" the "), F.col(name), F.lit(ending))
+    return drawn.where(~F.arrays_overlap(words(F.col(name)), F.array(*(F.lit(w) for w in leaks)))).select(image, name, "answer", F.transform(options, lambda x: x["v"]).alias("options"), q.alias("q"))
+
+
 def absent_items(members: DataFrame, group: str, item: str) -> DataFrame:
     """For each group the array of items that it lacks (J14): the list of all items is small and broadcast."""
     all_items = members.agg(F.array_sort(F.collect_set(item)).alias("every"))

@@ -63,6 +63,15 @@ def with_verdicts(rows: DataFrame, verdicts: DataFrame, keys: list[str], flag: s
     return rows.join(verdicts, keys, "left").where(F.coalesce(flag, F.lit(True)))
 
 
+def owned_once(frame: DataFrame, key: str) -> DataFrame:
+    """A small table, one row for each key; the action fails if a key has several owners or none is named."""
+    n = fresh(frame.columns, "n")[0]
+    single = frame.withColumn(n, F.count(F.lit(1)).over(Window.partitionBy(key)))
+    wrong = F.concat(F.lit("not owned exactly once: "), F.coalesce(F.col(key).cast("string"), F.lit("null")))
+    checked = F.when((F.col(n) == 1) & F.col(key).isNotNull(), F.col(key)).otherwise(F.raise_error(wrong).cast(frame.schema[key].dataType))
+    return single.withColumn(key, checked).drop(n)
+
+
 def bottom_k(frame: DataFrame, group: str, k: Column | int, *key: Column | str) -> DataFrame:
     """The k rows of each group with the smallest hashes, numbered as ``rk``; a row's fate depends on its own hash and few others."""
     limit = k if isinstance(k, Column) else F.lit(k)

@@ -27,6 +27,15 @@ def numbered(frame: DataFrame, order: list[str], name: str = "rn", total: Column
     return dealt.join(F.broadcast(starts), part).withColumns(made).drop(part, first, start, value)
 
 
+def zipped(left: DataFrame, right: DataFrame, left_order: list[str], right_order: list[str], name: str = "row_id") -> DataFrame:
+    """Rows of both side by side, by their places in their orders (J11). The action fails where one has more rows than the other."""
+    here, there = fresh([*left.columns, *right.columns, name], "here", "there")
+    a, b = (numbered(f, order, name).withColumn(mark, F.lit(True)) for f, order, mark in ((left, left_order, here), (right, right_order, there)))
+    alone = F.concat(F.lit("lengths differ: row "), F.col(name).cast("string"), F.lit(" has no partner"))
+    both = F.when(F.col(here) & F.col(there), F.col(name)).otherwise(F.raise_error(alone).cast("long"))
+    return a.join(b, name, "full_outer").withColumn(name, both).drop(here, there)
+
+
 def micro_batches(frame: DataFrame, order: list[str], size: int) -> DataFrame:
     """Add ``batch``, from 0: ``size`` rows in order each, the last may be short (T4)."""
     return numbered(frame, order, "__at").withColumn("batch", F.floor((F.col("__at") - 1) / size)).drop("__at")

@@ -158,6 +158,35 @@ select p_partkey, answer,
 from q where not contains('What colour ' || case when noun like '%s' and not regexp_matches(noun, '(ss|us|is)$') then 'are' else 'is' end || ' the ' || noun || '?', answer)"""
 
 
+#: What the objects of an order are: words by the numbers of a part's brand and size.
+LOOKS = (*rules.MATERIALS, "old", "shiny", "small", "round", "clean")
+
+
+def material_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions on what a line's part is made of, for the orders of the test split only: the family is held out."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").where(hashing.split_of(F.concat(F.lit("o_"), F.col("l_orderkey").cast("string"))) == "test")
+    look = lambda n: F.element_at(F.array(*(F.lit(w) for w in LOOKS)), (n % len(LOOKS) + 1).cast("int"))
+    parts = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.when(F.col("p_partkey") % 11 == 0, "glass ").otherwise(""), F.col("p_name")).alias("name"), F.array(look(F.regexp_extract("p_brand", "[0-9]+", 0).cast("int")), look(F.col("p_size"))).alias("attributes"))
+    objects = lines.join(parts, F.col("l_partkey") == F.col("p_partkey"))
+    made = builders.attribute_questions(objects, "l_orderkey", "name", "attributes", rules.material, sorted(set(rules.MATERIALS.values())), list(rules.MATERIALS), "What ", " made of?")
+    return made.select("l_orderkey", "answer", F.array_join("options", ",").alias("options"), "q")
+
+
+_LOOKS = ", ".join(f"'{w}'" for w in LOOKS)
+_STANDS = lambda e: f"case {e} " + " ".join(f"when '{a}' then '{m}'" for a, m in rules.MATERIALS.items()) + " end"
+_BY_HASH = lambda e: f"substr(sha1(l_orderkey || '|' || {e}), 1, 16)"
+MATERIAL = f"""
+with o as (select l_orderkey, lower(trim(case when p_partkey % 11 = 0 then 'glass ' else '' end || p_name)) as name, [{_LOOKS}][regexp_extract(p_brand, '[0-9]+')::INT % {len(LOOKS)} + 1] as a, [{_LOOKS}][p_size % {len(LOOKS)} + 1] as b
+  from lineitem join part on l_partkey = p_partkey where {split_of("'o_' || l_orderkey")} = 'test'),
+m as (select l_orderkey, name, {_STANDS("a")} as x, {_STANDS("b")} as y, count(*) over (partition by l_orderkey, name) as n from o),
+u as (select l_orderkey, name, coalesce(x, y) as answer from m where n = 1 and coalesce(x, y) is not null and coalesce(x = y, true)),
+d as (select * from u qualify row_number() over (partition by l_orderkey order by {_BY_HASH("name")}, name) = 1),
+p as (select *, list_sort(list_transform(list_filter([{", ".join(f"'{v}'" for v in sorted(set(rules.MATERIALS.values())))}], lambda v: v <> answer), lambda v: {{'h': {_BY_HASH("v")}, 'v': v}}))[1:3] as others from d)
+select l_orderkey, answer, array_to_string(list_transform(list_sort(list_transform(list_append(list_transform(others, lambda x: x.v), answer), lambda v: {{'h': {_BY_HASH("'place|' || v")}, 'v': v}})), lambda x: x.v), ',') as options,
+  'What ' || case when name like '%s' and not regexp_matches(name, '(ss|us|is)$') then 'are' else 'is' end || ' the ' || name || ' made of?' as q
+from p where not list_has_any(regexp_extract_all(name, '[a-z]+'), [{", ".join(f"'{w}'" for w in rules.MATERIALS)}])"""
+
+
 def cooccurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part").select("p_partkey", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
     return builders.cooccurrence(lines, "l_orderkey", "p_type")
@@ -216,7 +245,7 @@ with pool as (select distinct p_name, string_split(p_name, ' ') as words from pa
 own as (select l_orderkey, list_distinct(flatten(list(string_split(p_name, ' ')))) as own from lineitem join part on l_partkey = p_partkey group by 1)
 select l_orderkey, count(*) as n, min(p_name) as first_name from own join pool on not list_has_any(own.own, pool.words) group by 1"""
 
-QUERIES = {f.__name__: f for f in (vote_spread_bool, split_by_hash, vote_spread_choice, vote_histogram_score, one_hot_targets, family_rules, supplier_crosswalk, hash_pick, unanswerable_filter, url_parse, unique_name_pairs, attribute_choice, cooccurrence, absent_items, presence_pairs, word_overlap_exclusion)}
+QUERIES = {f.__name__: f for f in (vote_spread_bool, split_by_hash, vote_spread_choice, vote_histogram_score, one_hot_targets, family_rules, supplier_crosswalk, hash_pick, unanswerable_filter, url_parse, unique_name_pairs, attribute_choice, material_questions, cooccurrence, absent_items, presence_pairs, word_overlap_exclusion)}
 SQL = {
     "vote_spread_bool": VOTES,
     "split_by_hash": f"select doc_id, {split_of("'doc_' || doc_id")} as split, {h32("'doc_' || doc_id")} as h from documents",
@@ -230,6 +259,7 @@ SQL = {
     "url_parse": r"select page_id, regexp_extract(url, '^https?://([^/]+)/', 1) as host, regexp_extract(url, '/([a-z]{2})/', 1) as folder, regexp_extract(url, '/(\d+)(?:[?#].*)?$', 1) as number from pages",
     "unique_name_pairs": PAIRS,
     "attribute_choice": ATTRIBUTE,
+    "material_questions": MATERIAL,
     "cooccurrence": f"{_L} select x.p_type as a, y.p_type as b, count(*) as n from m x join m y using (l_orderkey) group by 1, 2",
     "absent_items": f"{_L} select l_orderkey, coalesce(array_to_string(list_sort(list_filter((select list(distinct p_type) from part), lambda t: not list_contains(list(p_type), t))), ','), '') as absent from m group by 1",
     "presence_pairs": PRESENCE,

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import hashing, rules, text
 from ..operators import increments, integrate
 from ..operators import near_duplicates as near_duplicates_of
-from ..operators.ordinal import numbered
+from ..operators.ordinal import numbered, zipped
 from .common import h32, split_of, table
 
 TYPES = ("click", "error", "purchase", "signup", "view")
@@ -133,6 +133,13 @@ def positional_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, "row_id").select("row_id", "s_suppkey", "n_name")
 
 
+def readout_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors by number beside readouts by label, as two outputs of one length that have no key in common."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id")
+    readouts = table(spark, sf_dir, "embeddings").select("label", F.col("vec_id").alias("read_id"))
+    return zipped(rows, readouts, ["vec_id"], ["label", "read_id"])
+
+
 def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of conversation turns of one role in one conversation whose sets of words have a Jaccard of 0.1 or more."""
     words = F.array_distinct(F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: w != ""))
@@ -175,8 +182,8 @@ def first_wins_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def calibration_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows with the temperature and bias of their type, from a small table that owns each type once."""
-    own = spark.createDataFrame([("click", 1.5, 0.25), ("view", 0.8, -0.5), ("error", 2.0, 0.0)], "event_type string, t double, bias double")
-    return table(spark, sf_dir, "events").join(F.broadcast(own), "event_type").select("event_id", F.round(F.col("value") / F.col("t") + F.col("bias"), 6).alias("scaled"))
+    own = spark.createDataFrame([("click", 1.5, 0.25), ("view", 0.8, -0.5), ("error", 2.0, 0.0), ("purchase", 1.25, 0.125), ("signup", 0.5, -0.25)], "event_type string, t double, bias double")
+    return table(spark, sf_dir, "events").join(F.broadcast(integrate.owned_once(own, "event_type")), "event_type").select("event_id", F.round(F.col("value") / F.col("t") + F.col("bias"), 6).alias("scaled"))
 
 
 def visibility_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -217,7 +224,7 @@ def nested_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nested.select("conv_id", F.posexplode("turns").alias("pos", "t")).select("conv_id", "pos", "t.turn", "t.role", F.col("t.n").cast("long").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (denial_to_na, validity_reasons, either_or_verdicts, forced_test_split, manifest_join_missing, manifest_overlay, merge_dedup, merge_increments, merge_counts, semi_filter, anti_resume, positional_zip, near_duplicates, near_duplicate_documents, full_outer_days, first_wins_lookup, calibration_by_type, visibility_mask, topic_matrix, dimension_joins, json_scalar, nested_round_trip)}
+QUERIES = {f.__name__: f for f in (denial_to_na, validity_reasons, either_or_verdicts, forced_test_split, manifest_join_missing, manifest_overlay, merge_dedup, merge_increments, merge_counts, semi_filter, anti_resume, positional_zip, readout_zip, near_duplicates, near_duplicate_documents, full_outer_days, first_wins_lookup, calibration_by_type, visibility_mask, topic_matrix, dimension_joins, json_scalar, nested_round_trip)}
 SQL = {
     "denial_to_na": DENIAL,
     "validity_reasons": VALIDITY,
@@ -231,10 +238,11 @@ SQL = {
     "semi_filter": "select o_orderstatus, count(*) as n from orders where exists (select 1 from lineitem where l_orderkey = o_orderkey and l_returnflag = 'R') group by 1",
     "anti_resume": "select o_orderkey, o_orderpriority from orders where not exists (select 1 from lineitem where l_orderkey = o_orderkey)",
     "positional_zip": "select row_id, s_suppkey, n_name from (select s_suppkey, row_number() over (order by s_suppkey) as row_id from supplier) join (select n_name, row_number() over (order by n_nationkey) as row_id from nation) using (row_id)",
+    "readout_zip": "select * from (select vec_id, row_number() over (order by vec_id) as row_id from embeddings) join (select label, vec_id as read_id, row_number() over (order by label, vec_id) as row_id from embeddings) using (row_id)",
     "near_duplicates": NEAR,
     "full_outer_days": "select strftime(day, '%Y-%m-%d') as day, v1, v2, coalesce(v2, 0) - coalesce(v1, 0) as delta, row_number() over (order by v2 is null, day) as place from (select o_orderdate::DATE as day, count(*) as v1 from orders group by 1) full join (select l_shipdate::DATE as day, count(*) as v2 from lineitem group by 1) using (day)",
     "first_wins_lookup": "select e.event_id, f.value as first_value from events e left join (select user_id, value from events where event_type = 'purchase' qualify row_number() over (partition by user_id order by ts, event_id) = 1) f using (user_id) where e.event_type = 'error'",
-    "calibration_by_type": "select event_id, round(value / t + bias, 6) as scaled from events join (values ('click', 1.5::DOUBLE, 0.25::DOUBLE), ('view', 0.8, -0.5), ('error', 2.0, 0.0)) o(event_type, t, bias) using (event_type)",
+    "calibration_by_type": "select event_id, round(value / t + bias, 6) as scaled from events join (values ('click', 1.5::DOUBLE, 0.25::DOUBLE), ('view', 0.8, -0.5), ('error', 2.0, 0.0), ('purchase', 1.25, 0.125), ('signup', 0.5, -0.25)) o(event_type, t, bias) using (event_type)",
     "visibility_mask": "with t as (select conv_id, turn, case when turn < 2 then 0 else turn // 2 end as blk from conversations where turn < 12), u as (select *, case when blk > 1 then blk // 2 else 0 end as parent from t) select a.conv_id, a.turn, count(*) as visible from u a join u b on a.conv_id = b.conv_id and b.turn <= a.turn and (b.blk = 0 or b.blk = a.blk or b.blk = a.parent) group by 1, 2",
     "topic_matrix": "select lang, count(*) as n, " + ", ".join(f"count(*) filter (regexp_matches(lower(text), '{p}')) as {n}" for n, p in PATTERNS) + " from documents group by 1",
     "dimension_joins": "select n_name, count(*) as n, round(sum(l_quantity), 2) as quantity from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey group by 1",

@@ -3,7 +3,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quorum.operators import increments, integrate, stateful
+from quorum.functions import rules
+from quorum.operators import builders, increments, integrate, ordinal, stateful
 from quorum.streaming import writers
 
 ROWS = "id long, image string, q string, fine boolean, held boolean, key string"
@@ -116,3 +117,36 @@ def test_writers_loop_equals_the_fold_and_resumes(spark, rocks, tmp_path):
     assert taken == sorted(taken) and taken[0] > 0
     got = [r.doc_id for r in spark.read.parquet(out).collect()]
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_zip_needs_equal_lengths(spark):
+    a, b = spark.createDataFrame([(3,), (1,), (2,)], "x long"), spark.createDataFrame([("r", True), ("q", False), ("s", None)], "y string, here boolean")
+    got = ordinal.zipped(a, b, ["x"], ["y"])
+    assert sorted((r.row_id, r.x, r.y, r.here) for r in got.collect()) == [(1, 1, "q", False), (2, 2, "r", True), (3, 3, "s", None)]
+    for left, right in ((a, b.limit(2)), (a.limit(1), b), (a, b.limit(0))):
+        with pytest.raises(Exception, match="lengths differ"):
+            ordinal.zipped(left, right, ["x"], ["y"]).collect()
+    assert ordinal.zipped(a.limit(0), b.limit(0), ["x"], ["y"]).count() == 0
+
+
+def test_types_have_one_owner(spark):
+    good = spark.createDataFrame([("a", 1), ("b", 2)], "type string, n long")
+    assert sorted(tuple(r) for r in integrate.owned_once(good, "type").collect()) == [("a", 1), ("b", 2)]
+    for row in (("a", 3), (None, 3)):
+        with pytest.raises(Exception, match="not owned exactly once"):
+            integrate.owned_once(good.unionByName(spark.createDataFrame([row], good.schema)), "type").collect()
+
+
+def test_attribute_questions(spark):
+    rows = [
+        (1, "chair", ["Wooden ", "wood", "old"]),  # two words for one material
+        (2, "chair", ["wood"]), (2, "Chair ", ["metal"]),  # the name is not unique
+        (3, "scissors", ["metal", "plastic"]),  # two materials
+        (4, "glass table", ["stone"]),  # the name holds a material
+        (5, "bus", ["cement"]), (6, "doors", ["cloth"]), (7, "x", None), (8, None, ["wood"]),
+    ]
+    frame = spark.createDataFrame(rows, "image long, name string, of array<string>")
+    values = sorted(set(rules.MATERIALS.values()))
+    got = {r.image: r for r in builders.attribute_questions(frame, "image", "name", "of", rules.material, values, list(rules.MATERIALS), "What ", " made of?").collect()}
+    assert {i: (r.answer, r.q) for i, r in got.items()} == {1: ("wood", "What is the chair made of?"), 5: ("concrete", "What is the bus made of?"), 6: ("fabric", "What are the doors made of?")}
+    assert all(len(set(r.options)) == 4 and r.answer in r.options and set(r.options) <= set(values) for r in got.values())
