@@ -3,7 +3,7 @@
 Rows with equal sets are a class, which its smallest key stands for: each other row is paired with that key at 1, and
 classes are paired by their keys. Words are hashes of 64 bits, in the order of how many rows have them (counted in a bounded
 number of buckets, so that the counts can be broadcast). Two similar sets share a word among the first of both, of so many as
-the threshold allows to differ; pairs that do, and whose parities in 128 cells allow it, are held against each other by their whole sets.
+the threshold allows to differ; pairs that do, and whose parities in 256 cells allow it, are held against each other by their whole sets.
 
 Cases: rows without words, group or key take no part; repeated rows are one.
 """
@@ -34,9 +34,9 @@ def hashes(text: str | None) -> np.ndarray:
 
 
 def parities(words: np.ndarray) -> list[int]:
-    """Of 128 cells, which hold an odd number of the words: in as many cells at most do two sets differ as in words."""
-    cells = ((words >> np.uint64(32)) % np.uint64(128)).astype(np.int64)
-    return np.packbits(np.bincount(cells, minlength=128).astype(np.uint8) & 1).view(np.int64).tolist()
+    """Of 256 cells, which hold an odd number of the words: in as many cells at most do two sets differ as in words."""
+    cells = ((words >> np.uint64(32)) % np.uint64(256)).astype(np.int64)
+    return np.packbits(np.bincount(cells, minlength=256).astype(np.uint8) & 1).view(np.int64).tolist()
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,7 +77,7 @@ def pairs(rows: DataFrame, group: str, key: str, text: str, per_cent: int = 80)
     a, b = first.alias("a"), first.alias("b")  # alike, so that they are shuffled once
     both = (F.col("a.t") == F.col("b.t")) & (F.struct("a.n", "a.h") < F.struct("b.n", "b.h")) & (F.col("b.n") * per_cent <= F.col("a.n") * 100)
     left = F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at"))  # words that can be common if this one is the first
-    odd = sum((F.bit_count(F.col("a.s")[k].bitwiseXOR(F.col("b.s")[k])) for k in range(2)), F.lit(0))  # at most what the sets differ in
+    odd = sum((F.bit_count(F.col("a.s")[k].bitwiseXOR(F.col("b.s")[k])) for k in range(4)), F.lit(0))  # at most what the sets differ in
     sizes = F.col("a.n") + F.col("b.n")
     # both bounds hold before a pair is a row, so that few pairs are shuffled
     met = a.join(b, both & (left * (100 + per_cent) >= sizes * per_cent) & (odd * (100 + per_cent) <= sizes * (100 - per_cent)))
