@@ -6,7 +6,9 @@ value evaluated once and named.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
+from fractions import Fraction
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -27,6 +29,15 @@ def normalised(p: Column) -> Column:
     return bound(p, lambda q: bound(total(q), lambda s: F.transform(q, lambda x: x / s)))
 
 
+def shown(p: Column, digits: int) -> Column:
+    """The numbers with so many decimals, joined by commas. Rounded from the exact binary value, ties to even, as printf does in other
+    engines; format_string rounds a tie such as 13 / 32 up."""
+    unit = f"{10**-digits:.{digits}f}"
+    half = float(unit) / 2
+    up = half if Fraction(half) > Fraction(1, 2 * 10**digits) else math.nextafter(half, 1)  # format_number makes "5E-5" nothing
+    return F.array_join(F.transform(p, lambda v: F.when(v.between(up, half), unit).otherwise(F.call_function("format_number", v, F.lit("0." + "0" * digits)))), ",")
+
+
 def floored(lp: Column) -> Column:
     """Log probabilities with null, NaN, infinite ones and anything below the floor set to it."""
     fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))

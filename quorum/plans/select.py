@@ -33,7 +33,7 @@ def option_augment(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = chosen.withColumn("k", k).withColumn("lk", F.row_number().over(losers)).where((F.col("rk") == 1) | (F.col("lk") < F.col("k")))
     made = kept.groupBy("l_partkey", "k").agg(F.array_sort(F.collect_list(F.struct(hashing.order_key(F.lit("mix"), key, F.col("l_linenumber").cast("string")).alias("h"), F.col("l_linenumber").alias("o"), F.col("n").alias("n")))).alias("x"))
     p = dist.normalised(F.transform("x", lambda e: e["n"].cast("double")))
-    return made.select("l_partkey", "k", F.array_join(F.transform("x", lambda e: e["o"].cast("string")), ",").alias("options"), F.array_join(F.transform(p, lambda v: F.format_string("%.4f", v)), ",").alias("target"))
+    return made.select("l_partkey", "k", F.array_join(F.transform("x", lambda e: e["o"].cast("string")), ",").alias("options"), dist.shown(p, 4).alias("target"))
 
 
 AUGMENT = f"""

@@ -31,8 +31,7 @@ def selected_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All questions of the selected set with their images' names."""
     manifest = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("image"), F.col("c_name").alias("name"))
     done = selection.select(_questions(spark, sf_dir), manifest, CAPS, opening_cap=OPENING_CAP)
-    shown = F.array_join(F.transform("target", lambda v: F.format_string("%.6f", v)), ",")
-    return done["questions"].join(done["images"], "image", "left").select("id", "image", "name", "split", "source", "aug", F.array_join("options", ",").alias("options"), shown.alias("target"))
+    return done["questions"].join(done["images"], "image", "left").select("id", "image", "name", "split", "source", "aug", F.array_join("options", ",").alias("options"), dist.shown(F.col("target"), 6).alias("target"))
 
 
 def _cap_steps(name: str, column: str, values: int, share: float, first: str, density: str) -> str:

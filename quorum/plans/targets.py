@@ -75,7 +75,7 @@ def augmented_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = table(spark, sf_dir, "lineitem").groupBy("l_partkey", "l_linenumber").agg(F.count(F.lit(1)).alias("n"))
     nested = counts.groupBy("l_partkey").agg(F.array_sort(F.collect_list(F.struct(F.col("l_linenumber").alias("o"), F.col("n").cast("double").alias("n")))).alias("x"))
     p = dist.normalised(F.transform("x", lambda e: e["n"]))
-    own = nested.select("l_partkey", F.size("x").alias("k"), F.array_join(F.transform("x", lambda e: e["o"].cast("string")), ",").alias("options"), F.array_join(F.transform(p, lambda v: F.format_string("%.9f", v)), ",").alias("target"), F.lit(False).alias("aug"))
+    own = nested.select("l_partkey", F.size("x").alias("k"), F.array_join(F.transform("x", lambda e: e["o"].cast("string")), ",").alias("options"), dist.shown(p, 9).alias("target"), F.lit(False).alias("aug"))
     return own.unionByName(select.option_augment(spark, sf_dir).withColumn("aug", F.lit(True)))
 
 

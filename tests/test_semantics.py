@@ -291,3 +291,9 @@ def test_targets_and_floors(spark):
     words = ["none", "can't walk", "Cannot tell from here", " n/a ", "NOT visible", "unclear", "not a dog"]
     [r] = spark.createDataFrame([(words,)], "w array<string>").select(F.transform("w", text.is_na_like).alias("x")).collect()
     assert r.x == [False, False, True, True, True, True, False]
+
+
+def test_shown_numbers_round_ties_to_even(spark):
+    values = [6 / 32, 13 / 32, 1 / 32, 0.12345, 0.00005, 1.0, 2 / 3]
+    got = spark.createDataFrame([(values,)], "p array<double>").select(dist.shown(F.col("p"), 4)).first()[0]
+    assert got == ",".join("%.4f" % v for v in values)
