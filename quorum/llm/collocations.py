@@ -6,12 +6,13 @@ are the intervals of the phrases of m words, and their lengths are the counts. S
 
 Phrases of fewer than ``least`` occurrences matter to nobody, and a phrase of that many consists of words and shorter phrases of that
 many. So a first pass counts words and pairs by hashes of 40 bits (eight thousand times the cells of the bit map, which could not hold
-more), and those that reach ``least`` are marked in a bit map. A second does the same with phrases of three and four words whose words
+more), and those that reach ``least`` are marked in a bit map. Hashes travel with their counts in numbers of 32 bits, many to a row: those of one
+part of the bit map, which one call adds up and marks. A second does the same with phrases of three and four words whose words
 and pairs are all marked. The last pass counts phrases themselves, those that are marked with all their parts. Collisions mark too
 much and never too little: counts are by the phrase, and exact.
 
 Scale: the bit map has ``1 << bits`` bits whatever the input (16 MB); where it fills up, more phrases are shuffled, and the result is the
-same. A shard has a bounded number of words; a language of any share of the rows is many shards. Shuffled are a shard's
+same. A shard has a bounded number of words; a language of any share of the rows is many shards. Shuffled are some shards'
 distinct hashes, then its distinct marked phrases, then the table of frequent ones (joined with itself by phrase). Ranks of a
 language are cut to ``top`` in each of ``parts`` parts of it first.
 
@@ -31,13 +32,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import broadcast_bounded, col, staged
+from .shared import broadcast_bounded, col, slices, staged
 
 #: Characters that end a piece, all made into the first.
 ENDS = b".,;:!?\n\x0b\x0c\r"
 _TO_END = bytes.maketrans(ENDS, ENDS[:1] * len(ENDS))
 #: Words of the longest phrase, and bits of the hashes that the first pass counts by.
 LONGEST, SIEVE = 4, 40
+#: Bits of a hash that choose a part of the bit map, and those that choose a group of parts, which one call adds up.
+PART, GROUP = 13, 10
 
 
 class Shard:
@@ -129,7 +132,7 @@ def rooms(ids: np.ndarray, hashed: list[np.ndarray], marks: np.ndarray | None, k
 def _shards(batches: Iterator[pa.RecordBatch], words: int, use: Callable[[str, Shard], Iterator[pa.RecordBatch]]) -> Iterator[pa.RecordBatch]:
     """Gather texts to shards of about so many words and hand each language's on."""
     held, room = defaultdict(Shard), words
-    for batch in batches:
+    for batch in slices(batches, "text", rows=1024, size=4 << 20):
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
             room -= held[lang].add(text)
             if room <= 0:
@@ -140,8 +143,25 @@ def _shards(batches: Iterator[pa.RecordBatch], words: int, use: Callable[[str, S
         yield from use(key, shard)
 
 
-def _sieve(words: int, marks, known: int, bits: int):
-    """Hashes of the phrases of the next two lengths whose parts are marked, with their counts."""
+def _layout(bits: int, most: int) -> tuple[int, int, type]:
+    """How a hash and its count lie in a number: the bits that choose a part (a stretch of the bit map), those of a count, and the type."""
+    cut, held = min(PART, bits - 6), max(most.bit_length(), 1)
+    return cut, held, np.uint32 if SIEVE - cut + held <= 32 else np.uint64
+
+
+def combined(keys: np.ndarray, counts: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys with the sums of their counts, which stop at ``most``."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    begins = np.flatnonzero(np.diff(keys, prepend=~keys[:1]))
+    return keys[begins], np.minimum(np.add.reduceat(counts[order], begins), most) if len(keys) else counts
+
+
+def _sieve(words: int, marks, known: int, least: int, bits: int, most: int = 1 << 21):
+    """Hashes of the phrases of the next two lengths whose parts are marked, with their counts, added up over some shards: for each part
+    of the bit map that these meet, numbers that hold what is left of the hash and the count (up to ``least``, which decides alike)."""
+    cut, held, kind = _layout(bits, least)
+    waiting: list[tuple[np.ndarray, np.ndarray]] = []
 
     def use(lang: str, shard: Shard) -> Iterator[pa.RecordBatch]:
         ids = shard.ids()
@@ -150,10 +170,47 @@ def _sieve(words: int, marks, known: int, bits: int):
         sa, lcp = suffixes(ids, np.flatnonzero(room > known), known + 2)
         for m in (known + 1, known + 2):
             place, n = intervals(sa, lcp, room, m)
-            kept = hashed[m - 1][place] & np.uint64((1 << SIEVE) - 1)
-            yield pa.RecordBatch.from_arrays([pa.array(kept.astype(np.int64)), pa.array(n, pa.int64())], names=["hash", "n"])
-
-    return lambda batches: _shards(batches, words, use)
+            h = hashed[m - 1][place]
+            low = h & np.uint64((1 << bits) - 1)  # the part comes first, then the place in it, then the other bits
+            rest = (h & np.uint64((1 << SIEVE) - 1)) >> np.uint64(bits)
+            waiting.append(((low << np.uint64(SIEVE - bits)) | rest, n))
+        if sum(len(k) for k, _ in waiting) >= most:
+            yield packed()
+
+    def packed() -> pa.RecordBatch:
+        keys, counts = combined(*(np.concatenate(x) for x in zip(*waiting, strict=True)), least)
+        waiting.clear()
+        part = keys >> np.uint64(SIEVE - cut)
+        found, begins = np.unique(part, return_index=True)
+        data = ((keys & np.uint64((1 << (SIEVE - cut)) - 1)) << np.uint64(held) | counts.astype(np.uint64)).astype(kind)
+        ends = np.append(begins, len(keys)).astype(np.int32) * data.itemsize
+        cells = pa.Array.from_buffers(pa.binary(), len(found), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)])
+        return pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), cells], names=["part", "numbers"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting.clear()
+        yield from _shards(batches, words, use)
+        if waiting:
+            yield packed()
+
+    return run
+
+
+def _stretches(least: int, bits: int):
+    """Of each part in a group, the stretch of the bit map in which the frequent hashes are marked."""
+    cut, held, kind = _layout(bits, least)
+
+    def run(rows: pa.Table) -> pa.Table:
+        held_by = rows.column("numbers").to_pylist()
+        numbers = np.frombuffer(b"".join(held_by), kind).astype(np.uint64)
+        part = np.repeat(rows.column("part").to_numpy().astype(np.uint64), [len(x) // np.dtype(kind).itemsize for x in held_by])
+        keys, counts = combined(part << np.uint64(SIEVE - cut) | numbers >> np.uint64(held), (numbers & np.uint64((1 << held) - 1)).astype(np.int64), least)
+        bit = np.unique(keys[counts >= least] >> np.uint64(SIEVE - bits))
+        cell, begins = np.unique(bit >> np.uint64(6), return_index=True)
+        ones = np.bitwise_or.reduceat(np.uint64(1) << (bit & np.uint64(63)), begins) if len(bit) else bit
+        return pa.table({"cells": pa.array([cell.tobytes()], pa.binary()), "ones": pa.array([ones.tobytes()], pa.binary())})
+
+    return run
 
 
 def _phrases(words: int, marks, bits: int):
@@ -181,13 +238,14 @@ def _marked(marks: np.ndarray, hashed: np.ndarray, bits: int) -> np.ndarray:
     return (marks[bit >> np.uint64(6)] >> (bit & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
-def bit_map(frequent: DataFrame, bits: int) -> np.ndarray:
-    """The lowest ``bits`` (6 to 40) of the hashes as a map of 64-bit cells; the cells come to the driver, at most ``1 << bits`` bits."""
-    bit = F.col("hash").bitwiseAND((1 << bits) - 1)
-    cells = frequent.select(F.shiftright(bit, 6).alias("cell"), F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(63).cast("int")).alias("one"))
-    got = cells.groupBy("cell").agg(F.bit_or("one").alias("ones")).toArrow()
+def bit_map(numbers: DataFrame, least: int, bits: int) -> np.ndarray:
+    """The lowest ``bits`` (6 to 40) of the frequent hashes as a map of 64-bit cells; the cells that have marks come to the driver, at most
+    ``1 << bits`` bits and their numbers."""
+    group = F.shiftright("part", max(_layout(bits, least)[0] - GROUP, 0))
+    got = numbers.groupBy(group).applyInArrow(_stretches(least, bits), "cells binary, ones binary").toArrow()
     marks = np.zeros(1 << (bits - 6), np.uint64)
-    marks[got["cell"].to_numpy()] = got["ones"].to_numpy().view(np.uint64)
+    for cells, ones in zip(got["cells"], got["ones"], strict=True):
+        marks[np.frombuffer(cells.as_py(), np.uint64)] = np.frombuffer(ones.as_py(), np.uint64)
     return marks
 
 
@@ -196,8 +254,7 @@ def frequent_phrases(docs: DataFrame, least: int = 30, text_col: str = "text", l
     rows = docs.select(F.coalesce(col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(col(text_col), F.lit("")).alias("text"))
     found, marks = np.zeros(1 << (bits - 6), np.uint64), None
     for known in range(0, LONGEST, 2):
-        hashed = rows.mapInArrow(_sieve(words, marks, known, bits), "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
-        found = found | bit_map(hashed.where(F.col("n") >= least), bits)
+        found = found | bit_map(rows.mapInArrow(_sieve(words, marks, known, least, bits), "part int, numbers binary"), least, bits)
         marks = broadcast_bounded(docs.sparkSession, found, "the bit map", (1 << bits) // 8 + 4096)
     counted = rows.mapInArrow(_phrases(words, marks, bits), "lang string, m int, phrase string, n long").groupBy("lang", "m", "phrase").agg(F.sum("n").alias("f"))
     table = staged(counted.where((F.col("f") >= least) | (F.col("m") == 0)), "phrases")

@@ -3,11 +3,12 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
-from quorum.llm.collocations import LONGEST, Shard, collocations, intervals, suffixes
+from quorum.llm.collocations import LONGEST, PART, Shard, _sieve, _stretches, collocations, hashes, intervals, suffixes
 
 
 def pieces(text):
@@ -80,3 +81,22 @@ def test_intervals_are_phrase_counts(texts, depth):
             got[phrase] = c
     assert got == {p: c for p, c in counts(texts).items() if len(p) <= depth}
     assert shard.words == sum(c for p, c in got.items() if len(p) == 1)
+
+
+@pytest.mark.parametrize(("least", "bits"), [(3, 27), (40, 27), (3, 9)])
+def test_hashes_travel_by_parts_of_the_bit_map(least, bits):
+    texts = [" ".join(f"w{k}" for k in range(20_000))] * 2 + [" ".join(f"w{k}" for k in range(0, 20_000, 50))] * least
+    batch = pa.RecordBatch.from_arrays([pa.array(["en"] * len(texts)), pa.array(texts)], names=["lang", "text"])
+    sent = list(_sieve(15_000, None, 0, least, bits)(iter([batch])))
+    assert sum(b.num_rows for b in sent) <= 1 << PART  # not one for each of the hashes
+    got = _stretches(least, bits)(pa.Table.from_batches(sent))
+    marks = dict(zip(np.frombuffer(got["cells"][0].as_py(), np.uint64).tolist(), np.frombuffer(got["ones"][0].as_py(), np.uint64).tolist(), strict=True))
+    shard = Shard()
+    for t in texts:
+        shard.add(t)
+    want, (one, two) = Counter(), hashes(shard, "en", ids := shard.ids(), 2)
+    inside = ids[: -LONGEST] > 0
+    for h in [*one[inside], *two[inside & (ids[1 : 1 - LONGEST] > 0)]]:
+        want[int(h) & ((1 << 40) - 1)] += 1
+    bits_set = {(c << 6) + k for c, x in marks.items() for k in range(64) if x >> k & 1}
+    assert bits_set == {h & ((1 << bits) - 1) for h, n in want.items() if n >= least} and bits_set
