@@ -25,7 +25,7 @@ large family is dealt out by size: a size class holds what may be similar in siz
 classes meet. Verified links give the components.
 
 Scale: signatures are hashes, counted with partial aggregation, and only those of two nodes or more are joined back (a join
-that AQE can split). Texts are shuffled once, by a row key, to reach the candidates; the texts of candidates once
+that AQE can split). Rows are numbered once, in a staged copy, as a table read again may be dealt to other partitions. Texts are shuffled once, by that number, to reach the candidates; the texts of candidates once
 more, to their families (in a large family once for each block of the classes around theirs). A group of equal copies of any size is one node. No pair of documents is a row until it is verified,
 and of the verified links a family returns a spanning forest.
 
@@ -291,22 +291,25 @@ def _verify(width: int, per_cent: int):
 def join(docs: DataFrame, width: int = 5, per_cent: int = 80, id_col: str = "doc_id", text_col: str = "text", block: int = 1000, batch: int = 500) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable by links), n_links and first of every row.
 
-    ``docs`` is read twice and must give the same rows in the same order (a table does; stage what a shuffle made), which is
-    checked. ``first`` marks one row of each component, the first of the input; ``block`` bounds the sets of a class of a family that
-    one task compares with each other, ``batch`` the rows of small families in one group.
+    Rows are numbered once and staged with their numbers: a table that is read again may be dealt to other partitions, as their
+    number hangs on the cores that the cluster has at the moment. ``first`` marks one row of each component, the first of the input; ``block``
+    bounds the sets of a class of a family that one task compares with each other, ``batch`` the rows of small families in one group.
     """
-    return _joined(docs, width, per_cent, id_col, text_col, block, batch).drop("row_key", "mark")
+    rows = docs.select(F.monotonically_increasing_id().alias("row_key"), col(id_col).cast("long").alias("doc_id"), _mark(id_col, text_col).alias("mark"), col(text_col).alias("text"))
+    return _joined(rows, width, per_cent, block, batch, True).drop("row_key", "mark")
 
 
 def deduplicate(docs: DataFrame, width: int = 5, per_cent: int = 80, id_col: str = "doc_id", text_col: str = "text", **bounds) -> DataFrame:
     """The rows and columns of ``docs`` without all but one row of each component; rows without shingles all stay."""
     bounds = {"block": 1000, "batch": 500} | bounds
     key, own, mark = fresh(docs.columns, "__row_key", "__own", "__mark")
+    numbered = staged(docs.withColumn(key, F.monotonically_increasing_id()), "numbered")
     with scratch():
-        others = _joined(docs, width, per_cent, id_col, text_col, **bounds).where("not first")
+        rows = numbered.select(col(key).alias("row_key"), col(id_col).cast("long").alias("doc_id"), _mark(id_col, text_col).alias("mark"), col(text_col).alias("text"))
+        others = _joined(rows, width, per_cent, **bounds, stage=False).where("not first")
         others = hand_on(staged(others.select(F.col("row_key").alias(key), F.col("mark").alias(mark)), "copies"))
-    numbered = docs.withColumns({key: F.monotonically_increasing_id(), own: _mark(id_col, text_col)})
     same = F.when(col(mark) == col(own), False).otherwise(F.raise_error(F.lit("the documents are not the same in two passes")).cast("boolean"))
+    numbered = numbered.withColumn(own, _mark(id_col, text_col))
     kept = numbered.join(others.hint("shuffle_hash"), key, "left").where(F.when(col(mark).isNull(), True).otherwise(same))
     return kept.select(*(col(c) for c in docs.columns))
 
@@ -372,15 +375,16 @@ def _dealt(met: DataFrame, per_cent: int, block: int) -> DataFrame:
     return met.join(large, "family", "left").select("node", "row_key", "copies", "family", F.col("blocks").isNotNull().alias("split"), own.alias("own"), around.alias("others"))
 
 
-def _joined(docs: DataFrame, width: int, per_cent: int, id_col: str, text_col: str, block: int, batch: int) -> DataFrame:
+def _joined(rows: DataFrame, width: int, per_cent: int, block: int, batch: int, stage: bool) -> DataFrame:
+    """``join`` of rows with row_key, doc_id, mark and text; with ``stage``, the row keys are not stored yet."""
     if not 1 <= per_cent <= 100:
         raise ValueError("per_cent must be from 1 to 100")
     edges = size_classes(-(-100 // (100 - per_cent)) - 1 if per_cent < 100 else 1 << 30)
-    rows = docs.select(F.monotonically_increasing_id().alias("row_key"), col(id_col).cast("long").alias("doc_id"), _mark(id_col, text_col).alias("mark"), col(text_col).alias("text"))
-    scan = staged(rows.mapInArrow(_scan(width, per_cent, edges), SCAN), "shingles")
-    full = scan.where(F.col("node").isNotNull())
-    nodes = full.groupBy("node").agg(F.min("row_key").alias("row_key"), F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("copies"), *(F.max(c).alias(c) for c in ("n", *COUNTS)))
     with scratch():
+        rows = staged(rows, "rows") if stage else rows
+        scan = hand_on(staged(rows.mapInArrow(_scan(width, per_cent, edges), SCAN), "shingles"))
+        full = scan.where(F.col("node").isNotNull())
+        nodes = full.groupBy("node").agg(F.min("row_key").alias("row_key"), F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("copies"), *(F.max(c).alias(c) for c in ("n", *COUNTS)))
         nodes = staged(nodes, "nodes")
         with scratch():
             connected = _connect_all(full, nodes, per_cent) if per_cent >= DIRECT else _connect_dense(full, nodes, rows, width, per_cent, edges)

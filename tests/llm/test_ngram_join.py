@@ -102,6 +102,31 @@ def test_deduplicate_refuses_rows_that_change(spark, monkeypatch):
         ngram_join.deduplicate(docs).collect()
 
 
+def test_partitions_may_change_between_passes(spark, tmp_path, monkeypatch):
+    """As they do where an executor comes or goes: the number of cores decides how files are cut and dealt."""
+    rng = random.Random(3)
+    texts = [" ".join(f"w{rng.randrange(400)}" for _ in range(60)) for _ in range(40)]
+    rows = list(enumerate([*texts, *(t + " more" for t in texts), *texts[:9]]))
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(12, "doc_id").write.parquet(str(tmp_path / "docs"))
+    docs, made = spark.read.parquet(str(tmp_path / "docs")), ngram_join.staged
+
+    def later(frame, name):
+        done = made(frame, name)
+        if name in ("shingles", "copies"):
+            spark.conf.set("spark.sql.files.openCostInBytes", "64m" if name == "shingles" else "1k")
+        return done
+
+    monkeypatch.setattr(ngram_join, "staged", later)
+    for use in (ngram_join.join, ngram_join.deduplicate):
+        spark.conf.set("spark.sql.files.openCostInBytes", "1k" if use is ngram_join.join else "64m")
+        try:
+            got = use(docs, 1, 80).collect()
+        finally:
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+        want = brute(rows, 1, 80)
+        assert sorted(tuple(r)[:4] for r in got) == sorted(want) if use is ngram_join.join else len(got) == len({c for _, _, c, _ in want})
+
+
 def test_query_equals_brute_force(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     got = sorted(tuple(r) for r in queries_corpus.op1_ngram_join(spark, SF).collect())
