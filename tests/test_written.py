@@ -50,3 +50,15 @@ def test_every_reason(spark):
 def test_question_marks(spark):
     frame = spark.createDataFrame([("is it . .", "bool"), ("is it?", "bool"), ("rate it.", "score"), ("", "choice")], "a string, kind string")
     assert [r.q for r in frame.select(written.question(F.col("a"), F.col("kind")).alias("q")).collect()] == ["Is it?", "Is it?", "Rate it.", "?"]
+
+
+def test_questions_are_judged_in_one_pass(spark):
+    """A filter on the reason does not bring in again what it is made of: the JSON is read once in the plan."""
+    from quorum.plans import written
+
+    def parsed(frame):
+        return frame._jdf.queryExecution().optimizedPlan().toString().count("from_json")
+
+    sf = "/root/testdata/sf0.001"
+    assert parsed(written._judged(spark, sf).where("reason is null")) == 1
+    assert parsed(written.answer_checks(spark, sf)) == 1
