@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import math
+from array import array
 from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..checkpoints import checkpointed
 from ..functions import hashing
 
 
@@ -132,12 +138,99 @@ def accepted_texts(texts: list[str], threshold: float = 0.8) -> list[bool]:
     return out
 
 
-def without_near_duplicates(rows: DataFrame, group: str, order: str, text: str, threshold: float = 0.8) -> DataFrame:
-    """Rows of each group in order, without near duplicates of accepted ones."""
+#: Buckets of the words' counts, and cells of parities of a set.
+BUCKETS, CELLS = 1 << 17, 1 << 10
+
+
+def _hashed(text: str | None) -> np.ndarray:
+    words = set((text or "").lower().split())
+    return np.unique(np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words)))
+
 
-    def fold(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part = pd.concat(list(parts)).sort_values(order)
-        yield part[accepted_texts(part[text].tolist(), threshold)]
+def _bucket_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts = np.zeros(BUCKETS, np.int64)
+    for batch in batches:
+        for text in batch.column("t"):
+            np.add.at(counts, (_hashed(text.as_py()) % np.uint64(BUCKETS)).astype(np.int64), 1)
+    at = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["bucket", "n"])
 
-    narrow = rows.select(group, order, text)
-    return narrow.groupBy(group).applyInPandas(lambda p: next(fold(iter([p]))), narrow.schema)
+
+class Accepted:
+    """Sets of words (as hashes, rarest first) of which no two are near; finds those near a new one.
+
+    Two near sets have a word in common among the first of both, of so many as the threshold lets differ, and their sizes are of the
+    same or of neighbouring classes; parities of the words' cells pass over most sets that only share such a word.
+    """
+
+    def __init__(self, threshold: float):
+        self.threshold, self.sets, self.places = threshold, [], {}
+        self.step = math.log(1 / threshold) + 1e-3 if threshold < 1 else 1.0
+        self.sizes, self.odd = np.zeros(64, np.int64), np.zeros((64, CELLS // 64), np.uint64)
+
+    def add(self, words: np.ndarray) -> bool:
+        """Whether a set that is not empty is near none before it; then it is kept."""
+        n, found = len(words), []
+        first, size = words[: n - max(1, math.ceil(self.threshold * n - 1e-9)) + 1].tolist(), int(math.log(n) / self.step)
+        cells = np.bincount(((words >> np.uint64(32)) % np.uint64(CELLS)).astype(np.int64), minlength=CELLS).astype(np.uint8) & 1
+        odd = np.packbits(cells).view(np.uint64)
+        for w in first:
+            for c in (size - 1, size, size + 1):
+                if (w, c) in self.places:
+                    found.append(self.places[w, c])
+        if found:
+            at = np.unique(np.concatenate([np.frombuffer(x, np.int32) for x in found]))
+            apart = np.bitwise_count(self.odd[at] ^ odd).sum(1)  # at most what the sets differ in
+            fits = apart * (1 + self.threshold) <= (self.sizes[at] + n) * (1 - self.threshold) + 1e-6
+            for k in at[fits][np.argsort(apart[fits], kind="stable")]:
+                both = len(np.intersect1d(words, self.sets[k], assume_unique=True))
+                if both >= self.threshold * (n + len(self.sets[k]) - both):
+                    return False
+        del found
+        number = len(self.sets)
+        if number == len(self.sizes):
+            self.sizes, self.odd = np.concatenate([self.sizes, np.zeros_like(self.sizes)]), np.concatenate([self.odd, np.zeros_like(self.odd)])
+        self.sizes[number], self.odd[number] = n, odd
+        self.sets.append(words)
+        for w in first:
+            self.places.setdefault((w, size), array("i")).append(number)
+        return True
+
+
+def without_near_duplicates(rows: DataFrame, group: str, order: str, text: str, threshold: float = 0.8) -> DataFrame:
+    """Rows of each group in order, without near duplicates of accepted ones (P25, J13), up to 64-bit hash collisions.
+
+    Texts become hashes of words in all tasks. The fold of a group is sequential; it gets these hashes in order, a batch at a time, and
+    holds those of the accepted ones, which it looks up by their rarest words. Rows without words are all kept.
+    """
+    texts = rows.select(F.col(group).alias("g"), F.col(order).alias("o"), F.col(text).alias("t"))
+    counts = np.zeros(BUCKETS, np.int64)
+    for r in texts.select("t").mapInArrow(_bucket_counts, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():  # BUCKETS rows at most
+        counts[r["bucket"]] = r["n"]
+    rarity = rows.sparkSession.sparkContext.broadcast(counts)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 256):
+                some = batch.slice(begin, 256)
+                found = [_hashed(t.as_py()) for t in some.column("t")]
+                ordered = [w[np.lexsort((w, rarity.value[(w % np.uint64(BUCKETS)).astype(np.int64)]))].tobytes() for w in found]
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(ordered, pa.binary())], names=["g", "o", "t", "w"])
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, own = None, object()
+        for batch in batches:
+            kept = []
+            for g, key, words in zip(*(batch.column(c).to_pylist() for c in ("g", "key", "w")), strict=True):
+                if held is None or g != own:
+                    held, own = Accepted(threshold), g
+                if held.add(np.frombuffer(words, np.uint64)):
+                    kept.append(key)
+            yield pa.RecordBatch.from_arrays([pa.array(kept, pa.int64())], names=["key"])
+
+    schema = T.StructType([*texts.schema.fields, T.StructField("w", T.BinaryType())])
+    sets = checkpointed(texts.mapInArrow(scan, schema).withColumn("key", F.monotonically_increasing_id()))
+    some = sets.where(F.octet_length("w") > 0)
+    keys = some.select("g", "o", "key", "w").repartition("g").sortWithinPartitions("g", F.col("o").asc_nulls_last(), "key").mapInArrow(fold, "key long")
+    kept = sets.where(F.octet_length("w") == 0).unionByName(some.join(keys, "key", "left_semi").select(*sets.columns))
+    return kept.select(F.col("g").alias(group), F.col("o").alias(order), F.col("t").alias(text))

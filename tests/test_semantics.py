@@ -297,3 +297,22 @@ def test_shown_numbers_round_ties_to_even(spark):
     values = [6 / 32, 13 / 32, 1 / 32, 0.12345, 0.00005, 1.0, 2 / 3]
     got = spark.createDataFrame([(values,)], "p array<double>").select(dist.shown(F.col("p"), 4)).first()[0]
     assert got == ",".join("%.4f" % v for v in values)
+
+
+def test_fold_looks_up_accepted_texts(spark):
+    """The same rows as by comparing each with all accepted ones, which are few of the pairs that it compares."""
+    rng = random.Random(4)
+    base = [" ".join(rng.choice("äbcdefghij") + str(rng.randrange(60)) for _ in range(rng.randrange(1, 40))) for _ in range(120)]
+    made = [" ".join(w for w in rng.choice(base).split() if rng.random() > 0.08) + rng.choice(["", " Ä1", " more"]) for _ in range(500)]
+    texts = [*base, *made, "", " ", "a b c d", "A  b c d e"]
+    rng.shuffle(texts)
+    rows = [(k, None if k % 3 == 0 else f"s{k % 3}", t) for k, t in enumerate(texts)]
+    got = stateful.without_near_duplicates(spark.createDataFrame(rows, "id long, g string, t string"), "g", "id", "t")
+    want = set()
+    for g in (None, "s1", "s2"):
+        own = [r for r in rows if r[1] == g]
+        want |= {r[0] for r, ok in zip(own, stateful.accepted_texts([r[2] for r in own]), strict=True) if ok}
+    assert {r.id for r in got.collect()} == want and 100 < len(want) < len(rows)
+    held = stateful.Accepted(0.8)
+    assert all(held.add(np.unique(np.random.default_rng(k).integers(0, 1 << 63, 50, dtype=np.uint64))) for k in range(300))
+    assert max(len(x) for x in held.places.values()) < 5  # a new set meets those that share a rare word, not all of them
