@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
-from array import array
+import os
+import tempfile
 from collections import OrderedDict
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -156,52 +158,146 @@ def _bucket_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["bucket", "n"])
 
 
+#: Sets that are looked up at once, pairs that are held against each other at once, and parts of the index that are merged apart.
+BATCH, PAIRS, PARTS = 512, 1 << 20, 32
+_HIGH, _LOW = np.uint64(0xFFFFFFFF00000000), np.uint64(0xFFFFFFFF)
+
+
+def _odd(sets: list[np.ndarray]) -> np.ndarray:
+    """Which cells of each set hold an odd number of its words, as bits."""
+    cells = np.concatenate([((s >> np.uint64(32)) % np.uint64(CELLS)).astype(np.int64) + k * CELLS for k, s in enumerate(sets)])
+    return np.packbits((np.bincount(cells, minlength=len(sets) * CELLS) & 1).astype(np.uint8).reshape(-1, CELLS), axis=1).view(np.uint64)
+
+
+def _bounds(part: int) -> np.ndarray:
+    """Where a part of the index begins and the next one does (for the last, its largest place)."""
+    return np.array([part * (1 << 64) // PARTS, min((part + 1) * (1 << 64) // PARTS, (1 << 64) - 1)], np.uint64)
+
+
 class Accepted:
-    """Sets of words (as hashes, rarest first) of which no two are near; finds those near a new one.
+    """Sets of words (as hashes, rarest first) of which no two are near; finds those near new ones, a batch at a time.
 
     Two near sets have a word in common among the first of both, of so many as the threshold lets differ, and their sizes are of the
-    same or of neighbouring classes; parities of the words' cells pass over most sets that only share such a word.
+    same or of neighbouring classes; parities of the words' cells pass over most sets that only share such a word. The index has 32 bits of
+    such a word and class with the number of a set, as one long in sorted runs (words that share these bits only cost a comparison). Whole
+    sets are in a nameless file on the local disk, so memory holds eight bytes for each of the first words and the cells of a set.
     """
 
     def __init__(self, threshold: float):
-        self.threshold, self.sets, self.places = threshold, [], {}
+        self.threshold, self.count = threshold, 0
         self.step = math.log(1 / threshold) + 1e-3 if threshold < 1 else 1.0
-        self.sizes, self.odd = np.zeros(64, np.int64), np.zeros((64, CELLS // 64), np.uint64)
+        self.sizes, self.ends, self.odd = np.zeros(64, np.int64), np.zeros(65, np.int64), np.zeros((64, CELLS // 64), np.uint64)
+        self.runs: list[list[np.ndarray]] = [[] for _ in range(PARTS)]
+        self.words = tempfile.TemporaryFile(buffering=0, dir=os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0] or None)
+
+    @property
+    def places(self) -> dict[int, np.ndarray]:
+        """The numbers of the sets at each place of the index."""
+        flat = np.sort(np.concatenate([np.zeros(0, np.uint64), *(r for part in self.runs for r in part)]))
+        at, begins = np.unique(flat >> np.uint64(32), return_index=True)
+        return dict(zip(at.tolist(), np.split(flat & _LOW, begins[1:]), strict=False))
 
     def add(self, words: np.ndarray) -> bool:
         """Whether a set that is not empty is near none before it; then it is kept."""
-        n, found = len(words), []
-        first, size = words[: n - max(1, math.ceil(self.threshold * n - 1e-9)) + 1].tolist(), int(math.log(n) / self.step)
-        cells = np.bincount(((words >> np.uint64(32)) % np.uint64(CELLS)).astype(np.int64), minlength=CELLS).astype(np.uint8) & 1
-        odd = np.packbits(cells).view(np.uint64)
-        for w in first:
-            for c in (size - 1, size, size + 1):
-                if (w, c) in self.places:
-                    found.append(self.places[w, c])
-        if found:
-            at = np.unique(np.concatenate([np.frombuffer(x, np.int32) for x in found]))
-            apart = np.bitwise_count(self.odd[at] ^ odd).sum(1)  # at most what the sets differ in
-            fits = apart * (1 + self.threshold) <= (self.sizes[at] + n) * (1 - self.threshold) + 1e-6
-            for k in at[fits][np.argsort(apart[fits], kind="stable")]:
-                both = len(np.intersect1d(words, self.sets[k], assume_unique=True))
-                if both >= self.threshold * (n + len(self.sets[k]) - both):
-                    return False
-        del found
-        number = len(self.sets)
-        if number == len(self.sizes):
-            self.sizes, self.odd = np.concatenate([self.sizes, np.zeros_like(self.sizes)]), np.concatenate([self.odd, np.zeros_like(self.odd)])
-        self.sizes[number], self.odd[number] = n, odd
-        self.sets.append(words)
-        for w in first:
-            self.places.setdefault((w, size), array("i")).append(number)
-        return True
+        return self.extend([words])[0]
+
+    def extend(self, sets: list[np.ndarray]) -> list[bool]:
+        """The same for some sets in order."""
+        firsts: dict[bytes, int] = {}
+        for k, s in enumerate(sets):  # of equal sets only the first can be kept
+            firsts.setdefault(s.tobytes(), k)
+        left, out = list(firsts.values()), [False] * len(sets)
+        some = [sets[k] for k in left]
+        sizes, odd = np.array([len(s) for s in some], np.int64), _odd(some)
+        near = np.zeros(len(some), bool)
+        places, asked = self._places(some, sizes)
+        for x, y in self._possible(asked, [(k, r) for k, part in enumerate(self.runs) for r in part], sizes, odd, self.sizes, self.odd, False):
+            near[x] = near[x] or self._alike(some[x], self._read(y))
+        places, asked = (v[~near[(v & _LOW).astype(np.int64)]] for v in (places, asked))
+        for x, y in self._possible(asked, [(None, places)], sizes, odd, sizes, odd, True):
+            near[x] = near[x] or (not near[y] and self._alike(some[x], some[y]))
+        fresh = np.flatnonzero(~near)
+        self._keep([some[k] for k in fresh], sizes[fresh], odd[fresh], places[~near[(places & _LOW).astype(np.int64)]], fresh)
+        for k in fresh:
+            out[left[k]] = True
+        return out
+
+    def _places(self, some: list[np.ndarray], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of some sets, the sorted places that they take and those that they look up, each with the number of the set."""
+        leads = sizes - np.maximum(1, np.ceil(self.threshold * sizes - 1e-9).astype(np.int64)) + 1
+        words, own = np.concatenate([s[:n] for s, n in zip(some, leads, strict=True)]), np.repeat(np.arange(len(some)), leads)
+        of = (np.log(sizes) / self.step).astype(np.int64)[own]
+        with np.errstate(over="ignore"):
+            at = [((words + (of + c).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xC2B2AE3D27D4EB4F) & _HIGH) | own.astype(np.uint64) for c in (0, -1, 1)]
+        return np.sort(at[0]), np.sort(np.concatenate(at))
+
+    def _possible(self, asked: np.ndarray, runs: list, sizes: np.ndarray, odd: np.ndarray, their_sizes: np.ndarray, their_odd: np.ndarray, before: bool) -> Iterator[tuple[int, int]]:
+        """Pairs that share a place and whose parities allow a near pair, by the first and then the likest first."""
+        hits, found = [np.zeros((4, 0), np.int64)], [np.zeros((3, 0), np.int64)]
+        for number, (part, run) in enumerate(runs):
+            ask = asked if part is None else asked[slice(*np.searchsorted(asked, _bounds(part)))]
+            low = np.searchsorted(run, ask & _HIGH)
+            hit = np.flatnonzero(low < len(run))
+            hit = hit[(run[low[hit]] ^ ask[hit]) <= _LOW]
+            ask, low = ask[hit], low[hit]
+            hits.append(np.stack([(ask & _LOW).astype(np.int64), np.full(len(ask), number), low, np.searchsorted(run, ask | _LOW, side="right") - low]))
+        asker, of, low, n = (both := np.concatenate(hits, axis=1))[:, np.lexsort((both[1], both[0]))]
+        total = np.cumsum(n)
+        cuts = np.unique([0, *(np.searchsorted(total, np.arange(PAIRS, total[-1], PAIRS)) + 1), len(n)]).tolist() if len(n) else []
+        for begin, end in zip(cuts, cuts[1:], strict=False):
+            pairs = []
+            for number in np.unique(of[begin:end]):
+                k = begin + np.flatnonzero(of[begin:end] == number)
+                each = np.repeat(low[k] - np.cumsum(n[k]) + n[k], n[k]) + np.arange(n[k].sum())
+                pairs.append(np.repeat(asker[k] << 32, n[k]) | (runs[number][1][each] & _LOW).astype(np.int64))
+            pairs = np.unique(np.concatenate(pairs))
+            for c in range(0, len(pairs), 1 << 16):
+                x, y = pairs[c : c + (1 << 16)] >> 32, pairs[c : c + (1 << 16)] & 0xFFFFFFFF
+                if before:
+                    x, y = x[y < x], y[y < x]
+                apart = np.bitwise_count(odd[x] ^ their_odd[y]).sum(1).astype(np.int64)  # at most what the sets differ in
+                fits = apart * (1 + self.threshold) <= (sizes[x] + their_sizes[y]) * (1 - self.threshold) + 1e-6
+                found.append(np.stack([x[fits], apart[fits], y[fits]]))
+        x, apart, y = (both := np.concatenate(found, axis=1))[:, np.lexsort((both[2], both[1], both[0]))]
+        new = np.ones(len(x), bool)
+        new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+        yield from zip(x[new].tolist(), y[new].tolist(), strict=True)
+
+    def _alike(self, a: np.ndarray, b: np.ndarray) -> bool:
+        both = len(np.intersect1d(a, b, assume_unique=True))
+        return both >= self.threshold * (len(a) + len(b) - both)
+
+    def _read(self, number: int) -> np.ndarray:
+        return np.frombuffer(os.pread(self.words.fileno(), int(8 * self.sizes[number]), int(8 * self.ends[number])), np.uint64)
+
+    def _keep(self, some: list[np.ndarray], sizes: np.ndarray, odd: np.ndarray, places: np.ndarray, numbers: np.ndarray) -> None:
+        """Store sets, whose places have them under other numbers."""
+        if not some:
+            return
+        begin, end = self.count, self.count + len(some)
+        if end > len(self.sizes):  # grown in place, a quarter at a time
+            more = max(end, len(self.sizes) * 5 // 4)
+            self.sizes.resize(more, refcheck=False)
+            self.ends.resize(more + 1, refcheck=False)
+            self.odd.resize((more, CELLS // 64), refcheck=False)
+        self.sizes[begin:end], self.odd[begin:end], self.count = sizes, odd, end
+        self.ends[begin + 1 : end + 1] = self.ends[begin] + np.cumsum(sizes)
+        data = memoryview(np.concatenate(some)).cast("B")
+        while data:
+            data = data[self.words.write(data) :]
+        new = places & _HIGH | (np.searchsorted(numbers, (places & _LOW).astype(np.int64)) + begin).astype(np.uint64)
+        for k, runs in enumerate(self.runs):
+            runs.append(new[slice(*np.searchsorted(new, _bounds(k)))].copy())
+            while len(runs) > 1 and len(runs[-2]) <= 4 * len(runs[-1]):
+                runs[-2:] = [np.concatenate(runs[-2:])]
+                runs[-1].sort(kind="stable")
 
 
 def without_near_duplicates(rows: DataFrame, group: str, order: str, text: str, threshold: float = 0.8) -> DataFrame:
     """Rows of each group in order, without near duplicates of accepted ones (P25, J13), up to 64-bit hash collisions.
 
     Texts become hashes of words in all tasks. The fold of a group is sequential; it gets these hashes in order, a batch at a time, and
-    holds those of the accepted ones, which it looks up by their rarest words. Rows without words are all kept.
+    looks accepted ones up by their rarest words, with their whole sets on the local disk. Rows without words are all kept.
     """
     texts = rows.select(F.col(group).alias("g"), F.col(order).alias("o"), F.col(text).alias("t"))
     counts = np.zeros(BUCKETS, np.int64)
@@ -220,13 +316,15 @@ def without_near_duplicates(rows: DataFrame, group: str, order: str, text: str,
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, own = None, object()
         for batch in batches:
-            kept = []
-            for g, key, words in zip(*(batch.column(c).to_pylist() for c in ("g", "key", "w")), strict=True):
-                if held is None or g != own:
-                    held, own = Accepted(threshold), g
-                if held.add(np.frombuffer(words, np.uint64)):
-                    kept.append(key)
-            yield pa.RecordBatch.from_arrays([pa.array(kept, pa.int64())], names=["key"])
+            for begin in range(0, batch.num_rows, BATCH):
+                some, kept = batch.slice(begin, BATCH).to_pylist(), []
+                for g, rows in groupby(some, lambda r: r["g"]):
+                    if held is None or g != own:
+                        held, own = None, g  # the one before goes first
+                        held = Accepted(threshold)
+                    rows = list(rows)
+                    kept += [r["key"] for r, ok in zip(rows, held.extend([np.frombuffer(r["w"], np.uint64) for r in rows]), strict=True) if ok]
+                yield pa.RecordBatch.from_arrays([pa.array(kept, pa.int64())], names=["key"])
 
     schema = T.StructType([*texts.schema.fields, T.StructField("w", T.BinaryType())])
     sets = checkpointed(texts.mapInArrow(scan, schema).withColumn("key", F.monotonically_increasing_id()))

@@ -316,3 +316,43 @@ def test_fold_looks_up_accepted_texts(spark):
     held = stateful.Accepted(0.8)
     assert all(held.add(np.unique(np.random.default_rng(k).integers(0, 1 << 63, 50, dtype=np.uint64))) for k in range(300))
     assert max(len(x) for x in held.places.values()) < 5  # a new set meets those that share a rare word, not all of them
+
+
+def test_accepted_sets_take_little_memory():
+    """A set takes some bytes for each of its first words, not an entry of a dictionary; its words are on the disk."""
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    made = [rng.integers(0, 1 << 63, 300, dtype=np.uint64) for _ in range(1500)]
+    tracemalloc.start()
+    held = stateful.Accepted(0.8)
+    assert all(held.add(w) for w in made[:100])
+    before = tracemalloc.get_traced_memory()[0]
+    kept = [held.add(w) for w in made[100:]]
+    grown = tracemalloc.get_traced_memory()[0] - before
+    tracemalloc.stop()
+    assert all(kept) and grown / len(kept) < 1500
+
+
+def test_batches_of_accepted_sets_equal_brute_force():
+    """Copies, chains of near copies and short sets of few words, within a batch and beyond it, in batches of any length."""
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 1 << 63, 120, dtype=np.uint64)
+    few = rng.integers(0, 1 << 63, 30, dtype=np.uint64)
+
+    def made(kind: int) -> np.ndarray:
+        if kind == 0:
+            words = base.copy()
+            words[rng.choice(len(words), int(rng.integers(0, 20)), replace=False)] = rng.integers(0, 1 << 63)
+            return np.unique(words)
+        return np.unique(rng.choice(few, 5) if kind == 1 else rng.integers(0, 1 << 63, int(rng.integers(1, 60)), dtype=np.uint64))
+
+    sets = [made(int(rng.integers(0, 3))) for _ in range(1200)]
+    accepted, want = [], []
+    for s in (set(s.tolist()) for s in sets):
+        want.append(all(len(s & a) < 0.8 * len(s | a) for a in accepted))
+        accepted += [s] if want[-1] else []
+    for size in (1, 7, 512):
+        held = stateful.Accepted(0.8)
+        assert [ok for k in range(0, len(sets), size) for ok in held.extend(sets[k : k + size])] == want
+    assert 300 < sum(want) < 1100
