@@ -152,8 +152,8 @@ def _hashed(text: str | None) -> np.ndarray:
 def _bucket_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(BUCKETS, np.int64)
     for batch in batches:
-        for text in batch.column("t"):
-            np.add.at(counts, (_hashed(text.as_py()) % np.uint64(BUCKETS)).astype(np.int64), 1)
+        for words in batch.column("w"):
+            np.add.at(counts, (np.frombuffer(words.as_py(), np.uint64) % np.uint64(BUCKETS)).astype(np.int64), 1)
     at = np.flatnonzero(counts)
     yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["bucket", "n"])
 
@@ -300,18 +300,28 @@ def without_near_duplicates(rows: DataFrame, group: str, order: str, text: str,
     looks accepted ones up by their rarest words, with their whole sets on the local disk. Rows without words are all kept.
     """
     texts = rows.select(F.col(group).alias("g"), F.col(order).alias("o"), F.col(text).alias("t"))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 256):
+                some = batch.slice(begin, 256)
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.array([_hashed(t.as_py()).tobytes() for t in some.column("t")], pa.binary())], names=["g", "o", "t", "w"])
+
+    schema = T.StructType([*texts.schema.fields, T.StructField("w", T.BinaryType())])
+    sets = checkpointed(texts.mapInArrow(scan, schema).withColumn("key", F.monotonically_increasing_id()))
+    some = sets.where(F.octet_length("w") > 0).select("g", "o", "key", "w")
     counts = np.zeros(BUCKETS, np.int64)
-    for r in texts.select("t").mapInArrow(_bucket_counts, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():  # BUCKETS rows at most
+    for r in some.select("w").mapInArrow(_bucket_counts, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():  # BUCKETS rows at most
         counts[r["bucket"]] = r["n"]
     rarity = rows.sparkSession.sparkContext.broadcast(counts)
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def order_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin in range(0, batch.num_rows, 256):
                 some = batch.slice(begin, 256)
-                found = [_hashed(t.as_py()) for t in some.column("t")]
-                ordered = [w[np.lexsort((w, rarity.value[(w % np.uint64(BUCKETS)).astype(np.int64)]))].tobytes() for w in found]
-                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(ordered, pa.binary())], names=["g", "o", "t", "w"])
+                found = [np.frombuffer(w.as_py(), np.uint64) for w in some.column("w")]
+                words = [w[np.lexsort((w, rarity.value[(w % np.uint64(BUCKETS)).astype(np.int64)]))].tobytes() for w in found]
+                yield pa.RecordBatch.from_arrays([*some.columns[:-1], pa.array(words, pa.binary())], names=["g", "o", "key", "w"])
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, own = None, object()
@@ -326,9 +336,7 @@ def without_near_duplicates(rows: DataFrame, group: str, order: str, text: str,
                     kept += [r["key"] for r, ok in zip(rows, held.extend([np.frombuffer(r["w"], np.uint64) for r in rows]), strict=True) if ok]
                 yield pa.RecordBatch.from_arrays([pa.array(kept, pa.int64())], names=["key"])
 
-    schema = T.StructType([*texts.schema.fields, T.StructField("w", T.BinaryType())])
-    sets = checkpointed(texts.mapInArrow(scan, schema).withColumn("key", F.monotonically_increasing_id()))
-    some = sets.where(F.octet_length("w") > 0)
-    keys = some.select("g", "o", "key", "w").repartition("g").sortWithinPartitions("g", F.col("o").asc_nulls_last(), "key").mapInArrow(fold, "key long")
-    kept = sets.where(F.octet_length("w") == 0).unionByName(some.join(keys, "key", "left_semi").select(*sets.columns))
+    ordered = some.mapInArrow(order_words, some.schema)
+    keys = ordered.repartition("g").sortWithinPartitions("g", F.col("o").asc_nulls_last(), "key").mapInArrow(fold, "key long")
+    kept = sets.where(F.octet_length("w") == 0).unionByName(sets.join(keys, "key", "left_semi").select(*sets.columns))
     return kept.select(F.col("g").alias(group), F.col("o").alias(order), F.col("t").alias(text))
